@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +135,21 @@ def _portions(items: DataFrame, size: int) -> Iterator[list[tuple[int, str | Non
 
 
 _matchers: dict = {}
+_FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("matched", pa.int32()), ("distance", pa.int32())]))
+
+
+def _finder(sent: Broadcast, key: str, min_words: int, budget: int):  # noqa: ANN202
+    """A function that finds the items of a portion in texts; a worker builds its automaton once."""
+
+    def leaks(texts: pa.Array) -> pa.Array:
+        if key not in _matchers:
+            while len(_matchers) > 1:
+                _matchers.pop(next(iter(_matchers)))
+            _matchers[key] = Matcher(sent.value, min_words, budget)
+        find = _matchers[key].find
+        return pa.array([find(x) for x in texts.to_pylist()], _FOUND)
+
+    return leaks
 
 
 def find_leaks(
@@ -155,16 +171,7 @@ def find_leaks(
     for portion in _portions(items.select(item_id, question), items_at_once):
         sent, key = docs.sparkSession.sparkContext.broadcast(portion), uuid.uuid4().hex
 
-        def leaks(texts: pa.Array, sent=sent, key=key) -> pa.Array:
-            if key not in _matchers:
-                while len(_matchers) > 1:
-                    _matchers.pop(next(iter(_matchers)))
-                _matchers[key] = Matcher(sent.value, min_words, budget)
-            find = _matchers[key].find
-            t = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32()), ("matched", pa.int32()), ("distance", pa.int32())]))
-            return pa.array([find(x) for x in texts.to_pylist()], t)
-
-        parts.append(chosen.select("doc_id", F.arrow_udf(leaks, LEAKS_TYPE)("_text").alias("l")).select("doc_id", F.inline("l")))
+        parts.append(chosen.select("doc_id", F.arrow_udf(_finder(sent, key, min_words, budget), LEAKS_TYPE)("_text").alias("l")).select("doc_id", F.inline("l")))
     if not parts:
         return chosen.select("doc_id").limit(0).selectExpr("doc_id", "cast(null as bigint) item_id", "cast(null as int) words", "cast(null as int) matched", "cast(null as int) distance")
     out = parts[0]

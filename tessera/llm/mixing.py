@@ -6,7 +6,7 @@ each record is emitted floor(rate) times plus once more if a hash of its id, see
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import norm_source
@@ -33,8 +33,8 @@ def rates(specs: DataFrame, sources: DataFrame) -> DataFrame:
     got = got.withColumn("cap", F.greatest(F.coalesce("oversampling", F.lit(1.0)), F.lit(0.0))).withColumn("wanted", F.greatest(F.coalesce("token_size", F.lit(0)), F.lit(0)).cast("double"))
     rate = F.when(F.col("tokens") > 0, F.least(F.col("cap"), F.col("wanted") / F.col("tokens"))).otherwise(F.lit(0.0))
     got = got.withColumn("rate", rate)
-    total = got.groupBy("spec_name").agg(F.sum("wanted").alias("_w"), F.sum(F.col("rate") * F.col("tokens")).alias("_r"))
-    got = got.join(total, F.col("spec_name").eqNullSafe(total["spec_name"])).drop(total["spec_name"])
+    w = Window.partitionBy("spec_name")  # specs and sources: a small table
+    got = got.withColumn("_w", F.sum("wanted").over(w)).withColumn("_r", F.sum(F.col("rate") * F.col("tokens")).over(w))
     share = lambda x, of: F.when(F.col(of) > 0, x / F.col(of)).otherwise(F.lit(0.0))
     got = got.withColumn("target_share", share(F.col("wanted"), "_w")).withColumn("expected_share", share(F.col("rate") * F.col("tokens"), "_r"))
     return got.drop("_w", "_r")

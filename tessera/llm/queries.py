@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from . import defects, diverse, encoding, leakage, mixing, neardup, proportions, ranking, subjects
 from .common import all_prompts, conversation_prompts, latest, table
 
-SIZE = F.coalesce(F.col("inst_length"), F.lit(0)) + F.coalesce(F.col("resp_length"), F.lit(0))
+
+def _size():  # noqa: ANN202
+    return F.coalesce(F.col("inst_length"), F.lit(0)) + F.coalesce(F.col("resp_length"), F.lit(0))
 
 
 def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = latest(table(spark, d, "analysis"), "scored_at", "origin", "inst_length", "resp_length")
-    return a, mixing.source_tokens(a, "origin", SIZE)
+    return a, mixing.source_tokens(a, "origin", _size())
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,13 +33,13 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_mix(spark: SparkSession, d: str) -> DataFrame:
     a, s = _sources(spark, d)
-    return mixing.mix(a, mixing.rates(table(spark, d, "dataset_config"), s), "data_id", "origin", SIZE).withColumnRenamed("id", "data_id")
+    return mixing.mix(a, mixing.rates(table(spark, d, "dataset_config"), s), "data_id", "origin", _size()).withColumnRenamed("id", "data_id")
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     a, s = _sources(spark, d)
     rated = mixing.rates(table(spark, d, "dataset_config"), s)
-    return mixing.shares(mixing.mix(a, rated, "data_id", "origin", SIZE), rated)
+    return mixing.shares(mixing.mix(a, rated, "data_id", "origin", _size()), rated)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
