@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import BUCKET_BITS, bucket_counts, durable, with_tokens
 
 SIGN_TYPE = "struct<m1:bigint,m2:bigint,prefix:array<int>>"
-#: Records in one block of a tile.
-BLOCK = 2_000
+#: Ratio of the sizes in one band; records in one block of a tile; keys sent to all executors at most.
+BAND, BLOCK, HOT_KEYS_SENT = 2.0, 2_000, 50_000
 #: Classes of equal records up to this size are written as all their pairs; of a larger class every member
 #: is paired with its representative, and only the representative has links to other classes.
 EXPANDED_CLASS = 64
@@ -72,27 +72,56 @@ def _signer(counts: np.ndarray, t: Fraction):
 
 
 def candidate_pairs(classes: DataFrame, t: Fraction, block: int = BLOCK) -> DataFrame:
-    """Pairs ``x, y`` of class representatives whose bitmaps allow the similarity, each once.
+    """Pairs ``x, y`` of class hashes whose bitmaps allow the similarity, with their sizes, each pair once.
 
-    ``classes``: ``rep, n, m1, m2, prefix``. Keys that only one record has are dropped by a count that is
-    partial before its shuffle; what is left is what tiles hold.
+    ``classes``: ``a, n, m1, m2, prefix``. A record lies in the tile of each of its prefix keys and of its size
+    band, and in that of the next band if a record there can still be similar; pairs are made with the smaller
+    record in the larger one's band. Both sides of the join are the same rows, so they are shuffled once. Keys
+    with more than ``block`` records are cut in blocks, and each pair of blocks is a tile.
     """
-    rows = classes.select("rep", "n", "m1", "m2", F.explode("prefix").alias("key"))
-    sizes = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("band", F.floor(F.log("n") / math.log(float(1 / t)) + 1e-9).cast("int"))
-    many = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rows.select("key", "band", F.col("block").alias("i"), F.explode(many).alias("j"), *[F.col(c).alias("x_" + c) for c in ("rep", "n", "m1", "m2")])
-    right = rows.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("block").alias("j"), "blocks", *[F.col(c).alias("y_" + c) for c in ("rep", "n", "m1", "m2")])
-    right = right.withColumn("i", F.explode(many)).drop("blocks")
-    both = F.col("x_n") + F.col("y_n")
+    rows = classes.select("a", "n", "m1", "m2", F.explode("prefix").alias("key"))
+    ratio = float(1 / t)
+    band = lambda n: F.floor(F.log(n) / math.log(BAND) + 1e-9).cast("int")
+    rows = rows.withColumn("band", band(F.col("n"))).withColumn("reach", band(F.col("n") * ratio))
+
+    def in_bands(df: DataFrame, *keep: str) -> DataFrame:
+        df = df.select("key", "a", "m1", "m2", "n", "band", F.explode(F.sequence("band", "reach")).alias("tile_band"), *keep)
+        # negative: the record is a guest in a band above its own, where it is only the smaller one of a pair
+        return df.withColumn("size", F.when(F.col("tile_band") == F.col("band"), F.col("n")).otherwise(-F.col("n"))).drop("n", "band")
+
+    hot = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")).persist(StorageLevel.MEMORY_AND_DISK)
+    few = hot.limit(HOT_KEYS_SENT + 1).count()
+    met = _met(in_bands(rows if not few else rows.join(_sized(hot, few), "key", "left_anti")).withColumn("tile", F.xxhash64("key", "tile_band")), None, t)
+    if few:
+        cut = in_bands(rows.join(_sized(hot, few), "key"), "blocks").withColumn("own", F.pmod("a", F.col("blocks")).cast("int"))
+        many = F.sequence(F.lit(0), F.col("blocks") - 1)
+        left = cut.withColumn("other", F.explode(many)).withColumn("tile", F.xxhash64("key", "tile_band", "own", "other"))
+        right = cut.withColumn("other", F.explode(many)).withColumn("tile", F.xxhash64("key", "tile_band", "other", "own"))
+        met = met.unionByName(_met(left, right, t))
+    return met.groupBy("x", "y").agg(F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
+
+
+def _sized(hot: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(hot) if rows <= HOT_KEYS_SENT else hot
+
+
+def _met(left: DataFrame, right: DataFrame | None, t: Fraction) -> DataFrame:
+    """Pairs of records that meet in a tile and pass the bounds of size and bitmap."""
+    cols = ("tile", "a", "size", "m1", "m2")
+    n = left.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    left = left.select(*cols).repartition(int(n), "tile")
+    right = left if right is None else right.select(*cols).repartition(int(n), "tile")
+    l = left.select(*[F.col(c).alias("x_" + c) for c in cols])  # noqa: E741
+    r = right.select(*[F.col(c).alias("y_" + c) for c in cols])
+    small = F.abs("y_size")
+    both = F.col("x_size") + small
     # an overlap of o gives the similarity o / (both - o), so it must be at least t / (1 + t) of both
     need = F.ceil(both * F.lit(t.numerator) / F.lit(t.numerator + t.denominator) - 1e-9)
     differ = F.bit_count(F.col("x_m1").bitwiseXOR(F.col("y_m1"))) + F.bit_count(F.col("x_m2").bitwiseXOR(F.col("y_m2")))
-    larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rep") < F.col("y_rep")))
-    fits = (F.col("y_n") * F.lit(t.denominator) >= F.col("x_n") * F.lit(t.numerator)) & (differ <= both - 2 * need)
-    met = left.join(right, ["key", "band", "i", "j"]).where(larger & fits)
-    return met.groupBy(F.col("x_rep").alias("x"), F.col("y_rep").alias("y")).agg(F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
+    larger = (F.col("x_size") > small) | ((F.col("x_size") == small) & (F.col("x_a") < F.col("y_a")))
+    fits = (small * F.lit(t.denominator) >= F.col("x_size") * F.lit(t.numerator)) & (differ <= both - 2 * need)
+    met = l.join(r, (F.col("x_tile") == F.col("y_tile")) & larger & fits)
+    return met.select(F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.col("x_size").alias("x_n"), small.alias("y_n"))
 
 
 class NearDuplicates:
@@ -119,6 +148,10 @@ class NearDuplicates:
 
     def _links(self, block: int) -> DataFrame:
         pairs = candidate_pairs(self.classes, self.t, block)
+        # classes that share one 64-bit hash would all be tried here; the intersection below is exact
+        rep = self.classes.select("a", "rep", "n")
+        for c in ("x", "y"):
+            pairs = pairs.join(rep, (F.col(c) == F.col("a")) & (F.col(f"{c}_n") == F.col("n"))).drop(c, "a", "n").withColumnRenamed("rep", c)
         of = self.tokens.select("id", "toks")
         got = pairs.join(of.withColumnRenamed("toks", "xt"), F.col("x") == F.col("id")).drop("id")
         got = got.join(of.withColumnRenamed("toks", "yt"), F.col("y") == F.col("id")).drop("id")
