@@ -106,11 +106,24 @@ def prefix_sum(df: DataFrame, order: list[Column], n: Column, out: str) -> DataF
     return parts.join(before, "_p").withColumn(out, F.col("_b") + F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_m", "_p", "_n", "_b")
 
 
+def first_in_groups(df: DataFrame, group: str, quotas: dict[str, int], order: list[Column]) -> DataFrame:
+    """Of each group the first rows of an order, as many as its quota, with their place ``_r``; other groups go.
+
+    The largest quota is written as a constant, so that each task keeps no more than that of a group before
+    the shuffle; the session's limit for that is raised where it is lower.
+    """
+    if not quotas or max(quotas.values()) <= 0:
+        return df.withColumn("_r", F.lit(0)).limit(0)
+    most = max(quotas.values())
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(name, "1000")) < most:
+        conf.set(name, str(most))
+    quota = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)])
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    rows = df.where(F.col(group).isin(*quotas)).withColumn("_r", rank).where(F.col("_r") <= most)
+    return rows.where(F.col("_r") <= F.element_at(quota, F.col(group)))
+
+
 def within_label_limits(df: DataFrame, limits: dict[str, float], sample_size: int, order: list[Column], label: str = "setfit_label") -> DataFrame:
     """The first rows of each label, as many as its limit (a share of the size, rounded up); other labels go."""
-    quota = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, math.ceil(v * sample_size))]) if limits else F.create_map()
-    if not limits:
-        return df.limit(0)
-    rows = df.where(F.col(label).isin(*limits))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= F.element_at(quota, F.col(label))).drop("_r")
+    return first_in_groups(df, label, {k: math.ceil(v * sample_size) for k, v in limits.items()}, order).drop("_r")

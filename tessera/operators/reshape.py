@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import join_at_ingest, strip
 
@@ -77,8 +78,8 @@ def assign_ids(df: DataFrame, dataset: str, order: list[str] | None = None, vers
     task.
     """
     src = df.orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])) if order else df
-    schema = src.schema
-    numbered = src.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema.add("_i", "bigint"))
+    schema = T.StructType([*src.schema.fields, T.StructField("_i", T.LongType())])
+    numbered = src.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
     made = F.concat(F.lit(f"{dataset.replace('_', '-')}_v{version}_{language}_"), F.col("_i").cast("string"))
     have = F.col("data_id") if "data_id" in df.columns else F.lit(None)
     return numbered.withColumn("data_id", F.coalesce(have, made)).drop("_i")

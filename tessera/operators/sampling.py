@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.filters import CATEGORIES
+from tessera.operators.filters import CATEGORIES, first_in_groups
 from tessera.operators.reshape import drop_empty_system, id_without_language
 
 
@@ -35,12 +35,9 @@ def stratified_top_k(df: DataFrame, proportions: dict[str, float], n: int, order
     """Of each label the first ``ceil(proportion * n)`` rows, labels in the given order, cut off at ``n``."""
     if not proportions:
         return df.limit(0)
-    quota = {x: math.ceil(p * n) for x, p in proportions.items()}
-    at = F.create_map(*[F.lit(v) for i, x in enumerate(quota) for v in (x, i)])
-    most = F.create_map(*[F.lit(v) for x, q in quota.items() for v in (x, q)])
-    rows = df.where(F.col(label).isin(*quota)).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    rows = rows.where(F.col("_r") <= F.element_at(most, F.col(label)))
-    return rows.orderBy(F.element_at(at, F.col(label)), "_r").limit(n).drop("_r")
+    quotas = {x: math.ceil(p * n) for x, p in proportions.items()}
+    at = F.create_map(*[F.lit(v) for i, x in enumerate(quotas) for v in (x, i)])
+    return first_in_groups(df, label, quotas, order).orderBy(F.element_at(at, F.col(label)), "_r").limit(n).drop("_r")
 
 
 def oversampled(df: DataFrame, times: float, order: list[Column]) -> DataFrame:

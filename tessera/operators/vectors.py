@@ -11,6 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.filters import first_in_groups
+
 #: Vectors in one block: two blocks and their products fit a task many times over.
 BLOCK = 2_048
 
@@ -218,35 +220,36 @@ def lloyd(m: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
     return label
 
 
-def cluster_select(df: DataFrame, n: int, cluster: str = "cluster", order: list[Column] | None = None, id_col: str = "data_id", percentile: float = 0.0, strategy: str | None = None, preference: str = "overall_preference", seed: int = 42) -> DataFrame:
+def cluster_select(df: DataFrame, n: int | dict[str, int], cluster: str = "cluster", order: list[Column] | None = None, id_col: str = "data_id", percentile: float = 0.0, strategy: str | None = None, preference: str = "overall_preference", group: str | None = None, seed: int = 42) -> DataFrame:
     """The best row of each cluster if it is above the percentile of all preferences, then the best of the rest
     until there are ``n``; all rows if there are fewer than ``n``.
 
-    With the strategy ``random`` a seeded random row of each cluster, whatever its preference.
+    ``n`` may be a number for each value of ``group``; groups are then selected from separately, in one plan,
+    and other groups go. With the strategy ``random`` a seeded random row of each cluster is taken, whatever
+    its preference. Where clusters outnumber ``n``, the best of their rows are taken.
     """
-    from tessera.operators.sampling import by_preference, random_member
+    from tessera.operators.sampling import by_preference, shuffled
 
     order = order or by_preference(None, id_col, preference)
-    total = df.count()
-    if total < n or n <= 0:
-        return df if n > 0 else df.limit(0)
-    if strategy == "random":
-        reps = random_member(df, cluster, seed, id_col)
-    else:
-        threshold = df.agg(F.percentile(preference, F.lit(int(percentile * 100) / 100))).first()[0]
-        key = F.struct(F.col(preference), F.expr(f"-CAST(xxhash64({id_col}) AS DOUBLE)")) if not _numeric(df, id_col) else F.struct(F.col(preference), -F.col(id_col))
-        best = df.groupBy(cluster).agg(F.max_by(id_col, key).alias(id_col), F.max(preference).alias("_p"))
-        reps = df.join(best.where(F.col("_p") > F.lit(threshold)).select(id_col), id_col, "left_semi")
-    reps = reps.persist(StorageLevel.MEMORY_AND_DISK)
-    left = n - reps.count()
-    if left <= 0:
-        return reps
-    fill = df.join(reps.select(id_col), id_col, "left_anti").orderBy(*order).limit(left)
-    return reps.unionByName(fill)
-
-
-def _numeric(df: DataFrame, column: str) -> bool:
-    return dict(df.dtypes)[column] in ("int", "bigint", "smallint", "tinyint")
+    quotas = {k: v for k, v in n.items() if v > 0} if isinstance(n, dict) else {"": n} if n > 0 else {}
+    if not quotas:
+        return df.limit(0)
+    key = F.col(group) if group else F.lit("")
+    rows = df.withColumn("_g", key).where(F.col("_g").isin(*quotas))
+    stats = rows.groupBy("_g").agg(F.percentile(preference, F.lit(int(percentile * 100) / 100)).alias("_t"))
+    ids = F.struct(*shuffled(seed, id_col))
+    best = rows.groupBy("_g", cluster).agg(*([F.min_by(id_col, ids).alias("_i"), F.lit(None).alias("_p")] if strategy == "random" else [F.max_by(id_col, F.struct(F.col(preference).isNotNull(), F.col(preference), *_descending(df, id_col))).alias("_i"), F.max(preference).alias("_p")]))
+    reps = best.join(stats, "_g").where(F.lit(strategy == "random") | (F.col("_p") > F.col("_t"))).select(F.col("_i").alias(id_col), F.lit(1).alias("_rep"))
+    rows = rows.join(reps, id_col, "left").withColumn("_rep", F.coalesce("_rep", F.lit(0)))
+    return first_in_groups(rows, "_g", quotas, [F.col("_rep").desc(), *order]).select(*df.columns)
+
+
+def _descending(df: DataFrame, id_col: str) -> list[Column]:
+    """Columns whose maximum is the least id: negated numbers, or texts with every character turned round."""
+    if dict(df.dtypes)[id_col] in ("int", "bigint", "smallint", "tinyint"):
+        return [-F.col(id_col)]
+    turned = F.transform(F.split(F.col(id_col), ""), lambda c: 1_114_111 - F.ascii(c))
+    return [F.concat(turned, F.array(F.lit(1_114_112)))]
 
 
 def cluster_quality(df: DataFrame, column: str, cluster: str = "cluster") -> DataFrame:

@@ -1,9 +1,590 @@
+"""Queries of the core over the tables of a directory, and the SQL that says the same.
+
+Where the tables hold no model output, a fixed stand-in is computed from the rows (said at each query); the
+operators are the same as for real scores.
+"""
+
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import code, rules, scores, text
+from tessera.operators import aggregates, filters, joins, preference, reshape, sampling, scorers, vectors
+from tessera.operators.filters import CATEGORIES
+from tessera.plans.spec import Selection, SelectionSpec, SourceSpec
+
+METRICS = ("quality", "complexity", "difficulty_v2", "if_quality", "process_reward", "code_quality")
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Latest row of each conversation in canonical form."""
+    c = table(spark, d, "conversations").select("data_id", "messages", "origin", "language", "ingested_at")
+    return reshape.canonical_conversations(reshape.latest(c).where(F.col("messages").isNotNull()))
+
+
+def instructions(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.latest(table(spark, d, "instructions").select("data_id", "instruction", "input", "output", "origin", "language", "ingested_at"))
+
+
+def analysis(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.latest(table(spark, d, "analysis").drop("overall_preference"), "scored_at")
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    """Latest label of each sample, spelled as the fixed labels are; others are null."""
+    c = reshape.latest(table(spark, d, "categories"), "classified_at")
+    plain = F.trim(F.regexp_replace(F.lower("setfit_label"), r"[\s_-]+", " "))
+    known = F.coalesce(*[F.when(plain == x.lower(), x) for x in CATEGORIES])
+    return c.withColumn("setfit_label", known)
+
+
+def pool(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with scores and labels, without their texts; a null origin is left out."""
+    a = analysis(spark, d).where(F.col("origin").isNotNull())
+    return joins.attach_metrics(a, labels(spark, d), "setfit_label")
+
+
+def all_exchanges(spark: SparkSession, d: str) -> DataFrame:
+    """Exchanges of conversations; ``label``: a fixed stand-in, the label at the prompt's length modulo 7."""
+    e = reshape.exchanges(conversations(spark, d), "origin")
+    lab = F.element_at(F.array(*[F.lit(x) for x in CATEGORIES]), (F.length("instruction") % 7 + 1).cast("int"))
+    return e.withColumn("label", lab)
+
+
+# ---- reshaping --------------------------------------------------------------------------------------------
+
+
+def exchanges(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.exchanges(conversations(spark, d))
+
+
+def exchange_counts(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("data_id", reshape.exchange_count(F.col("messages")).alias("num_exchanges"))
+
+
+def ingest_chat(spark: SparkSession, d: str) -> DataFrame:
+    c = reshape.to_chat(reshape.ingest_instructions(instructions(spark, d).where("instruction is not null")))
+    m = F.col("messages")
+    return c.select("data_id", F.size(m).alias("turns"), F.get(m, 0)["role"].alias("first_role"), F.get(m, 0)["content"].alias("prompt"), F.get(m, 1)["content"].alias("answer"))
+
+
+def joined_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return instructions(spark, d).select("data_id", text.join_for_analysis(F.col("instruction"), F.col("input")).alias("prompt"))
+
+
+def selection_chat(spark: SparkSession, d: str) -> DataFrame:
+    c = reshape.to_chat_for_selection(instructions(spark, d).where("instruction is not null"))
+    return c.select("data_id", F.get("messages", 0)["content"].alias("prompt"), F.get("messages", 1)["content"].alias("answer"))
+
+
+def normal_roles(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").where("data_id is not null")
+    roles = F.transform(reshape.normalise_messages(F.col("messages")), lambda m: m["role"])
+    return c.select("data_id", F.explode(roles).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("turns"))
+
+
+def renamed(spark: SparkSession, d: str) -> DataFrame:
+    raw = instructions(spark, d).select("data_id", F.col("instruction").alias("problem"), F.col("output").alias("solution"))
+    return reshape.rename(raw, instruction="problem", output="solution")
+
+
+def default_columns(spark: SparkSession, d: str) -> DataFrame:
+    c = reshape.with_defaults(conversations(spark, d), "unknown", "EN")
+    return c.groupBy("origin", F.lower("language").alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ids_without_language(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "instructions").select("data_id").distinct().select("data_id", reshape.id_without_language(F.col("data_id")).alias("plain_id"))
+
+
+def assigned_ids(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "eval_items").select("item_id", "benchmark")
+    return reshape.assign_ids(s, "eval_items", ["item_id"]).select("item_id", "data_id")
+
+
+def first_answers(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("data_id", reshape.first_answer(F.col("messages")).alias("text"))
+
+
+def empty_system_dropped(spark: SparkSession, d: str) -> DataFrame:
+    m = reshape.drop_empty_system(F.col("messages"))
+    return conversations(spark, d).select("data_id", F.size(m).alias("turns"), F.get(m, 0)["role"].alias("first_role"))
+
+
+def _kto(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in pairs: of each conversation its first turn with its answer, and with none."""
+    c = conversations(spark, d).select("data_id", F.slice("messages", 1, 1).alias("prompt"))
+    c = filters.prefix_sum(c, [F.col("data_id")], F.lit(1), "i")
+    both = F.array(F.struct((F.col("i") * 2).cast("bigint").alias("position"), F.lit(True).alias("label")), F.struct((F.col("i") * 2 + 1).cast("bigint").alias("position"), F.lit(False).alias("label")))
+    return c.select("data_id", "prompt", F.inline(both)).select("position", "data_id", "prompt", "label")
+
+
+def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = reshape.pack_pairs(_kto(spark, d))
+    return p.select("position", "data_id", "label", F.col("negative_example.label").alias("negative_label"), reshape.preference_prompt(p, "kto").alias("prompt"))
+
+
+def preference_unpacked(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.unpack_pairs(reshape.pack_pairs(_kto(spark, d))).select("position", "data_id", "label")
+
+
+def chosen_prompts(spark: SparkSession, d: str) -> DataFrame:
+    c = conversations(spark, d).withColumnRenamed("messages", "chosen")
+    return c.select("data_id", reshape.preference_prompt(c, "dpo").alias("prompt"))
+
+
+def prompt_completion(spark: SparkSession, d: str) -> DataFrame:
+    c = reshape.prompt_completion(conversations(spark, d))
+    return c.select("data_id", F.size("prompt").alias("prompt_turns"), F.get("completion", 0)["role"].alias("role"), F.get("completion", 0)["content"].alias("completion"))
+
+
+def chatml_rendered(spark: SparkSession, d: str) -> DataFrame:
+    return conversations(spark, d).select("data_id", reshape.chatml(F.col("messages")).alias("text"))
+
+
+def instruct_rendered(spark: SparkSession, d: str) -> DataFrame:
+    c = conversations(spark, d).where(reshape.alternates(F.col("messages")))
+    return c.select("data_id", reshape.instruct_template(F.col("messages")).alias("text"))
+
+
+def response_steps(spark: SparkSession, d: str) -> DataFrame:
+    e = scorers.steps(reshape.exchanges(conversations(spark, d)).where(F.contains("response", F.lit("\n"))))
+    return e.select("data_id", "exchange_idx", F.size("steps").alias("n_steps"), F.get("steps", 0).alias("first_step"))
+
+
+def cleaned_code(spark: SparkSession, d: str) -> DataFrame:
+    e = reshape.exchanges(conversations(spark, d)).where(F.contains("response", F.lit("```")))
+    return e.select("data_id", "exchange_idx", text.clean_code(F.col("response")).alias("code"))
+
+
+def truncated_responses(spark: SparkSession, d: str) -> DataFrame:
+    w = F.split(F.col("response"), " ")
+    e = reshape.exchanges(conversations(spark, d))
+    return e.select("data_id", "exchange_idx", F.array_join(text.truncated(w, 5), " ").alias("head"), F.array_join(text.truncated(w, 5, "left"), " ").alias("tail"))
+
+
+# ---- lengths, labels, statistics ----------------------------------------------------------------------------
+
+
+def token_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.token_lengths(reshape.exchanges(conversations(spark, d)))
+
+
+def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.corpus_tokens(token_lengths(spark, d))
+
+
+def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.dataset_stats(conversations(spark, d).where("origin is not null"), reshape.exchange_count(F.col("messages")))
+
+
+def majority_labels(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.majority_label(all_exchanges(spark, d))
+
+
+def composition_by_origin(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.composition(analysis(spark, d), "origin")
+
+
+def composition_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.composition(labels(spark, d), "setfit_label")
+
+
+def composition_by_language(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.composition(instructions(spark, d).withColumn("language", F.lower("language")), "language")
+
+
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.histogram(pool(spark, d), "complexity", 40, "setfit_label")
+
+
+def preference_stats(spark: SparkSession, d: str) -> DataFrame:
+    p = preference.with_preference(pool(spark, d), "quality")
+    return aggregates.mean_and_median(p, "overall_preference")
+
+
+def sampled_totals(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.sampled_totals(filters.within_length(pool(spark, d), 150))
+
+
+# ---- scorers ------------------------------------------------------------------------------------------------
+
+
+def _standin() -> Column:
+    """A fixed stand-in for a score: the response's length modulo 13 over 13."""
+    return F.length("response") % 13 / F.lit(13.0)
+
+
+def mean_complexity(spark: SparkSession, d: str) -> DataFrame:
+    return scorers.ColumnScorer("complexity", _standin, None, all_rows=True).per_sample(all_exchanges(spark, d))
+
+
+def mean_quality(spark: SparkSession, d: str) -> DataFrame:
+    return scorers.ColumnScorer("quality", _standin, filters.ROUTES["quality"]).per_sample(all_exchanges(spark, d))
+
+
+def mean_difficulty(spark: SparkSession, d: str) -> DataFrame:
+    return scorers.ColumnScorer("difficulty_v2", _standin).per_sample(all_exchanges(spark, d))
+
+
+def mean_process_reward(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in rewards: the lengths of the response's steps."""
+    e = scorers.steps(all_exchanges(spark, d)).withColumn("rewards", F.transform("steps", lambda s: F.length(s).cast("double")))
+    return scorers.process_reward_from_steps().per_sample(e)
+
+
+def routed_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = scorers.ColumnScorer("if_quality", _standin, filters.ROUTES["if_quality"]).score(all_exchanges(spark, d))
+    return e.select("data_id", "exchange_idx", "label", "score")
+
+
+def softmax_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in log probabilities: the first five numbers of an embedding times ten; the sixth mark is missing."""
+    m = F.map_from_arrays(F.array(*[F.lit(i) for i in scores.MARK_IDS[:5]]), F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10))
+    return table(spark, d, "embeddings").select("vec_id", F.round(scores.softmax_expectation(m), 6).alias("mark"))
+
+
+def step_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in logits: pairs of neighbouring numbers of an embedding, every second one marked."""
+    e = F.col("embedding")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.array(F.get(e, i).cast("double"), F.get(e, i + 1).cast("double")))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: i % 2 == 0)
+    p = scores.step_probabilities(pairs, mask)
+    return table(spark, d, "embeddings").select("vec_id", F.size(p).alias("steps"), F.round(scores.step_reward(p), 6).alias("least"), F.round(scores.step_reward(p, "mean"), 6).alias("mean"))
+
+
+def _constraints() -> Column:
+    """Fixed constraints put to every exchange."""
+    rows = [
+        ("length", "at least 20 words"), ("length", "less than 3 sentences"), ("length", "2-4 paragraphs"), ("keyword_included", "the; a"), ("keyword_avoided", "but; record"),
+        ("keyword_frequency", "use the word needs 1 times"), ("keyword_frequency", "letter e at least 12 times"), ("punctuation", "do not use commas"), ("letter_case", "all in lowercase"),
+        ("choose_output", "Yes; No"), ("start_and_ending", "start; Any goalkeeper worth"), ("start_and_ending", "ending; ."), ("start_and_ending", "wrap in double quotes"), ("repeat_prompt", "repeat the request"), ("language", "in English"),
+    ]
+    return F.array(*[F.struct(F.lit(t).alias("type"), F.lit(e).alias("expr")) for t, e in rows])
+
+
+def constraint_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    e = scorers.evaluated(reshape.exchanges(conversations(spark, d)).withColumn("constraints", _constraints()))
+    o = e.select("data_id", "exchange_idx", F.posexplode("outcomes").alias("nth", "o"))
+    return o.select("data_id", "exchange_idx", "nth", F.col("o.followed").alias("followed"))
+
+
+def instruction_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = scorers.instruction_following(reshape.exchanges(conversations(spark, d)).withColumn("constraints", _constraints()))
+    return e.select("data_id", "exchange_idx", F.size("unchecked").alias("unchecked"), F.size("followed").alias("checked"), F.round("score", 6).alias("score"))
+
+
+def rule_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers the rules are built on, of every response."""
+    r = F.col("response")
+    e = reshape.exchanges(conversations(spark, d))
+    return e.select("data_id", "exchange_idx", text.occurrences(r, F.lit(" ")).alias("blanks"), rules.sentence_count(r).alias("sentences"), rules.paragraph_count(r).alias("paragraphs"), rules.is_lower(r).alias("lower"), rules.is_upper(r).alias("upper"), rules.negated(r).alias("negated"), rules.relation(r).alias("relation"))
+
+
+def cleaned_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in answers of a model: a JSON object around the prompt's opening."""
+    i = instructions(spark, d).where("instruction is not null")
+    head = F.regexp_replace(F.substring("instruction", 1, 20), r'["\\\n\t{}]', "")
+    made = F.concat(F.lit('Sure: {"answer": {"use '), head, F.lit('": "keyword_included", "'), head, F.lit('": "length", "no": "length", "in two parts": "style", "say \'kind \' and \\"warm\\" words": "keyword_avoided", "A": "choose_output", "B or C": "choose_output"}} done'))
+    i = i.withColumn("json", code.first_json(made))
+    parsed = F.from_json("json", "answer map<string,string>")["answer"]
+    c = rules.postprocess_constraints(rules.clean_constraints(parsed))
+    return i.select("data_id", F.size(c).alias("n"), F.array_join(F.transform(c, lambda x: F.concat(x["type"], F.lit("="), x["expr"])), " | ").alias("constraints"), F.array_join(rules.questions(c), " | ").alias("questions"))
+
+
+def code_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in reviews: the code of a response, revised by dropping its last line; every third verdict is wrong."""
+    e = reshape.exchanges(conversations(spark, d)).where(F.contains("response", F.lit("```")))
+    old = F.regexp_extract("response", r"(?s)(```.*?)(?:```|$)", 1)
+    new = F.regexp_replace(old, r"\n[^\n]*\n?$", "")
+    verdict = F.when(F.length("response") % 3 == 0, "wrong").otherwise("correct")
+    answer = F.to_json(F.struct(F.lit("ok").alias("review"), verdict.alias("final_verdict"), old.alias("code_original"), new.alias("code_revision")))
+    s = code.code_score(answer)
+    return e.select("data_id", "exchange_idx", F.round(s["score"], 6).alias("score"), s["edit_similarity"].alias("distance"), s["functional_correctness"].alias("correct"))
+
+
+# ---- filters, joins, unions ----------------------------------------------------------------------------------
+
+
+def filtered_sources(spark: SparkSession, d: str) -> DataFrame:
+    i = filters.without_augmented(instructions(spark, d).withColumn("problem_source", F.coalesce("origin", F.lit("augmented_x"))))
+    return filters.of_task(i.withColumn("task", F.col("origin")), "cinder_instruct").select("data_id", "origin")
+
+
+def first_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return filters.first_rows(instructions(spark, d).select("data_id", "origin"), 250, F.col("data_id"))
+
+
+def in_languages(spark: SparkSession, d: str) -> DataFrame:
+    return filters.in_languages(instructions(spark, d), ["DE", "fr"]).select("data_id", F.lower("language").alias("language"))
+
+
+def of_subset(spark: SparkSession, d: str) -> DataFrame:
+    return filters.of_subset(pool(spark, d), "setfit_label", "Math").select("data_id", "origin")
+
+
+def within_length(spark: SparkSession, d: str) -> DataFrame:
+    return filters.within_length(pool(spark, d), 120).select("data_id", (F.col("inst_length") + F.col("resp_length")).alias("tokens"))
+
+
+def relevant_metrics(spark: SparkSession, d: str) -> DataFrame:
+    p = pool(spark, d)
+    return p.groupBy("setfit_label").agg(*[F.sum(filters.relevant(F.col("setfit_label"), m).cast("int")).alias(f"n_{m}") for m in METRICS])
+
+
+def metrics_attached(spark: SparkSession, d: str) -> DataFrame:
+    c = joins.attach_metrics(conversations(spark, d).select("data_id"), analysis(spark, d), "quality", "inst_length")
+    return c.select("data_id", F.nanvl("quality", F.lit(None)).alias("quality"), "inst_length")
+
+
+def metric_tables_attached(spark: SparkSession, d: str) -> DataFrame:
+    a = analysis(spark, d)
+    t = {m: a.select("data_id", m) for m in ("complexity", "inst_length", "resp_length")}
+    return joins.attach_metric_tables(instructions(spark, d).select("data_id"), t)
+
+
+def labels_attached(spark: SparkSession, d: str) -> DataFrame:
+    e = all_exchanges(spark, d)
+    got = joins.attach_labels(e.select("data_id", "exchange_idx"), e.select("data_id", "exchange_idx", "label"), labels(spark, d))
+    return got.select("data_id", "exchange_idx", "message_label", "sample_label")
+
+
+def semi_joined(spark: SparkSession, d: str) -> DataFrame:
+    return filters.with_ids(analysis(spark, d), conversations(spark, d)).select("data_id", "origin")
+
+
+def back_filled(spark: SparkSession, d: str) -> DataFrame:
+    return joins.not_in(analysis(spark, d), instructions(spark, d)).select("data_id", "origin")
+
+
+def united(spark: SparkSession, d: str) -> DataFrame:
+    u = joins.union_all(conversations(spark, d).select("data_id", "origin"), instructions(spark, d).select("data_id", "language"))
+    return u.groupBy("origin", F.lower("language").alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- normalisation and preference ----------------------------------------------------------------------------
+
+
+def robust_fit(spark: SparkSession, d: str) -> DataFrame:
+    f = aggregates.robust_fit(pool(spark, d), list(preference.ROBUST_METRICS))
+    return f.select(*[F.round(c, 6).alias(c) for c in f.columns])
+
+
+def min_max_by_origin(spark: SparkSession, d: str) -> DataFrame:
+    p = aggregates.min_max_scaled(pool(spark, d), ["complexity"])
+    return p.select("data_id", F.round("complexity", 6).alias("complexity"))
+
+
+def _preference(strategy: str):  # noqa: ANN202
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        p = preference.with_preference(pool(spark, d), strategy)
+        return p.select("data_id", F.round("overall_preference", 6).alias("overall_preference"))
+
+    return query
+
+
+def percentile_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    t = aggregates.percentile_threshold(pool(spark, d).where("setfit_label is not null"), "complexity", 0.29, "setfit_label")
+    return t.select("setfit_label", F.round("threshold", 6).alias("threshold"))
+
+
+# ---- selection --------------------------------------------------------------------------------------------
+
+
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, list[Column]]:
+    """The pool by response length, ties by id."""
+    return pool(spark, d), [F.col("resp_length").desc(), F.col("data_id")]
+
+
+def top_longest(spark: SparkSession, d: str) -> DataFrame:
+    p, o = _ranked(spark, d)
+    return sampling.top_k(p, 100, o).select("data_id", "resp_length")
+
+
+def stratified_top(spark: SparkSession, d: str) -> DataFrame:
+    p, o = _ranked(spark, d)
+    return sampling.stratified_top_k(p, {"Math": 0.25, "Coding": 0.25, "Generation": 0.25, "Reasoning": 0.1, "Brainstorming": 0.1, "Factual QA": 0.025, "Extraction": 0.025}, 200, o).select("data_id", "setfit_label")
+
+
+def label_limited(spark: SparkSession, d: str) -> DataFrame:
+    p, o = _ranked(spark, d)
+    return filters.within_label_limits(p, {"Math": 0.3, "Coding": 0.125, "Extraction": 0.01}, 300, o).select("data_id", "setfit_label")
+
+
+def token_budget(spark: SparkSession, d: str) -> DataFrame:
+    p, o = _ranked(spark, d)
+    return filters.within_budget(p, o, token_size=20_000, tokens=F.col("inst_length") + F.col("resp_length")).select("data_id", "resp_length")
+
+
+def token_budget_by_origin(spark: SparkSession, d: str) -> DataFrame:
+    p, o = _ranked(spark, d)
+    return filters.within_budget(p, o, token_size=1_500, tokens=F.col("inst_length") + F.col("resp_length"), group=["origin"]).select("origin", "data_id")
+
+
+def oversampled(spark: SparkSession, d: str) -> DataFrame:
+    p, o = _ranked(spark, d)
+    return sampling.oversampled(p.where("origin = 'tidal_reasoning'"), 1.5, o).select("data_id", "copy")
+
+
+def cross_lingual_first(spark: SparkSession, d: str) -> DataFrame:
+    p, o = _ranked(spark, d)
+    return sampling.cross_lingual_first(p, o).select("data_id")
+
+
+def curriculum(spark: SparkSession, d: str) -> DataFrame:
+    p = analysis(spark, d).where("difficulty_v2 is not null and not isnan(difficulty_v2)")
+    return filters.prefix_sum(p.select("data_id", "difficulty_v2"), sampling.ordering("difficulty"), F.lit(1), "place").select("data_id", F.col("place").cast("bigint").alias("place"))
+
+
+def by_category(spark: SparkSession, d: str) -> DataFrame:
+    p = pool(spark, d).where(F.col("setfit_label").isin(*CATEGORIES)).select("data_id", "setfit_label", "inst_length", "resp_length")
+    return filters.prefix_sum(p, sampling.ordering("length_category"), F.lit(1), "place").select("data_id", "setfit_label", F.col("place").cast("bigint").alias("place"))
+
+
+def random_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_random(pool(spark, d).select("data_id", "origin"), 250)
+
+
+def preference_order(spark: SparkSession, d: str) -> DataFrame:
+    p = preference.with_preference(pool(spark, d), "deita")
+    return sampling.top_k(p, 300, sampling.by_preference(42)).select("data_id", "overall_preference")
+
+
+def train_test(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.train_test_split(pool(spark, d).select("data_id"))
+
+
+def random_members(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.random_member(pool(spark, d).select("data_id", "origin"), "origin", 7)
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------
+
+
+def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    n = vectors.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 2)
+    return n.select("vec_id", "rank", F.round("distance", 5).alias("distance"))
+
+
+def nearest_of_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 asks among all."""
+    e = table(spark, d, "embeddings")
+    n = vectors.nearest(e, "vec_id", "embedding", 10, e.where("vec_id % 50 = 0"))
+    return n.select("vec_id", "rank", F.round("distance", 5).alias("distance"))
+
+
+def text_distances(spark: SparkSession, d: str) -> DataFrame:
+    """``label`` stands in for the text: the nearest neighbour with the same one gives way to the second."""
+    t = vectors.text_nearest_distance(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return t.select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+def normalised_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = scores.l2_normalised(F.transform("embedding", lambda x: x * 3))
+    return table(spark, d, "embeddings").select("vec_id", F.round(scores.norm(v), 6).alias("norm"), F.round(F.get(v, 0), 5).alias("first"))
+
+
+def near_vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.55, False).where("a < b")
+
+
+def greedy_diverse(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumn("rank", F.col("vec_id"))
+    return vectors.greedy_diverse(e, "vec_id", "embedding", "rank", 0.7).select("vec_id")
+
+
+def greedy_budget(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumn("rank", F.col("vec_id"))
+    return vectors.greedy_select(e, 100, "vec_id", "embedding", "rank", 0.7).select("vec_id")
+
+
+def greedy_scanned(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumn("rank", F.col("vec_id"))
+    return vectors.greedy_select(e, 100, "vec_id", "embedding", "rank", 0.7, by="scanned").select("vec_id")
+
+
+def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """``label`` is the given cluster, the first number of the embedding the preference."""
+    e = table(spark, d, "embeddings").withColumn("overall_preference", F.get("embedding", 0).cast("double"))
+    return vectors.cluster_select(e, 60, "label", None, "vec_id", 0.29).select("vec_id", "label")
+
+
+def kmeans_select(spark: SparkSession, d: str) -> DataFrame:
+    e = vectors.reduced(table(spark, d, "embeddings"), "embedding").withColumn("overall_preference", F.get("embedding", 0).cast("double"))
+    return vectors.cluster_select(vectors.clustered(e, "reduced", 40), 40, "cluster", None, "vec_id").select("vec_id", "cluster")
+
+
+def pca_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    r = vectors.reduced(table(spark, d, "embeddings"), "embedding")
+    return r.groupBy(F.size("reduced").alias("dimensions")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
+    q = vectors.cluster_quality(table(spark, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double"))), "embedding", "label")
+    return q.select(*[F.round(c, 4).alias(c) for c in q.columns])
+
+
+# ---- whole specs ----------------------------------------------------------------------------------------------
+
+
+def _spec_pool(spark: SparkSession, d: str) -> DataFrame:
+    c = conversations(spark, d).select("data_id", "messages")
+    i = reshape.to_chat_for_selection(instructions(spark, d).where("instruction is not null").select("data_id", "instruction", "input", "output"))
+    return pool(spark, d).join(joins.union_all(c, i.select("data_id", "messages")), "data_id")
+
+
+def _spec(**settings):  # noqa: ANN003, ANN202
+    return SelectionSpec(name="q", **settings)
+
+
+PROPORTIONS = {"Math": 0.25, "Coding": 0.25, "Generation": 0.25, "Reasoning": 0.1, "Brainstorming": 0.1, "Factual QA": 0.025, "Extraction": 0.025}
+
+
+def select_spec(spark: SparkSession, d: str) -> DataFrame:
+    """Longest answers of two sources in their category shares, short ones first."""
+    spec = _spec(scoring_strategy="longest", sample_size=120, final_setfit_proportions=PROPORTIONS, ordering_strategy="length", data=(SourceSpec("harbor_chat_mix"), SourceSpec("cinder_instruct")))
+    r = Selection(spec, _spec_pool(spark, d), seed=None).result()
+    return r.select("data_id", "origin", "setfit_label", "overall_preference", F.size("messages").alias("turns"))
+
+
+def select_budgeted(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with budgets, limits and repetition of their own."""
+    data = (SourceSpec("harbor_chat_mix", sample_size=60, setfit_limits={"Math": 0.2, "Coding": 0.5}), SourceSpec("tidal_reasoning", token_size=1_000), SourceSpec("moss_summaries", oversampling=1.5))
+    r = Selection(_spec(scoring_strategy="longest", data=data), _spec_pool(spark, d), seed=None).sampled()
+    return r.select("data_id", "origin")
+
+
+def select_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """Representatives of given clusters in each category; ``inst_length`` modulo 17 stands in for the cluster."""
+    p = _spec_pool(spark, d).withColumn("cluster", F.col("inst_length") % 17)
+    spec = _spec(scoring_strategy="combination_v5", sample_size=100, clustering="categories", threshold_percentile_clustering=0.2, final_setfit_proportions=PROPORTIONS, ordering_strategy="category")
+    return Selection(spec, p, cluster_column="cluster").result().select("data_id", "setfit_label")
+
+
+CORE = (
+    "exchanges exchange_counts ingest_chat joined_prompts selection_chat normal_roles renamed default_columns ids_without_language assigned_ids first_answers empty_system_dropped "
+    "preference_pairs preference_unpacked chosen_prompts prompt_completion chatml_rendered instruct_rendered response_steps cleaned_code truncated_responses "
+    "token_lengths corpus_tokens dataset_stats majority_labels composition_by_origin composition_by_label composition_by_language score_histogram preference_stats sampled_totals "
+    "mean_complexity mean_quality mean_difficulty mean_process_reward routed_scores softmax_marks step_probabilities constraint_outcomes instruction_scores rule_checks cleaned_constraints code_reviews "
+    "filtered_sources first_by_id in_languages of_subset within_length relevant_metrics metrics_attached metric_tables_attached labels_attached semi_joined back_filled united "
+    "robust_fit min_max_by_origin percentile_thresholds top_longest stratified_top label_limited token_budget token_budget_by_origin oversampled cross_lingual_first curriculum by_category "
+    "random_sample preference_order train_test random_members nearest_neighbours nearest_of_queries text_distances normalised_vectors near_vector_pairs greedy_diverse greedy_budget greedy_scanned "
+    "cluster_representatives kmeans_select pca_dimensions cluster_quality select_spec select_budgeted select_clustered"
+).split()
+STRATEGIES = ("default", "random", "longest", "deita", "difficulty_v2", "quality", "dedicated_quality", "combination_v5", "complexity")
+
 
 def queries() -> dict:
-    return {}
+    got = {n: globals()[n] for n in CORE}
+    return got | {f"preference_{s}": _preference(s) for s in STRATEGIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.plans.oracle import oracle_sql as sql
+
+    return sql()
