@@ -28,6 +28,8 @@ from .common import BUCKET_BITS, bucket_counts, durable, with_tokens
 SIGN_TYPE = "struct<m1:bigint,m2:bigint,prefix:array<int>>"
 #: Ratio of the sizes in one band; records in one block of a tile; keys sent to all executors at most.
 BAND, BLOCK, HOT_KEYS_SENT = 2.0, 2_000, 50_000
+#: Added to the size of a record where it can only be the larger one of a pair; no record has as many words.
+LARGER_ONLY = 1 << 30
 #: Classes of equal records up to this size are written as all their pairs; of a larger class every member
 #: is paired with its representative, and only the representative has links to other classes.
 EXPANDED_CLASS = 64
@@ -76,27 +78,30 @@ def candidate_pairs(classes: DataFrame, t: Fraction, block: int = BLOCK) -> Data
 
     ``classes``: ``a, n, m1, m2, prefix``. A record lies in the tile of each of its prefix keys and of its size
     band, and in that of the next band if a record there can still be similar; pairs are made with the smaller
-    record in the larger one's band. Both sides of the join are the same rows, so they are shuffled once. Keys
+    record in the larger one's band; as the smaller one a record of ``n`` tokens needs only its first
+    ``n - ceil(2 t / (1 + t) n) + 1`` keys. Both sides of the join are the same rows, so they are shuffled once. Keys
     with more than ``block`` records are cut in blocks, and each pair of blocks is a tile.
     """
-    rows = classes.select("a", "n", "m1", "m2", F.explode("prefix").alias("key"))
+    rows = classes.select("a", "n", "m1", "m2", F.posexplode("prefix").alias("nth", "key"))
     ratio = float(1 / t)
+    as_smaller = F.col("n") - F.ceil(2 * F.col("n") * t.numerator / F.lit(t.numerator + t.denominator) - 1e-9)
+    rows = rows.withColumn("role", F.when(F.col("nth") <= as_smaller, 0).otherwise(LARGER_ONLY)).drop("nth")
     band = lambda n: F.floor(F.log(n) / math.log(BAND) + 1e-9).cast("int")
-    rows = rows.withColumn("band", band(F.col("n"))).withColumn("reach", band(F.col("n") * ratio))
+    rows = rows.withColumn("band", band(F.col("n"))).withColumn("reach", F.when(F.col("role") == 0, band(F.col("n") * ratio)).otherwise(F.col("band")))
 
     def in_bands(df: DataFrame, *keep: str) -> DataFrame:
-        df = df.select("key", "a", "m1", "m2", "n", "band", F.explode(F.sequence("band", "reach")).alias("tile_band"), *keep)
+        df = df.select("key", "a", "m1", "m2", "n", "band", "role", F.explode(F.sequence("band", "reach")).alias("tile_band"), *keep)
         # negative: the record is a guest in a band above its own, where it is only the smaller one of a pair
-        return df.withColumn("size", F.when(F.col("tile_band") == F.col("band"), F.col("n")).otherwise(-F.col("n"))).drop("n", "band")
+        return df.withColumn("size", F.when(F.col("tile_band") == F.col("band"), F.col("n")).otherwise(-F.col("n"))).withColumn("size", F.col("size") + F.col("role")).drop("n", "band", "role")
 
     hot = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")).persist(StorageLevel.MEMORY_AND_DISK)
     few = hot.limit(HOT_KEYS_SENT + 1).count()
-    met = _met(in_bands(rows if not few else rows.join(_sized(hot, few), "key", "left_anti")).withColumn("tile", F.xxhash64("key", "tile_band")), None, t)
+    met = _met(in_bands(rows if not few else rows.join(_sized(hot, few), "key", "left_anti")).withColumn("tile", F.hash("key", "tile_band")), None, t)
     if few:
         cut = in_bands(rows.join(_sized(hot, few), "key"), "blocks").withColumn("own", F.pmod("a", F.col("blocks")).cast("int"))
         many = F.sequence(F.lit(0), F.col("blocks") - 1)
-        left = cut.withColumn("other", F.explode(many)).withColumn("tile", F.xxhash64("key", "tile_band", "own", "other"))
-        right = cut.withColumn("other", F.explode(many)).withColumn("tile", F.xxhash64("key", "tile_band", "other", "own"))
+        left = cut.withColumn("other", F.explode(many)).withColumn("tile", F.hash("key", "tile_band", "own", "other"))
+        right = cut.withColumn("other", F.explode(many)).withColumn("tile", F.hash("key", "tile_band", "other", "own"))
         met = met.unionByName(_met(left, right, t))
     return met.groupBy("x", "y").agg(F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
 
@@ -114,14 +119,15 @@ def _met(left: DataFrame, right: DataFrame | None, t: Fraction) -> DataFrame:
     l = left.select(*[F.col(c).alias("x_" + c) for c in cols])  # noqa: E741
     r = right.select(*[F.col(c).alias("y_" + c) for c in cols])
     small = F.abs("y_size")
-    both = F.col("x_size") + small
+    large = F.when(F.col("x_size") >= LARGER_ONLY, F.col("x_size") - LARGER_ONLY).otherwise(F.col("x_size"))
+    both = large + small
     # an overlap of o gives the similarity o / (both - o), so it must be at least t / (1 + t) of both
     need = F.ceil(both * F.lit(t.numerator) / F.lit(t.numerator + t.denominator) - 1e-9)
     differ = F.bit_count(F.col("x_m1").bitwiseXOR(F.col("y_m1"))) + F.bit_count(F.col("x_m2").bitwiseXOR(F.col("y_m2")))
-    larger = (F.col("x_size") > small) | ((F.col("x_size") == small) & (F.col("x_a") < F.col("y_a")))
-    fits = (small * F.lit(t.denominator) >= F.col("x_size") * F.lit(t.numerator)) & (differ <= both - 2 * need)
+    larger = (large > small) | ((large == small) & (F.col("x_a") < F.col("y_a")))
+    fits = (small * F.lit(t.denominator).cast("bigint") >= large * F.lit(t.numerator).cast("bigint")) & (differ <= both - 2 * need)
     met = l.join(r, (F.col("x_tile") == F.col("y_tile")) & larger & fits)
-    return met.select(F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.col("x_size").alias("x_n"), small.alias("y_n"))
+    return met.select(F.col("x_a").alias("x"), F.col("y_a").alias("y"), large.alias("x_n"), small.alias("y_n"))
 
 
 class NearDuplicates:
