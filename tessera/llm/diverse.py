@@ -2,7 +2,7 @@
 
 A cluster feature is (records, sum of their vectors, sum of their squared lengths); features add up, so the
 trees of partitions merge. Each partition builds a tree of bounded size (when it is full, it starts anew from
-its own leaf entries with a wider threshold), a fixed number of tasks merges these trees, and what is left,
+its own leaf entries, the closest of them added up), a fixed number of tasks merges these trees, and what is left,
 bounded whatever the table's size, is agglomerated by Ward linkage into cells. Each record goes to its
 nearest cells; inside a cell, which holds a bounded number of records, the same tree and the same linkage are
 built again from all of its records, cut at the number of groups the cell is due, and the record nearest each
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import BUCKET_BITS, bucket_counts, with_tokens
 
-DIM = 128
+DIM = 256
 BRANCHING = 24
 #: Leaf entries of one partition's tree, tasks that merge the trees of partitions, records aimed at in a cell,
 #: cells at most, and cells in which a record is looked for.
-LEAVES, MERGERS, CELL, MOST_CELLS, PROBES = 256, 8, 800, 2_048, 3
+LEAVES, MERGERS, CELL, MOST_CELLS, PROBES = 256, 8, 1_000, 2_048, 5
 #: Records of one block of a cell: a cell that holds more, such as a large group of look-alikes, is cut.
-BLOCK = 3_000
+BLOCK = 8_000
 #: Words rarer than this in the whole corpus have no weight in a vector: names and numbers.
 RARE = 11
 
@@ -41,18 +41,20 @@ def vectors(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndar
     rec = np.repeat(np.arange(len(n)), n)
     w = weight[(flat & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)]
     mixed = (flat ^ (flat >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    place = (mixed >> np.uint64(57)).astype(np.int64)
+    place = (mixed >> np.uint64(56)).astype(np.int64)
     sign = np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
     out = np.bincount(rec * DIM + place, weights=w * sign, minlength=len(n) * DIM).reshape(len(n), DIM)
     length = np.sqrt((out * out).sum(1, keepdims=True))
     return (out / np.where(length > 0, length, 1)).astype(np.float32)
 
 
-def rarity_weight(counts: np.ndarray) -> np.ndarray:
-    """Weight of each bucket of tokens: the log of how rare it is, zero below RARE occurrences."""
-    total = max(1, int(counts.sum()))
-    w = np.log(np.maximum(total / np.maximum(counts, 1) / 50, 1.05))
-    return np.where(counts >= RARE, w, 0.0).astype(np.float32)
+def weights(counts: np.ndarray) -> np.ndarray:
+    """Weight of each bucket of tokens: 1, or 0 for fewer than RARE occurrences.
+
+    All frequent words weigh alike: look-alikes share the plain words of their sentences as well as the rarer
+    ones, and weights by rarity would rest on few words and scatter a group over more cells.
+    """
+    return (counts >= RARE).astype(np.float32)
 
 
 class _Node:
@@ -129,15 +131,20 @@ class CFTree:
         return out
 
     def _rebuild(self) -> None:
+        """A new tree of half as many leaf entries: those that Ward linkage joins at the least cost are added up.
+
+        A wider threshold alone would not do: in many dimensions nearly all entries are about equally far
+        apart, and a threshold that joins some of them soon joins all.
+        """
         n, ls, ss = self.entries()
-        c = ls / n[:, None]
-        some = np.random.default_rng(0).permutation(len(n))[:400]
-        d = ((c[some][:, None] - c[some][None]) ** 2).sum(2)
-        np.fill_diagonal(d, np.inf)
-        self.threshold = max(self.threshold * 1.2, float(np.sqrt(np.median(d.min(1)) / 4)), 1e-3)
+        group = cut(ward(n, ls / n[:, None]), len(n), max(1, self.most // 2))
+        k = int(group.max()) + 1
+        total = np.zeros((k, DIM), np.float32)
+        np.add.at(total, group, ls)
+        n, ss = np.bincount(group, weights=n, minlength=k), np.bincount(group, weights=ss, minlength=k)
         self.root, self.entries_used = _Node(True), 0
-        for i in range(len(n)):
-            self.add(n[i], ls[i], ss[i])
+        for i in range(k):
+            self.add(n[i], total[i], ss[i])
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out, todo = [], [self.root]
@@ -207,8 +214,9 @@ def _frame(part: int, tree: CFTree) -> pd.DataFrame:
 
 def _lists(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(column.map(len).to_numpy(dtype=np.int64))]) if len(column) else np.zeros(1, np.int64)
-    flat = np.concatenate(column.to_list()) if len(column) else np.zeros(0, np.int64)
-    return flat.astype(np.int64).view(np.uint64), starts
+    # an empty list alone would make the whole array one of floats, which can't hold the tokens
+    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in column]) if len(column) else np.zeros(0, np.int64)
+    return flat.view(np.uint64), starts
 
 
 class Cells:
@@ -218,7 +226,7 @@ class Cells:
         """``tokens``: rows with ``id`` and ``toks``. Two passes: token frequencies, then the trees."""
         counts = bucket_counts(tokens)
         spark = tokens.sparkSession
-        self.weight = spark.sparkContext.broadcast(rarity_weight(counts))
+        self.weight = spark.sparkContext.broadcast(weights(counts))
         weight = self.weight
 
         def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -102,9 +102,11 @@ def sample_proportional(records: DataFrame, targets: DataFrame, sizes: DataFrame
     rows of one spec with equal labels are added up. ``margins`` are further columns of few values, each of
     which keeps the shares it has in the pool. Null labels and labels no spec names are not sampled; null
     proportions and minimums count as 0, specs without a size give an empty sample. Ids are taken as unique.
-    ``wanted`` is the larger of proportion times size and minimum, ``gap`` what is missing to it.
+    The report has a row for each row of ``targets``, its label as written: ``wanted`` is the larger of
+    proportion times size and minimum, ``gap`` what the records taken of the label are short of it.
     """
     spark = records.sparkSession
+    written = targets.select("spec_name", F.col(label).alias("written"), norm_label(F.col(label)).alias("label"), "proportion", "min_rows").where("written is not null").collect()  # the targets: a small table
     pool = records.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), norm_label(F.col(label)).alias("label"), *[F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"m{i}") for i, m in enumerate(margins)])
     spec = targets.where(F.col(label).isNotNull()).groupBy("spec_name", norm_label(F.col(label)).alias("label")).agg(F.sum(F.coalesce("proportion", F.lit(0.0))).alias("proportion"), F.sum(F.coalesce("min_rows", F.lit(0))).alias("min_rows"))
     spec = spec.join(sizes.groupBy("spec_name").agg(F.max("sample_size").alias("sample_size")), "spec_name", "left").collect()
@@ -131,9 +133,11 @@ def sample_proportional(records: DataFrame, targets: DataFrame, sizes: DataFrame
             w = rake(counts, [goal / max(goal.sum(), 1), *[p / max(p.sum(), 1) for p in pooled]])
             for at in np.argwhere(w > 0):
                 weights.append((name, named[at[0]], *[axes[i][at[i]] for i in range(1, len(axes))], float(w[tuple(at)]), take.get(named[at[0]], 0)))
-        for r in rows:
-            wanted = max(r["proportion"] * size, r["min_rows"])
-            report.append((name, r["label"], float(wanted), available[r["label"]], take.get(r["label"], 0), max(0.0, float(wanted) - take.get(r["label"], 0))))
+        for r in written:
+            if r["spec_name"] == name:
+                wanted = float(max((r["proportion"] or 0.0) * size, r["min_rows"] or 0))
+                taken = take.get(r["label"], 0)
+                report.append((name, r["written"], wanted, available[r["label"]], taken, max(0.0, wanted - taken)))
     ms = [f"m{i}" for i in range(len(margins))]
     shape = ", ".join(["spec_name string", "label string", *[f"{m} string" for m in ms], "w double", "quota int"])
     rated = spark.createDataFrame(weights, shape)
@@ -152,11 +156,6 @@ def sample_proportional(records: DataFrame, targets: DataFrame, sizes: DataFrame
     return sample, spark.createDataFrame(report, "spec_name string, setfit_label string, wanted double, available long, taken long, gap double")
 
 
-def short_labels(records: DataFrame, targets: DataFrame, sizes: DataFrame, label: str = "setfit_label") -> DataFrame:
-    """``spec_name, setfit_label`` (as written in ``targets``) with fewer records than the larger of
-    ``proportion * sample_size`` and ``min_rows``; the same counts as :func:`sample_proportional` uses."""
-    have = records.where(F.col(label).isNotNull()).groupBy(norm_label(F.col(label)).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    size = sizes.groupBy("spec_name").agg(F.max("sample_size").alias("_s"))
-    got = targets.withColumn("_l", norm_label(F.col(label))).join(have, "_l", "left").join(size, "spec_name", "left")
-    wanted = F.greatest(F.coalesce(F.col("proportion"), F.lit(0.0)) * F.coalesce("_s", F.lit(0)), F.coalesce("min_rows", F.lit(0)).cast("double"))
-    return got.where(F.coalesce("_n", F.lit(0)) < wanted - F.lit(1e-9)).select("spec_name", F.col(label).alias("setfit_label")).distinct()
+def short_labels(report: DataFrame) -> DataFrame:
+    """``spec_name, setfit_label`` of the report's rows that too few records can meet."""
+    return report.where(F.col("available") < F.col("wanted") - F.lit(1e-9)).select("spec_name", "setfit_label").distinct()

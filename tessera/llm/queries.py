@@ -93,15 +93,15 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dataset_config").select("spec_name", "sample_size")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return proportions.short_labels(_labels(spark, d), table(spark, d, "category_targets"), _sizes(spark, d))
-
-
 def _proportional(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pool = _labels(spark, d).withColumn("turns", F.when(F.col("n_messages") > 1, "several").otherwise("one"))
     return proportions.sample_proportional(pool, table(spark, d, "category_targets"), _sizes(spark, d), margins=("turns",))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.short_labels(_proportional(spark, d)[1])
+
+
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return _proportional(spark, d)[0]
 
