@@ -17,12 +17,11 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -363,10 +362,16 @@ def pairs_of(instructions: DataFrame, conversations: DataFrame) -> DataFrame:
     return i.unionByName(c)
 
 
-@lru_cache(maxsize=2)
-def _models(key: str, held) -> tuple[Languages, Ends]:  # noqa: ANN001
-    names, counts, grams, short = held.value
-    return Languages(names, counts), Ends(grams, short)
+_kept: dict[str, tuple[Languages, Ends]] = {}
+
+
+def _models(key: str, held: Broadcast) -> tuple[Languages, Ends]:
+    """The models of a run, built once in a worker process."""
+    if key not in _kept:
+        _kept.clear()
+        names, counts, grams, short = held.value
+        _kept[key] = Languages(names, counts), Ends(grams, short)
+    return _kept[key]
 
 
 def find_defects(pairs: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def ward(n: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float]]:
     w, c = n.astype(np.float64).copy(), centre.astype(np.float64).copy()
     alive, name = np.ones(m, bool), np.arange(m)
     sq = (c * c).sum(1)
-    merges, chain, fresh = [], [], m
+    merges, chain, fresh, cost = [], [], m, np.zeros(2 * m)
     while fresh < 2 * m - 1:
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -180,7 +180,9 @@ def ward(n: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float]]:
         if len(chain) > 1 and d[chain[-2]] <= d[y]:
             y = chain[-2]
             chain = chain[:-2]
-            merges.append((name[x], name[y], float(d[y]), fresh))
+            # rounding must not make a merge cheaper than those it is made of
+            cost[fresh] = max(float(d[y]), cost[name[x]], cost[name[y]])
+            merges.append((int(name[x]), int(name[y]), float(cost[fresh]), fresh))
             c[x] = (c[x] * w[x] + c[y] * w[y]) / (w[x] + w[y])
             w[x] += w[y]
             sq[x] = (c[x] * c[x]).sum()

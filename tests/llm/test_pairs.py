@@ -132,6 +132,15 @@ def test_ward_cuts_apart_what_is_apart():
     assert costs == sorted(costs) and len(costs) == 29
 
 
+def test_every_cut_has_as_many_groups_as_asked():
+    g = np.random.default_rng(2)
+    m = g.integers(0, 2, (300, diverse.DIM)).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[50:90] = m[3]
+    merges = diverse.ward(g.integers(1, 5, 300).astype(float), m)
+    assert all(diverse.cut(merges, 300, k).max() + 1 == k for k in range(1, 301))
+
+
 def test_cluster_features_add_up():
     g = np.random.default_rng(1)
     m = g.normal(size=(500, diverse.DIM)).astype(np.float32)
