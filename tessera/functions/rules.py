@@ -27,6 +27,11 @@ TYPES = (
 WORD_TOLERANCE = 5
 
 
+def let(f, **values: Column) -> Column:  # noqa: ANN001
+    """``f`` of a struct of values, each of which is computed once however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 1)
+
+
 def any_of(c: Column, parts: tuple[str, ...]) -> Column:
     out = contains(c, parts[0])
     for p in parts[1:]:
@@ -49,8 +54,7 @@ def relation(c: Column) -> Column:
 
 def effective_relation(c: Column) -> Column:
     """The relation, turned round by a negation where it is ``<`` or ``>``."""
-    r = relation(c)
-    return F.when((r == "<") & negated(c), ">=").when((r == ">") & negated(c), "<=").otherwise(r)
+    return let(lambda v: F.when(v["r"].isin("<", ">") & negated(c), F.when(v["r"] == "<", ">=").otherwise("<=")).otherwise(v["r"]), r=relation(c))
 
 
 def digits(c: Column) -> Column:
@@ -60,24 +64,30 @@ def digits(c: Column) -> Column:
 def counts(c: Column) -> Column:
     """Numbers written as words, each once and in ascending order; without any, those in digits."""
     named = F.filter(F.array(*[F.when(contains(c, w), F.lit(i).cast("bigint")) for i, w in enumerate(NUMBERS, 1)]), lambda x: x.isNotNull())
-    return F.when(F.size(named) > 0, named).otherwise(digits(c))
+    return let(lambda v: F.when(F.size(v["n"]) > 0, v["n"]).otherwise(digits(c)), n=named)
 
 
 def compare(n: Column, r: Column, numbers: Column) -> Column:
     """Whether ``n`` stands in the relation to the numbers; null without any. A range needs two of them."""
-    a, b = F.get(numbers, 0), F.get(numbers, 1)
-    held = F.when(r == "<", n < a).when(r == ">", n > a).when(r == "<=", n <= a).when(r == ">=", n >= a).when((r == "--") & b.isNotNull(), (n >= a) & (n <= b)).otherwise(n == a)
-    return F.when(a.isNotNull(), held)
+
+    def held(v: Column) -> Column:
+        n, r, a, b = v["n"], v["r"], F.get(v["x"], 0), F.get(v["x"], 1)
+        out = F.when(r == "<", n < a).when(r == ">", n > a).when(r == "<=", n <= a).when(r == ">=", n >= a).when((r == "--") & b.isNotNull(), (n >= a) & (n <= b)).otherwise(n == a)
+        return F.when(a.isNotNull(), out)
+
+    return let(held, n=n, r=r, x=numbers)
 
 
 def check_words(c: Column, response: Column) -> Column:
     """Length in words (counted by blanks) with a tolerance."""
-    n = occurrences(response, F.lit(" "))
-    r, nums = effective_relation(c), digits(c)
-    a, b, t = F.get(nums, 0), F.get(nums, 1), WORD_TOLERANCE
-    below, above = n < a + t, n > a - t
-    held = F.when(r.isin("<", "<="), below).when(r.isin(">", ">="), above).when((r == "--") & b.isNotNull(), above & (n < b + t)).otherwise(above & below)
-    return F.when(a.isNotNull(), held)
+
+    def held(v: Column) -> Column:
+        n, r, a, b, t = v["n"], v["r"], F.get(v["x"], 0), F.get(v["x"], 1), WORD_TOLERANCE
+        below, above = n < a + t, n > a - t
+        out = F.when(r.isin("<", "<="), below).when(r.isin(">", ">="), above).when((r == "--") & b.isNotNull(), above & (n < b + t)).otherwise(above & below)
+        return F.when(a.isNotNull(), out)
+
+    return let(held, n=occurrences(response, F.lit(" ")), r=effective_relation(c), x=digits(c))
 
 
 def sentence_count(response: Column) -> Column:
@@ -131,19 +141,30 @@ def check_frequency(c: Column, response: Column, compat: bool = False) -> Column
 
     ``compat``: ``<`` and ``>`` act as ``=``. Without a word, name or letter after its mark rules can't tell.
     """
-    w = F.transform(F.split(c, " "), lambda x: F.translate(strip(x), "\"'.,", ""))
-    at = lambda x: F.array_position(w, x)
-    times = F.coalesce(F.get(w, (at("times") - 2).cast("int")).try_cast("int"), F.lit(0))
-    times = F.when(at("times") > 1, times).when(at("times") == 1, F.coalesce(F.element_at(w, -1).try_cast("int"), F.lit(0)))
-    n = F.when(F.array_contains(w, "once"), 1).when(F.array_contains(w, "twice"), 2).otherwise(F.coalesce(times, F.lit(0)))
-    after = lambda x: F.get(w, at(x).cast("int"))
-    word = F.when(at("word") > 0, after("word")).when(at("name") > 0, after("name"))
-    letter = F.when((at("word") == 0) & (at("name") == 0) & (at("letter") > 0), after("letter"))
-    seen = F.when(word.isNotNull(), occurrences(response, word) + occurrences(response, title(word))).when(letter.isNotNull(), occurrences(response, letter))
-    r = relation(c)
-    r = F.when(r.isin("<=", ">="), r).otherwise("=") if compat else r
-    held = F.when(r == "<", seen < n).when(r == ">", seen > n).when(r == "<=", seen <= n).when(r == ">=", seen >= n).otherwise(seen == n)
-    return F.when((n > 0) & seen.isNotNull(), held)
+    words = F.transform(F.split(c, " "), lambda x: F.translate(strip(x), "\"'.,", ""))
+
+    def places(v: Column) -> Column:
+        w = v["w"]
+        at = lambda x: F.array_position(w, x)
+        before = F.when(at("times") > 1, F.get(w, (at("times") - 2).cast("int"))).when(at("times") == 1, F.element_at(w, -1))
+        n = F.when(F.array_contains(w, "once"), 1).when(F.array_contains(w, "twice"), 2).otherwise(F.coalesce(before.try_cast("int"), F.lit(0)))
+        after = lambda x: F.get(w, at(x).cast("int"))
+        word = F.when(at("word") > 0, after("word")).when(at("name") > 0, after("name"))
+        letter = F.when((at("word") == 0) & (at("name") == 0) & (at("letter") > 0), after("letter"))
+        return F.struct(n.alias("n"), word.alias("word"), letter.alias("letter"))
+
+    def counted(v: Column) -> Column:
+        p = v["p"]
+        return F.when(p["word"].isNotNull(), occurrences(response, p["word"]) + occurrences(response, title(p["word"]))).when(p["letter"].isNotNull(), occurrences(response, p["letter"]))
+
+    def held(v: Column) -> Column:
+        n, seen, r = v["p"]["n"], v["seen"], v["r"]
+        if compat:
+            r = F.when(r.isin("<=", ">="), r).otherwise("=")
+        out = F.when(r == "<", seen < n).when(r == ">", seen > n).when(r == "<=", seen <= n).when(r == ">=", seen >= n).otherwise(seen == n)
+        return F.when((n > 0) & seen.isNotNull(), out)
+
+    return let(lambda v: let(held, p=v["p"], seen=counted(v), r=relation(c)), p=let(places, w=words))
 
 
 def is_lower(c: Column) -> Column:

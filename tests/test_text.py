@@ -61,7 +61,7 @@ def test_fill(spark):
     ("constraint", "words", "sentences", "paragraphs"),
     [
         ("at least 3 words", True, True, False), ("less than 2", True, False, True), ("not more than two sentences", None, False, True), ("2-4", True, True, False), ("no number", None, None, None),
-        ("exactly three", None, True, False), ("up to 1 word", True, False, True), ("fewer than 9", True, True, True), ("around 3", True, True, False), ("don't use less than 2 words", True, True, False),
+        ("exactly three parts", None, True, False), ("up to 1 word", True, False, True), ("fewer than 9", True, True, True), ("around 3", True, True, False), ("don't use less than 2 words", True, True, False),
     ],
 )
 def test_length_rules(spark, constraint, words, sentences, paragraphs):
