@@ -301,9 +301,9 @@ def look_alikes(df: DataFrame, id_col: str, text: str = "text", min_words: int =
     ``PROBES`` nearest; the similarity is exact. A cell with more than ``block`` records is cut in blocks by
     hash: members of a large group of look-alikes find enough others in their own block, and only records that
     don't go on to ask in every other block of the cell, so no block outgrows a task. Records of fewer than
-    ``min_words`` words, null and empty texts are no one's neighbour. An empty table gives none.
+    ``min_words`` words, null and empty texts are no one's neighbour; rows without an id are left out. An empty table gives none.
     """
-    tokens = with_tokens(df.select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words).select("id", "toks").persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words).select("id", "toks").persist(StorageLevel.MEMORY_AND_DISK)
     cells = Cells(tokens, cell)
     routed = cells.route(tokens, PROBES).select("id", "toks", F.posexplode("cells").alias("nth", "cell")).withColumn("home", F.col("nth") == 0).drop("nth").persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {r["cell"]: -(-r["count"] // block) for r in routed.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
@@ -370,7 +370,8 @@ def select_varied(df: DataFrame, sizes: dict[str, int], scores: dict[str, Column
     number of groups and the record nearest each centre is taken. Of records whose distance is within
     ``slack`` of the nearest the one with the best ``scores[spec]`` is taken (a Column over ``df``; null is
     worst), ties by id. A subset is never larger than the pool, and short of its size only where the pool has
-    fewer records. Texts without any words lie in one group. Ids are taken as unique.
+    fewer records. Texts without any words lie in one group. Rows without an id are
+    left out, ids are taken as unique.
     """
     specs = [s for s, k in sorted(sizes.items()) if k and k > 0]
     kind = dict(df.dtypes)[id_col]
@@ -378,7 +379,7 @@ def select_varied(df: DataFrame, sizes: dict[str, int], scores: dict[str, Column
     if not specs:
         return df.sparkSession.createDataFrame([], shape)
     score = F.array(*[F.coalesce((scores or {}).get(s, F.lit(0.0)).cast("double"), F.lit(float("-inf"))) for s in specs])
-    tokens = with_tokens(df.select(F.col(id_col).alias("id"), text, score.alias("scores")), text).select("id", "toks", "scores").persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text, score.alias("scores")), text).select("id", "toks", "scores").persist(StorageLevel.MEMORY_AND_DISK)
     cells = Cells(tokens, cell)
     routed = cells.route(tokens, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells").persist(StorageLevel.MEMORY_AND_DISK)
     count = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # at most MOST_CELLS rows

@@ -136,13 +136,13 @@ class NearDuplicates:
     * ``members``: every record with its class representative ``rep`` (the smallest id of the class).
     * ``links``: pairs of representatives ``x < y`` of similarity ``t`` or more, with the similarity.
 
-    Records with fewer than ``min_words`` words, null and empty texts take part in neither. Ids are taken as
-    unique. An empty table gives empty results. ``t`` is taken as an exact fraction: 4/5 includes 0.8.
+    Records with fewer than ``min_words`` words, null and empty texts take part in neither. Rows without
+    an id are left out, ids are taken as unique. An empty table gives empty results. ``t`` is taken as an exact fraction: 4/5 includes 0.8.
     """
 
     def __init__(self, df: DataFrame, id_col: str, text: str = "text", t: Fraction = Fraction(4, 5), min_words: int = 20, block: int = BLOCK) -> None:
         self.t = t
-        toks = with_tokens(df.select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words)
+        toks = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words)
         self.tokens = toks.persist(StorageLevel.MEMORY_AND_DISK)
         counts = bucket_counts(self.tokens)
         sign = _signer(counts, t)
