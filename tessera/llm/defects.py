@@ -186,7 +186,9 @@ class Ends:
         s = _short(text)
         if s and s in self.short:
             return 1.0
-        t = shape(text)[-(LONGEST_SHAPE):]
+        # the end is enough, unless the start is among the last marks
+        t = shape(text) if len(text) <= 500 else shape(text[-500:])[1:]
+        t = t[-LONGEST_SHAPE:]
         got = 1.0
         for k in range(len(t), 0, -1):
             seen, ended = self.grams.get(tuple(t[-k:]), (0, 0))
@@ -208,10 +210,11 @@ def fit_ends(answers: DataFrame) -> Ends:
                 if not t:
                     continue
                 s = shape(t)
-                for k in range(1, LONGEST_SHAPE + 1):
-                    seen.update(zip(*[s[j:] for j in range(k)]))
-                    if len(s) >= k:
-                        ended[tuple(s[-k:])] += 1
+                n = LONGEST_SHAPE
+                # one n-gram a place, the longest; those within it are added up when a frame is written
+                seen.update(zip(*[s[j:] for j in range(n)]))
+                seen.update([tuple(s[:k]) for k in range(1, min(n, len(s) + 1))])
+                ended[tuple(s[-n:])] += 1
                 if (w := _short(t)) is not None:
                     ended[("text", w)] += 1
                 if len(seen) > 400_000:
@@ -219,7 +222,16 @@ def fit_ends(answers: DataFrame) -> Ends:
                     seen, ended = Counter(), Counter()
         yield _frame(seen, ended)
 
-    def _frame(seen: Counter, ended: Counter) -> pd.DataFrame:
+    def _frame(longest: Counter, last: Counter) -> pd.DataFrame:
+        seen: Counter = Counter()
+        ended: Counter = Counter()
+        for of, to in ((longest, seen), (last, ended)):
+            for g, n in of.items():
+                if g[0] == "text":
+                    to[g] += n
+                else:
+                    for k in range(len(g)):
+                        to[g[k:]] += n
         keys = list(seen.keys() | ended.keys())
         return pd.DataFrame({"gram": ["\x1f".join(k) for k in keys], "seen": [seen.get(k, 0) for k in keys], "ended": [ended.get(k, 0) for k in keys]})
 
@@ -248,7 +260,7 @@ def is_empty(answer: str | None) -> bool:
 
 def is_copy(prompt: str | None, answer: str) -> bool:
     """Whether the answer has hardly a word that isn't the prompt's, and most of the prompt's words."""
-    if not prompt:
+    if not prompt or len(answer) > 3 * len(prompt) + 100 or 4 * len(answer) + 100 < len(prompt):
         return False
     p = WORD.findall(prompt.lower())
     if not p:
