@@ -115,7 +115,11 @@ def _met(left: DataFrame, right: DataFrame | None, t: Fraction) -> DataFrame:
     cols = ("tile", "a", "size", "m1", "m2")
     n = left.sparkSession.conf.get("spark.sql.shuffle.partitions")
     left = left.select(*cols).repartition(int(n), "tile")
-    right = left if right is None else right.select(*cols).repartition(int(n), "tile")
+    if right is None:
+        # kept with their partitioning, so that both sides of the join read the one shuffle
+        left = right = left.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        right = right.select(*cols).repartition(int(n), "tile")
     l = left.select(*[F.col(c).alias("x_" + c) for c in cols])  # noqa: E741
     r = right.select(*[F.col(c).alias("y_" + c) for c in cols])
     small = F.abs("y_size")
@@ -143,7 +147,9 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, id_col: str, text: str = "text", t: Fraction = Fraction(4, 5), min_words: int = 20, block: int = BLOCK) -> None:
         self.t = t
         toks = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words)
-        self.tokens = toks.persist(StorageLevel.MEMORY_AND_DISK)
+        # partitioned by id once: the joins that fetch both records of a pair move the pairs only
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.tokens = toks.repartition(n, "id").persist(StorageLevel.MEMORY_AND_DISK)
         counts = bucket_counts(self.tokens)
         sign = _signer(counts, t)
         signed = self.tokens.select("id", "n", "a", "b", sign("toks").alias("s")).select("id", "n", "a", "b", "s.*")
