@@ -64,17 +64,25 @@ def histogram(df: DataFrame, column: str, bins: int = 200, by: str | None = None
     return rows.crossJoin(F.broadcast(ends)).groupBy(b.alias("bin"), *([by] if by else [])).agg(F.count(F.lit(1)).alias("n"))  # one row of ends
 
 
-def mean_and_median(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"))
+def quantiles(x: Column | str, shares: Column, accuracy: int | None = None) -> Column:
+    """Interpolated quantiles; with ``accuracy`` from a sketch of bounded size, off by one row in ``accuracy``.
 
+    The exact aggregate keeps every different value in one task: pass an accuracy for tables of billions of rows.
+    """
+    return F.percentile(x, shares) if accuracy is None else F.percentile_approx(x, shares, accuracy)
 
-def robust_fit(df: DataFrame, metrics: list[str], label: str = "setfit_label") -> DataFrame:
+
+def mean_and_median(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
+    return df.agg(F.avg(column).alias("mean"), quantiles(column, F.lit(0.5), accuracy).alias("median"))
+
+
+def robust_fit(df: DataFrame, metrics: list[str], label: str = "setfit_label", accuracy: int | None = None) -> DataFrame:
     """One row: median and distance of the 1st and 99th percentile of each metric, over the samples it says
     something about; missing values count as 0."""
     aggs = []
     for m in metrics:
         x = F.when(relevant(F.col(label), m), F.coalesce(F.nanvl(F.col(m), F.lit(None)), F.lit(0.0)))
-        p = F.percentile(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
+        p = quantiles(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)), accuracy)
         aggs += [F.get(p, 1).alias(f"{m}_center"), (F.get(p, 2) - F.get(p, 0)).alias(f"{m}_scale")]
     return df.agg(*aggs)
 
@@ -96,9 +104,9 @@ def min_max_scaled(df: DataFrame, metrics: list[str], group: str = "origin") ->
     return out.drop(*[f"{m}_{x}" for m in metrics for x in ("low", "high")])
 
 
-def percentile_threshold(df: DataFrame, column: str, share: float, group: str | None = None) -> DataFrame:
+def percentile_threshold(df: DataFrame, column: str, share: float, group: str | None = None, accuracy: int | None = None) -> DataFrame:
     """The percentile ``int(share * 100)`` of a column, interpolated."""
-    p = F.percentile(column, F.lit(int(share * 100) / 100)).alias("threshold")
+    p = quantiles(column, F.lit(int(share * 100) / 100), accuracy).alias("threshold")
     return df.groupBy(group).agg(p) if group else df.agg(p)
 
 

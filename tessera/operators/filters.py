@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +77,7 @@ def within_length(df: DataFrame, most: int = MAX_SEQUENCE) -> DataFrame:
 def within_budget(df: DataFrame, order: list[Column], sample_size: int | None = None, token_size: int | None = None, tokens: Column | None = None, group: list[str] | None = None) -> DataFrame:
     """Rows of an ordered scan as long as the rows (or else the tokens) before them are under the budget.
 
-    The scan is a running sum over one partition per group; without a group it goes by blocks: block totals
-    first, then the running sum inside of each block.
+    With ``group`` each group has a scan and a budget of its own. See :func:`prefix_sum` for the running sum.
     """
     if sample_size is not None and not group:
         return df.orderBy(*order).limit(sample_size)
@@ -85,25 +85,29 @@ def within_budget(df: DataFrame, order: list[Column], sample_size: int | None =
         return df
     n = F.lit(1) if sample_size is not None else tokens
     budget = sample_size if sample_size is not None else token_size
-    if group:
-        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("_s", F.coalesce(F.sum(n).over(w), F.lit(0))).where(F.col("_s") < budget).drop("_s")
-    return prefix_sum(df, order, n, "_s").where(F.col("_s") < budget).drop("_s")
+    return prefix_sum(df, order, n, "_s", group).where(F.col("_s") < budget).drop("_s")
 
 
-def prefix_sum(df: DataFrame, order: list[Column], n: Column, out: str) -> DataFrame:
-    """``out``: the sum of ``n`` over all rows before, in a total order, without gathering them in one task.
+def prefix_sum(df: DataFrame, order: list[Column], n: Column, out: str, group: list[str] | None = None) -> DataFrame:
+    """``out``: the sum of ``n`` over all rows before (of the same group), in a total order, without gathering
+    the table or a group in one task.
 
-    Rows are range-partitioned and sorted, the sums of partitions added up (one row a partition), and running
+    Rows are range-partitioned and sorted, the sums of partitions (and groups in them) added up, and running
     sums taken inside of each.
     """
-    parts = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
-    pid = F.shiftrightunsigned("_m", 33)
-    parts = parts.withColumn("_p", pid).withColumn("_n", F.coalesce(n, F.lit(0)))
-    totals = parts.groupBy("_p").agg(F.sum("_n").alias("_t"))
-    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    w = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.join(before, "_p").withColumn(out, F.col("_b") + F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_m", "_p", "_n", "_b")
+    by = [F.col(g) for g in group or []]
+    names = [f"_g{i}" for i in range(len(by))]
+    parts = df.orderBy(*by, *order).withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = parts.withColumn("_p", F.shiftrightunsigned("_m", 33)).withColumn("_n", F.coalesce(n, F.lit(0)))
+    totals = parts.groupBy("_p", *[c.alias(x) for c, x in zip(by, names)]).agg(F.sum("_n").alias("_t"))
+    earlier = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t").withColumnRenamed("_p", "_q")
+    same = F.col("_p") == F.col("_q")
+    for c, x in zip(by, names):
+        same = same & c.eqNullSafe(F.col(x))
+    inside = Window.partitionBy("_p", *by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    got = parts.join(before, same).withColumn(out, F.col("_b") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return got.drop("_m", "_p", "_q", "_n", "_b", *names)
 
 
 def first_in_groups(df: DataFrame, group: str, quotas: dict[str, int], order: list[Column]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import quantiles
 from tessera.operators.filters import first_in_groups
 
 #: Vectors in one block: two blocks and their products fit a task many times over.
@@ -65,27 +66,84 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 1, queries: DataFr
     aggregate merges.
     """
     kind = dict(df.dtypes)[id_col]
+    parts = block_pairs(df, id_col, vector, queries, block).groupBy("i", "j").applyInPandas(_best_of(k), f"id {kind}, other {kind}, distance double")
+    return _merged(parts, id_col, k)
+
+
+def _best_of(k: int):  # noqa: ANN202
+    """The ``k`` nearest rows (side 1) of each asking row (side 0) of a frame."""
 
     def best(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f[f["side"] == 0], f[f["side"] == 1].sort_values("id")
         if not len(a) or not len(b):
             return pd.DataFrame({"id": f["id"][:0], "other": f["id"][:0], "distance": np.zeros(0)})
-        d = 1 - _unit(a["vec"]) @ _unit(b["vec"]).T
-        d = np.round(d, 12)
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        d[ids[:, None] == others[None, :]] = np.inf
-        m = min(k, len(others))
-        at = np.argsort(d, axis=1, kind="stable")[:, :m]
-        dist = np.take_along_axis(d, at, 1)
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"id": np.repeat(ids, m).reshape(-1, m)[keep], "other": others[at][keep], "distance": dist[keep]})
-
-    parts = block_pairs(df, id_col, vector, queries, block).groupBy("i", "j").applyInPandas(best, f"id {kind}, other {kind}, distance double")
-    got = parts.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("b"))
+        out = []
+        for s in range(0, len(a), BLOCK):
+            part = a.iloc[s : s + BLOCK]
+            d = np.round(1 - _unit(part["vec"]) @ _unit(b["vec"]).T, 12)
+            ids, others = part["id"].to_numpy(), b["id"].to_numpy()
+            d[ids[:, None] == others[None, :]] = np.inf
+            m = min(k, len(others))
+            at = np.argsort(d, axis=1, kind="stable")[:, :m]
+            dist = np.take_along_axis(d, at, 1)
+            keep = np.isfinite(dist)
+            out.append(pd.DataFrame({"id": np.repeat(ids, m).reshape(-1, m)[keep], "other": others[at][keep], "distance": dist[keep]}))
+        return pd.concat(out)
+
+    return best
+
+
+def _merged(parts: DataFrame, id_col: str, k: int) -> DataFrame:
+    """Of the neighbours found in parts the ``k`` nearest of each query: what is merged is ``k`` rows a part."""
+    got = parts.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "other"))), 1, k).alias("b"))
     got = got.select("id", F.posexplode("b").alias("p", "s"))
     return got.select(F.col("id").alias(id_col), F.col("s.other").alias("other"), F.col("s.distance").alias("distance"), (F.col("p") + 1).alias("rank"))
 
 
+class CellIndex:
+    """An index of vectors by their nearest of a set of centres.
+
+    The centres are fitted on at most ``sample`` rows, chosen by hash; every row is indexed. A query is compared
+    exactly with the rows of its ``probes`` nearest cells only, so a neighbour in another cell can be missed:
+    the recall against :func:`nearest` is measured in the tests.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, vector: str, cells: int, sample: int = 20_000, seed: int = 42) -> None:
+        self.id_col, self.vector, self.kind = id_col, vector, dict(df.dtypes)[id_col]
+        n = df.count()
+        some = df if n <= sample else df.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        m = _unit(some.orderBy(id_col).select(vector).toPandas()[vector]) if n else np.zeros((1, 1))
+        cells = max(1, min(cells, len(m)))
+        label = lloyd(m, cells, seed)
+        self.centres = np.stack([m[label == j].mean(0) for j in np.unique(label)])
+        self.held = df.sparkSession.sparkContext.broadcast(self.centres)
+        self.rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec")).withColumn("cell", F.element_at(self._cells("vec", 1), 1))
+
+    def _cells(self, vector: str, probes: int) -> Column:
+        held = self.held
+
+        def near(v: pd.Series) -> pd.Series:
+            c = held.value
+            d = (c * c).sum(1) - 2 * _unit(v) @ c.T
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+        return F.pandas_udf(near, "array<int>")(vector)
+
+    def search(self, queries: DataFrame, k: int, probes: int, block: int = BLOCK) -> DataFrame:
+        """``id, other, distance, rank``: the ``k`` nearest others of each query among its cells.
+
+        A cell with more than ``block`` rows is searched in blocks, each by a task of its own.
+        """
+        sizes = {r["cell"]: -(-r["count"] // block) for r in self.rows.groupBy("cell").count().collect()}  # one row a cell
+        blocks = F.element_at(F.lit([sizes.get(i, 1) for i in range(len(self.centres))]), F.col("cell") + 1)
+        rows = self.rows.select("cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("b"), "id", "vec", F.lit(1).alias("side"))
+        asks = queries.select(F.col(self.id_col).alias("id"), F.col(self.vector).alias("vec"))
+        asks = asks.withColumn("cell", F.explode(self._cells("vec", probes)))
+        asks = asks.select("cell", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("b"), "id", "vec", F.lit(0).alias("side"))
+        parts = asks.unionByName(rows).groupBy("cell", "b").applyInPandas(_best_of(k), f"id {self.kind}, other {self.kind}, distance double")
+        return _merged(parts, self.id_col, k)
+
+
 def text_nearest_distance(df: DataFrame, id_col: str, vector: str, text: str) -> DataFrame:
     """Distance to the nearest vector that isn't the text's own: the second nearest if the nearest has the same text."""
     two = nearest(df, id_col, vector, 2)
@@ -220,7 +278,7 @@ def lloyd(m: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
     return label
 
 
-def cluster_select(df: DataFrame, n: int | dict[str, int], cluster: str = "cluster", order: list[Column] | None = None, id_col: str = "data_id", percentile: float = 0.0, strategy: str | None = None, preference: str = "overall_preference", group: str | None = None, seed: int = 42) -> DataFrame:
+def cluster_select(df: DataFrame, n: int | dict[str, int], cluster: str = "cluster", order: list[Column] | None = None, id_col: str = "data_id", percentile: float = 0.0, strategy: str | None = None, preference: str = "overall_preference", group: str | None = None, seed: int = 42, accuracy: int | None = None) -> DataFrame:
     """The best row of each cluster if it is above the percentile of all preferences, then the best of the rest
     until there are ``n``; all rows if there are fewer than ``n``.
 
@@ -236,7 +294,7 @@ def cluster_select(df: DataFrame, n: int | dict[str, int], cluster: str = "clust
         return df.limit(0)
     key = F.col(group) if group else F.lit("")
     rows = df.withColumn("_g", key).where(F.col("_g").isin(*quotas))
-    stats = rows.groupBy("_g").agg(F.percentile(preference, F.lit(int(percentile * 100) / 100)).alias("_t"))
+    stats = rows.groupBy("_g").agg(quantiles(preference, F.lit(int(percentile * 100) / 100), accuracy).alias("_t"))
     ids = F.struct(*shuffled(seed, id_col))
     best = rows.groupBy("_g", cluster).agg(*([F.min_by(id_col, ids).alias("_i"), F.lit(None).alias("_p")] if strategy == "random" else [F.max_by(id_col, F.struct(F.col(preference).isNotNull(), F.col(preference), *_descending(df, id_col))).alias("_i"), F.max(preference).alias("_p")]))
     reps = best.join(stats, "_g").where(F.lit(strategy == "random") | (F.col("_p") > F.col("_t"))).select(F.col("_i").alias(id_col), F.lit(1).alias("_rep"))

@@ -108,13 +108,14 @@ class Selection:
     """A spec over a pool of samples with their metrics: ``data_id, origin, messages`` and metric columns.
 
     Every step is a DataFrame; nothing runs before the result is read, but for the counts that oversampling,
-    clustering and greedy diversity need. ``cluster_column`` names given clusters; without it embeddings are
+    clustering and greedy diversity need. ``accuracy``: quantiles from bounded sketches instead of exact ones, for
+    pools of billions of rows. ``cluster_column`` names given clusters; without it embeddings are
     clustered.
     """
 
-    def __init__(self, spec: SelectionSpec, pool: DataFrame, vector: str | None = None, cluster_column: str | None = None, label: str = "setfit_label", seed: int | None = 42) -> None:
+    def __init__(self, spec: SelectionSpec, pool: DataFrame, vector: str | None = None, cluster_column: str | None = None, label: str = "setfit_label", seed: int | None = 42, accuracy: int | None = None) -> None:
         preference.weights_of(spec.scoring_strategy)
-        self.spec, self.pool, self.vector, self.cluster_column, self.label, self.seed = spec, pool, vector, cluster_column, label, seed
+        self.spec, self.pool, self.vector, self.cluster_column, self.label, self.seed, self.accuracy = spec, pool, vector, cluster_column, label, seed, accuracy
 
     def order(self) -> list[Column]:
         if self.spec.scoring_strategy == "random":
@@ -152,7 +153,7 @@ class Selection:
         names = [s.name for s in self.spec.data]
         mine = self.pool.where(F.col("origin").isin(names)) if names else self.pool
         have = [m for m in preference.ROBUST_METRICS if m in self.pool.columns]
-        fit = robust_fit(mine, have, self.label)
+        fit = robust_fit(mine, have, self.label, self.accuracy)
         for m in preference.ROBUST_METRICS:
             if m not in have:
                 fit = fit.withColumn(f"{m}_center", F.lit(0.0)).withColumn(f"{m}_scale", F.lit(1.0))
@@ -192,7 +193,7 @@ class Selection:
             parts = [(None, n)] if isinstance(n, int) else [(c, k) for c, k in n.items() if k > 0]
             of = [vectors.clustered(vectors.reduced(df if c is None else df.where(F.col(self.label) == c), self.vector), "reduced", k, id_col="data_id") for c, k in parts]
             df = joins.union_all(*of) if of else df.withColumn(column, F.lit(0)).limit(0)
-        return vectors.cluster_select(df, n, column, self.order(), "data_id", self.spec.threshold_percentile_clustering, self.spec.scoring_strategy, group=group)
+        return vectors.cluster_select(df, n, column, self.order(), "data_id", self.spec.threshold_percentile_clustering, self.spec.scoring_strategy, group=group, accuracy=self.accuracy)
 
     def result(self) -> DataFrame:
         return sampling.finished(self.sampled(), self.spec.ordering_strategy, label=self.label)

@@ -166,6 +166,33 @@ def test_nearest_is_exact(spark):
     assert all(got[i]["other"] == d[i].argmin() and got[i]["distance"] == pytest.approx(d[i].min(), abs=1e-9) for i in range(150))
 
 
+@pytest.mark.parametrize("block", [2048, 20])
+def test_index_recall(spark, sf_dir, block):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0")
+    want = {(r["vec_id"], r["other"]) for r in vectors.nearest(e, "vec_id", "embedding", 10, q).collect()}
+    index = vectors.CellIndex(e, "vec_id", "embedding", 16, sample=300)
+    got = [(r["vec_id"], r["other"]) for r in index.search(q, 10, 12, block).collect()]
+    assert len(got) == len(set(got)) == len(want)
+    assert len(want & set(got)) >= 0.9 * len(want)
+    every = {(r["vec_id"], r["other"]) for r in index.search(q, 10, 16, block).collect()}
+    assert every == want
+
+
+def test_grouped_budget(spark):
+    rows = [(f"d{i:02}", "ab"[i % 2] if i % 5 else None, i % 7 + 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "data_id string, g string, n int").repartition(6)
+    want = set()
+    for g in ("a", "b", None):
+        total = 0
+        for i, x, n in rows:
+            if x == g and total < 20:
+                want.add(i)
+                total += n
+    got = filters.within_budget(df, [F.col("data_id")], token_size=20, tokens=F.col("n"), group=["g"]).collect()
+    assert {r["data_id"] for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("threshold", [0.1, 0.4, 0.8])
 def test_greedy_equals_the_scan(spark, threshold):
     m = unit(120, 4, 3)
