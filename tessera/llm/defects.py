@@ -220,7 +220,8 @@ def fit_ends(answers: DataFrame) -> Ends:
                 if len(seen) > 400_000:
                     yield _frame(seen, ended)
                     seen, ended = Counter(), Counter()
-        yield _frame(seen, ended)
+        if seen:  # an empty frame has no types
+            yield _frame(seen, ended)
 
     def _frame(longest: Counter, last: Counter) -> pd.DataFrame:
         seen: Counter = Counter()

@@ -194,6 +194,8 @@ def test_defects_end_to_end(spark):
     assert {k: v for k, v in got.items() if not k.startswith("g")} | {k: v for k, v in got.items() if k == "goodjson"} == {"language": "language", "empty": "empty", "copy": "copy", "refusal": "refusal", "truncated": "truncated", "code": "truncated", "json": "truncated"}
     assert sum(k.startswith("g") for k in got) <= 0.02 * good
     assert defects.find_defects(df.limit(0)).count() == 0
+    few = defects.find_defects(df.where("data_id in ('empty', 'copy')").repartition(8)).collect()  # most partitions are empty
+    assert {x["data_id"]: x["defect"] for x in few} == {"empty": "empty", "copy": "copy"}
 
 
 def test_pairs_of(spark):
@@ -229,5 +231,6 @@ def test_subjects(spark):
     assert right >= 0.9 * len(docs)
     assert not {900, 901, 902, 903} & set(got) and got[904] == got[0]
     assert subjects.assign_subjects(df.limit(0), named).count() == 0
+    assert subjects.assign_subjects(df.limit(3).repartition(8), named).count() >= 0
     c = {x["subject"]: x["documents"] for x in subjects.composition(spark.createDataFrame([(0, "law"), (0, "music")], "doc_id bigint, subject string"), df).collect()}
     assert c == {"law": 1, "music": 1, "none": len(docs) + 4}
