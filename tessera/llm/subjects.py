@@ -1,7 +1,7 @@
 """Subject areas of documents by a distributed latent Dirichlet topic model.
 
-The model is fitted by expectation maximisation with Dirichlet priors: each round a task takes its documents
-through the E-step against the broadcast topics and returns one table of expected counts (topics by
+The model is fitted on every document by expectation maximisation with Dirichlet priors: each round a task takes
+its documents through the E-step against the broadcast topics and returns one table of expected counts (topics by
 vocabulary), so what a round moves is bounded by the model, not by the documents. Topics start from inspected
 terms and are mapped to subjects by the inspected terms among their top terms after the fit; one topic is held
 to the word frequencies of all texts and takes what they have in common.
@@ -21,17 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents the topics are fitted on (chosen by the hash of their id from the whole table; all, if there are
-#: fewer), words of the vocabulary, documents a word must be in, and the share of documents it may be in at most.
-FIT_DOCS, VOCABULARY, LEAST_DOCS, MOST_SHARE = 8_000, 8_000, 4, 0.12
+#: Words of the vocabulary, documents a word must be in, and the share of documents it may be in at most.
+VOCABULARY, LEAST_DOCS, MOST_SHARE = 8_000, 4, 0.12
 ROUNDS, INNER, ALPHA, ETA, ANCHOR = 12, 6, 0.1, 0.02, 30.0
 #: Share of a word's occurrences that one subject must have for the word to speak for it.
 TYPICAL = 0.6
-FIT_TASKS = 8
+#: Tasks of a round at most, each of which returns one table; documents that a task holds at once.
+FIT_TASKS, AT_ONCE = 64, 1_000
 
 # Terms seen at the top of each subject's topics when these were inspected, by subject, in the
 # languages of the corpus; "everyday" is what belongs to no subject.
@@ -82,40 +83,42 @@ def e_step(phi: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.ndarray, do
     """Topic proportions of each document, and each entry's attribution to topics."""
     k = phi.shape[0]
     like = phi.T[term]
-    theta = np.full((docs, k), 1.0 / k)
+    theta = np.full((docs, k), 1.0 / k, phi.dtype)
     q = like
+    n = n.astype(phi.dtype, copy=False)
     starts = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else np.zeros(0, int)
-    for _ in range(rounds):
-        q = like * theta[doc]
-        q /= np.maximum(q.sum(1, keepdims=True), 1e-30)
-        theta = np.full((docs, k), ALPHA)
+    for i in range(rounds):
+        own = theta[doc]
+        norm = np.maximum(np.einsum("ij,ij->i", like, own), 1e-30)
+        if i == rounds - 1:
+            q = like * own / norm[:, None]
+        new = np.full((docs, k), ALPHA, phi.dtype)
         if len(starts):
-            theta[doc[starts]] += np.add.reduceat(q * n[:, None], starts, axis=0)
-        theta /= theta.sum(1, keepdims=True)
+            new[doc[starts]] += theta[doc[starts]] * np.add.reduceat(like * (n / norm)[:, None], starts, axis=0)
+        theta = new / new.sum(1, keepdims=True)
     return theta, q
 
 
-def fit_topics(docs: DataFrame, subjects: dict[str, str | None], doc_id: str = "doc_id", text: str = "text", fit_docs: int = FIT_DOCS) -> Topics:
-    """Topics from a bounded sample of ``docs``, started from inspected terms (for a subject without any, from
-    the words of its description)."""
-    total = docs.count()
+def fit_topics(docs: DataFrame, subjects: dict[str, str | None], doc_id: str = "doc_id", text: str = "text", fit_docs: int | None = None) -> Topics:
+    """Topics from all of ``docs`` (with ``fit_docs``, from about as many, chosen by the hash of their id), started
+    from inspected terms (for a subject without any, from the words of its description)."""
     chosen = docs.select(doc_id, text).where(F.col(text).isNotNull())
-    if total > fit_docs:
+    if fit_docs is not None and (total := docs.count()) > fit_docs:
         chosen = chosen.where(F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(1_000_000)) < F.lit(int(1_000_000 * fit_docs / total)))
-    chosen = chosen.select(F.col(text).alias("t")).repartition(FIT_TASKS).persist(StorageLevel.MEMORY_AND_DISK)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
         for f in frames:
-            for t in f["t"]:
-                c.update({w for s in sentences(t) for w in s})
-        if c:  # an empty frame has no types
-            yield pd.DataFrame({"term": list(c.keys()), "n": list(c.values())})
+            if not len(f):  # an empty frame has no types
+                continue
+            out = [Counter(w for s in sentences(t) for w in s) for t in f["t"]]
+            yield pd.DataFrame({"terms": [list(c) for c in out], "n": [np.fromiter(c.values(), np.int32, len(c)) for c in out]})
 
-    fitted = chosen.count()
+    # texts are taken apart once; vocabulary and rounds read the counts
+    said = chosen.select(F.col(text).alias("t")).mapInPandas(count, "terms array<string>, n array<int>").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = said.count()
     most = max(20, int(MOST_SHARE * fitted))
     least = LEAST_DOCS if fitted >= 500 else 2
-    got = chosen.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n").between(least, most))
+    got = said.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most))
     frequency = {r["term"]: r["n"] for r in got.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()}
     names = [*subjects, "everyday"]
     anchors = {s: (INSPECTED.get(s) or subjects.get(s) or "").lower().split() for s in names}
@@ -132,43 +135,46 @@ def fit_topics(docs: DataFrame, subjects: dict[str, str | None], doc_id: str = "
     phi /= phi.sum(1, keepdims=True)
     phi[-1] = common
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(index)
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idx = sent.value
-        for f in frames:
-            if not len(f):
-                continue
-            out = [Counter(i for s in sentences(t) for w in s if (i := idx.get(w)) is not None) for t in f["t"]]
-            yield pd.DataFrame({"terms": [np.fromiter(c.keys(), np.int32, len(c)) for c in out], "n": [np.fromiter(c.values(), np.int32, len(c)) for c in out]})
-
-    data = chosen.mapInPandas(rows, "terms array<int>, n array<int>").persist(StorageLevel.MEMORY_AND_DISK)
+    sent = sc.broadcast(vocabulary)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.string())
+        for b in batches:
+            at = pc.index_in(b.column("terms").flatten().cast(pa.string()), known)
+            keep = pc.is_valid(at)
+            size = np.bincount(pc.list_parent_indices(b.column("terms")).filter(keep).to_numpy(zero_copy_only=False), minlength=len(b))
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, x.filter(keep).cast(pa.int32())) for x in (at, b.column("n").flatten())], ["terms", "n"])
+
+    tasks = min(FIT_TASKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    data = said.mapInArrow(rows, "terms array<int>, n array<int>").repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(ROUNDS):
         held = sc.broadcast(phi.astype(np.float32))
 
-        def expected(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def expected(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             p = held.value
             sums = np.zeros(p.shape)
-            for f in frames:
-                size = f["terms"].map(len).to_numpy(dtype=np.int64)
-                if not size.sum():
-                    continue
-                term, n = (np.concatenate([np.asarray(x, dtype=np.int64) for x in f[c]]) for c in ("terms", "n"))
-                n = n.astype(float)
-                _, q = e_step(p, np.repeat(np.arange(len(f)), size), term, n, len(f))
-                for t in range(p.shape[0]):
-                    sums[t] += np.bincount(term, weights=q[:, t] * n, minlength=p.shape[1])
-            yield pd.DataFrame({"topic": range(p.shape[0]), "sums": list(sums.astype(np.float32))})
+            for whole in batches:
+                for s in range(0, len(whole), AT_ONCE):
+                    b = whole.slice(s, AT_ONCE)
+                    term, n = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "n"))
+                    if not len(term):
+                        continue
+                    size = pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False)
+                    _, q = e_step(p, np.repeat(np.arange(len(b)), size), term, n, len(b))
+                    for t in range(p.shape[0]):
+                        sums[t] += np.bincount(term, weights=q[:, t] * n, minlength=p.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(range(p.shape[0]), pa.int32()), pa.array(list(sums.astype(np.float32)), pa.list_(pa.float32()))], ["topic", "sums"])
 
         sums = np.zeros((k, v))
-        for r in data.mapInPandas(expected, "topic int, sums array<float>").toArrow().to_pylist():  # FIT_TASKS tables
+        for r in data.mapInArrow(expected, "topic int, sums array<float>").toArrow().to_pylist():  # FIT_TASKS tables at most
             sums[r["topic"]] += np.asarray(r["sums"])
         phi = sums + prior
         phi /= phi.sum(1, keepdims=True)
         phi[-1] = common
         held.unpersist()
     data.unpersist()
-    chosen.unpersist()
+    said.unpersist()
     topics = Topics(vocabulary, phi, [None] * k)
     topics.subject_of = name_topics(topics, anchors)
     return topics
@@ -239,12 +245,12 @@ class Reader:
 _readers: dict[str, Reader] = {}
 
 
-def assign_subjects(docs: DataFrame, subjects: dict[str, str | None], doc_id: str = "doc_id", text: str = "text", share: float = 0.25, topics: Topics | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:
+def assign_subjects(docs: DataFrame, subjects: dict[str, str | None], doc_id: str = "doc_id", text: str = "text", share: float = 0.25, topics: Topics | None = None, fit_docs: int | None = None) -> DataFrame:
     """``doc_id, subject``: one row for each subject that at least ``share`` of the document's sentences are about.
 
     ``subjects``: names and descriptions. Null, empty and blank texts, and texts without a sentence, have no
-    subject. Repeated documents are each assigned under their own id. The model is fitted on ``fit_docs``
-    documents at most (see :func:`fit_topics`); every document is read, whole, in one narrow stage.
+    subject. Repeated documents are each assigned under their own id. The model is fitted on all
+    documents unless ``fit_docs`` bounds them (see :func:`fit_topics`); every document is read, whole, in one narrow stage.
     """
     import uuid
 

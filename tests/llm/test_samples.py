@@ -219,6 +219,14 @@ def subject_docs(seed, n=260):
     return out
 
 
+def test_topics_are_fitted_on_every_document(spark):
+    # each rare term is in just as many documents as a term must be in, so none may be left out of the count
+    rare = [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows = [(i, f"plain words stand here {rare[i // 150] if i % 150 < subjects.LEAST_DOCS else 'only'} {chr(97 + i % 26) * 3} and end.") for i in range(9_000)]
+    topics = subjects.fit_topics(spark.createDataFrame(rows, "doc_id bigint, text string"), {"law": None})
+    assert set(rare) <= set(topics.vocabulary)
+
+
 def test_subjects(spark):
     docs = subject_docs(4)
     edge = [(900, None, ""), (901, "", ""), (902, "Hm.", ""), (903, "```\nviolin melody orchestra\n```", ""), (904, docs[0][1], docs[0][2])]
