@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BITS, bucket_counts, with_tokens
+from .common import BUCKET_BITS, bucket_counts, durable, with_tokens
+from .neardup import _signer
 
 DIM = 256
 BRANCHING = 24
@@ -30,6 +32,8 @@ BRANCHING = 24
 LEAVES, MERGERS, CELL, MOST_CELLS, PROBES = 256, 8, 1_000, 2_048, 5
 #: Records of one block of a cell: a cell that holds more, such as a large group of look-alikes, is cut.
 BLOCK = 8_000
+#: 64-bit words of the bitmap by which pairs of the exact step are held off, records in one block of a key.
+LONGS, KEY_BLOCK = 4, 4_000
 #: Words rarer than this in the whole corpus have no weight in a vector: names and numbers.
 RARE = 11
 
@@ -300,7 +304,9 @@ def look_alikes(df: DataFrame, id_col: str, text: str = "text", min_words: int =
     Each record asks in its nearest cell, in which it meets every record that has this cell among its
     ``PROBES`` nearest; the similarity is exact. A cell with more than ``block`` records is cut in blocks by
     hash: members of a large group of look-alikes find enough others in their own block, and only records that
-    don't go on to ask in every other block of the cell, so no block outgrows a task. Records of fewer than
+    don't go on to ask in every other block of the cell, so no block outgrows a task. With more than ``PROBES``
+    cells, records that have not found enough by then are compared exactly (:func:`_exact`), so the cells only
+    settle the bulk of the look-alikes and leave none out. Records of fewer than
     ``min_words`` words, null and empty texts are no one's neighbour; rows without an id are left out. An empty table gives none.
     """
     tokens = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words).select("id", "toks").persist(StorageLevel.MEMORY_AND_DISK)
@@ -320,8 +326,15 @@ def look_alikes(df: DataFrame, id_col: str, text: str = "text", min_words: int =
     shape = f"id {kind}, cell int, blocks int, block int, found long"
     first = routed.select("id", "toks", "cell", "blocks", "block", F.col("block").alias("own"), F.col("home").alias("asks")).groupBy("cell", "block").applyInPandas(ask, shape).persist(StorageLevel.MEMORY_AND_DISK)
     sure = first.where(F.col("found") >= others).select("id")
+
+    def whole(settled: DataFrame) -> DataFrame:
+        if len(cells.centres) > PROBES:
+            settled = durable(settled)  # a plan of its own, small enough for the driver
+            settled = settled.unionByName(_exact(tokens, settled, similarity, others))
+        return settled.withColumnRenamed("id", id_col)
+
     if max(sizes.values(), default=1) == 1:
-        return sure.withColumnRenamed("id", id_col)
+        return whole(sure)
     rest = first.where((F.col("found") < others) & (F.col("blocks") > 1)).select("id", F.col("found").alias("had"))
     asking = routed.where("home and blocks > 1").join(rest, "id")
     asking = asking.withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("id", "toks", "cell", "blocks", "block", "own", F.lit(True).alias("asks"))
@@ -339,7 +352,40 @@ def look_alikes(df: DataFrame, id_col: str, text: str = "text", min_words: int =
 
     more = asking.unionByName(hold).groupBy("cell", "block").applyInPandas(visit, f"id {kind}, found long")
     total = rest.select("id", F.col("had").alias("found")).unionByName(more).groupBy("id").agg(F.sum("found").alias("found"))
-    return sure.unionByName(total.where(F.col("found") >= others).select("id")).withColumnRenamed("id", id_col)
+    return whole(sure.unionByName(total.where(F.col("found") >= others).select("id")))
+
+
+def _exact(tokens: DataFrame, settled: DataFrame, similarity: float, others: int, block: int = KEY_BLOCK) -> DataFrame:
+    """``id`` of the records not ``settled`` that have at least ``others`` others, whatever their cells.
+
+    Two records of the similarity share one of their rarest tokens (prefix rule, see :mod:`.neardup`); those that
+    share one and whose sizes and bitmaps allow the similarity are candidates, and only records with enough of
+    them are verified. Keys of more than ``block`` records are cut in blocks.
+    """
+    t = Fraction(similarity).limit_denominator(1_000)
+    marks = [f"m{i + 1}" for i in range(LONGS)]
+    sign = _signer(bucket_counts(tokens), t, LONGS)
+    asks = tokens.select("id").join(settled, "id", "left_anti").withColumn("asks", F.lit(True))
+    rows = tokens.select("id", F.size("toks").alias("n"), sign("toks").alias("s")).select("id", "n", "s.*").join(asks, "id", "left").select("id", "n", *marks, F.coalesce("asks", F.lit(False)).alias("asks"), F.posexplode("prefix").alias("nth", "key"))
+    # the smaller record of a pair needs fewer keys than the larger one
+    few = F.col("nth") <= F.col("n") - F.ceil(2 * F.col("n") * t.numerator / F.lit(t.numerator + t.denominator) - 1e-9)
+    rows = rows.withColumn("few", few).drop("nth").persist(StorageLevel.MEMORY_AND_DISK)
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("asks").alias("some")).where("some and k > 1").select("key", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    cut_ = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda df, p, a, b: df.select(*[F.col(c).alias(p + c) for c in ("key", "id", "n", "few", *marks)], F.col(a).alias(p + "a"), F.col(b).alias(p + "b"))
+    left, right = side(cut_.where("asks"), "x_", "own", "other"), side(cut_, "y_", "other", "own")
+    both, small, large = F.col("x_n") + F.col("y_n"), F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    need = F.ceil(both * F.lit(t.numerator) / F.lit(t.numerator + t.denominator) - 1e-9)
+    differ = sum((F.bit_count(F.col("x_" + m).bitwiseXOR(F.col("y_" + m))) for m in marks), F.lit(0))
+    fits = (small * F.lit(t.denominator) >= large * F.lit(t.numerator)) & F.when(F.col("x_n") < F.col("y_n"), F.col("x_few")).when(F.col("x_n") > F.col("y_n"), F.col("y_few")).otherwise(F.col("x_few") | F.col("y_few"))
+    met = left.join(right, (F.col("x_key") == F.col("y_key")) & (F.col("x_a") == F.col("y_a")) & (F.col("x_b") == F.col("y_b")) & fits & (differ <= both - 2 * need) & (F.col("x_id") != F.col("y_id")))
+    pairs = met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    enough = pairs.groupBy("x").count().where(F.col("count") >= others).select("x")
+    of = tokens.select("id", "toks")
+    got = pairs.join(enough, "x").join(of.select(F.col("id").alias("x"), F.col("toks").alias("xt")), "x").join(of.select(F.col("id").alias("y"), F.col("toks").alias("yt")), "y")
+    o = F.size(F.array_intersect("xt", "yt"))
+    similar = o * F.lit(t.denominator) >= (F.size("xt") + F.size("yt") - o) * F.lit(t.numerator)
+    return got.where(similar).groupBy("x").count().where(F.col("count") >= others).select(F.col("x").alias("id"))
 
 
 def _visiting(asks: pd.Series, members: pd.Series, similarity: float) -> np.ndarray:

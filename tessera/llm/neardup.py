@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import BUCKET_BITS, bucket_counts, durable, with_tokens
 
-SIGN_TYPE = "struct<m1:bigint,m2:bigint,prefix:array<int>>"
 #: Ratio of the sizes in one band; records in one block of a tile; keys sent to all executors at most.
 BAND, BLOCK, HOT_KEYS_SENT = 2.0, 2_000, 50_000
 #: Added to the size of a record where it can only be the larger one of a pair; no record has as many words.
@@ -39,8 +38,9 @@ def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
     return n - (n * t.numerator + t.denominator - 1) // t.denominator + 1
 
 
-def _signer(counts: np.ndarray, t: Fraction):
-    """Bitmaps and prefixes of token arrays, for whole batches at once."""
+def _signer(counts: np.ndarray, t: Fraction, longs: int = 2):
+    """Bitmaps (of 64 bits times ``longs``, a power of two: ``m1`` and so on) and prefixes of token arrays, for whole batches at once."""
+    names = [f"m{i + 1}" for i in range(longs)]
 
     def sign(lists: pa.Array) -> pa.Array:
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -51,10 +51,10 @@ def _signer(counts: np.ndarray, t: Fraction):
         n = np.diff(starts)
         rec = np.repeat(np.arange(len(n)), n)
         mixed = (toks ^ (toks >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        bit = mixed >> np.uint64(57)
+        bit = mixed >> np.uint64(59 - longs.bit_length())
         flips = np.left_shift(np.uint64(1), bit & np.uint64(63))
         m = []
-        for half in (0, 1):
+        for half in range(longs):
             x = np.where((bit >> np.uint64(6)) == half, flips, np.uint64(0))
             out = np.zeros(len(n), np.uint64)
             some = n > 0
@@ -68,9 +68,9 @@ def _signer(counts: np.ndarray, t: Fraction):
         chosen = place < np.repeat(keep, n)
         keys = (mixed[order][chosen] >> np.uint64(20)).astype(np.uint32).view(np.int32)
         ends = np.concatenate([[0], np.cumsum(np.where(n > 0, keep, 0))]).astype(np.int32)
-        return pa.StructArray.from_arrays([*m, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["m1", "m2", "prefix"])
+        return pa.StructArray.from_arrays([*m, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], [*names, "prefix"])
 
-    return F.arrow_udf(sign, SIGN_TYPE)
+    return F.arrow_udf(sign, f"struct<{','.join(f'{m}:bigint' for m in names)},prefix:array<int>>")
 
 
 def candidate_pairs(classes: DataFrame, t: Fraction, block: int = BLOCK) -> DataFrame:

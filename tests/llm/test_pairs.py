@@ -109,6 +109,24 @@ def test_look_alikes(spark, block):
     assert diverse.look_alikes(spark.createDataFrame([], "id bigint, text string"), "id").count() == 0
 
 
+@pytest.mark.parametrize("seed", [15, 16])
+def test_look_alikes_in_many_cells(spark, seed):
+    # a chain whose records are each alike to some before and after, over many more cells than one is looked for in
+    r = random.Random(seed)
+    link, rows = [r.choice(VOCAB) for _ in range(56)], []
+    for _ in range(200):
+        for _ in range(3):
+            link[r.randrange(56)] = r.choice(VOCAB)
+        rows.append(" ".join(link))
+    rows = list(enumerate(rows))
+    deg = Counter(i for p in all_pairs(rows, Fraction(1, 2), 40) for i in p)
+    want = {i for i, n in deg.items() if n >= 10}
+    assert 50 < len(want)
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = [x["id"] for x in diverse.look_alikes(df, "id", cell=2).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_select_varied(spark):
     r = random.Random(6)
     rows = [x for x in family(r, 55, 150)] + [" ".join(r.choice(VOCAB) for _ in range(50)) for _ in range(60)]
