@@ -29,8 +29,8 @@ from .common import BUCKET_BITS, bucket_counts, durable, with_tokens
 BAND, BLOCK, HOT_KEYS_SENT = 2.0, 2_000, 50_000
 #: Added to the size of a record where it can only be the larger one of a pair; no record has as many words.
 LARGER_ONLY = 1 << 30
-#: Classes of equal records up to this size are written as all their pairs; of a larger class every member
-#: is paired with its representative, and only the representative has links to other classes.
+#: Exact copies of one text up to this number are written as all their pairs; of more copies each is paired with
+#: the first of them, and only that one has the links to other texts.
 EXPANDED_CLASS = 64
 
 
@@ -137,7 +137,8 @@ def _met(left: DataFrame, right: DataFrame | None, t: Fraction) -> DataFrame:
 class NearDuplicates:
     """Classes, membership and exact links of ``df`` (``id``, ``text``).
 
-    * ``members``: every record with its class representative ``rep`` (the smallest id of the class).
+    * ``members``: every record of a class of several with the class representative ``rep`` (the smallest id of
+      the class), and among the exact copies of its text the first (``copy_of``) and how many there are (``copies``).
     * ``links``: pairs of representatives ``x < y`` of similarity ``t`` or more, with the similarity.
 
     Records with fewer than ``min_words`` words, null and empty texts take part in neither. Rows without
@@ -146,7 +147,8 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, id_col: str, text: str = "text", t: Fraction = Fraction(4, 5), min_words: int = 20, block: int = BLOCK) -> None:
         self.t = t
-        toks = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words)
+        given = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(3), text).alias("h2"), text)
+        toks = with_tokens(given, text).where(F.col("n") >= min_words)
         # partitioned by id once: the joins that fetch both records of a pair move the pairs only
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.tokens = toks.repartition(n, "id").persist(StorageLevel.MEMORY_AND_DISK)
@@ -155,7 +157,9 @@ class NearDuplicates:
         signed = self.tokens.select("id", "n", "a", "b", sign("toks").alias("s")).select("id", "n", "a", "b", "s.*")
         by = signed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("prefix").alias("prefix"))
         self.classes = by.persist(StorageLevel.MEMORY_AND_DISK)
-        self.members = self.tokens.select("id", "a", "b").join(self.classes.where("size > 1").select("a", "b", "rep", "size"), ["a", "b"]).select("id", "rep", "size")
+        held = self.tokens.select("id", "a", "b", "h1", "h2").join(self.classes.where("size > 1").select("a", "b", "rep", "size"), ["a", "b"])
+        texts = held.groupBy("rep", "h1", "h2").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("copies"))
+        self.members = held.join(texts, ["rep", "h1", "h2"]).select("id", "rep", "size", "copy_of", "copies")
         self.links = self._links(block)
 
     def _links(self, block: int) -> DataFrame:
@@ -174,20 +178,23 @@ class NearDuplicates:
     def pairs(self, expanded: int = EXPANDED_CLASS) -> DataFrame:
         """Pairs of record ids ``id_a < id_b``.
 
-        Complete for classes of up to ``expanded`` equal records. A larger class, which may hold a good part
-        of the table, is written as membership: its representative with each member, and links of other
-        classes to the representative; every pair of the rest follows from these.
+        Complete but for texts of which there are more than ``expanded`` exact copies, which may be a good part of
+        the table: these are written as membership, the first copy with each other one, and only the first has
+        links to other texts. ``copies`` gives the membership, from which every pair left out follows.
         """
-        small = F.col("size") <= expanded
-        within = self.members.alias("p").join(self.members.where(small).alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
-        star = self.members.where(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-        of = self.members.where(small).select("id", "rep")
+        full = self.members.where((F.col("copies") <= expanded) | (F.col("id") == F.col("copy_of"))).select("id", "rep")
+        within = full.alias("p").join(full.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
+        star = self.copies(expanded).where("id <> copy_of").select(F.col("copy_of").alias("id_a"), F.col("id").alias("id_b"))
         links = self.links.select("x", "y")
         for c in ("x", "y"):
-            links = links.join(of.select(F.col("id").alias("m"), F.col("rep").alias(c)), c, "left").withColumn(c, F.coalesce("m", c)).drop("m")
+            links = links.join(full.select(F.col("id").alias("m"), F.col("rep").alias(c)), c, "left").withColumn(c, F.coalesce("m", c)).drop("m")
         across = links.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         return across.unionByName(within).unionByName(star)
 
+    def copies(self, expanded: int = EXPANDED_CLASS) -> DataFrame:
+        """``id, copy_of, copies`` of the records that :meth:`pairs` writes as membership."""
+        return self.members.where(F.col("copies") > expanded).select("id", "copy_of", "copies")
+
     def groups(self, rounds: int = 30) -> DataFrame:
         """One row for each record that has a near duplicate: ``id``, the ``group`` (smallest id reachable
         over links) and ``links``, how many other classes its own is linked with.

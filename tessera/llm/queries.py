@@ -46,6 +46,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(all_prompts(spark, d), "data_id", t=Fraction(4, 5), min_words=20).pairs()
 
 
+def p2_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Membership of the texts whose exact copies p2_found doesn't pair with each other."""
+    return neardup.NearDuplicates(all_prompts(spark, d), "data_id", t=Fraction(4, 5), min_words=20).copies().withColumnRenamed("id", "data_id")
+
+
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(all_prompts(spark, d), "data_id", t=Fraction(4, 5), min_words=20).groups().withColumnRenamed("id", "data_id")
 
@@ -145,7 +150,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
 
 
-NAMES = ("p1_found", "p1_rates", "p1_mix", "p1_shares", "p2_found", "p2_groups", "p3_found", "p3_select", "p4_found", "p5_found", "p5_sample", "p5_gaps", "p6_rank", "p7_ids", "p7_decoded", "p8_found", "p8_leaks", "p9_found", "p9_composition")
+NAMES = ("p1_found", "p1_rates", "p1_mix", "p1_shares", "p2_found", "p2_copies", "p2_groups", "p3_found", "p3_select", "p4_found", "p5_found", "p5_sample", "p5_gaps", "p6_rank", "p7_ids", "p7_decoded", "p8_found", "p8_leaks", "p9_found", "p9_composition")
 
 
 def queries() -> dict:
