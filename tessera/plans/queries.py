@@ -152,6 +152,12 @@ def instruct_rendered(spark: SparkSession, d: str) -> DataFrame:
     return c.select("data_id", reshape.instruct_template(F.col("messages")).alias("text"))
 
 
+def all_response_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of every response, also of those of one line, which are parted in sentences."""
+    e = scorers.steps(reshape.exchanges(conversations(spark, d)))
+    return e.select("data_id", "exchange_idx", F.size("steps").alias("n_steps"), F.get("steps", 0).alias("first_step"))
+
+
 def response_steps(spark: SparkSession, d: str) -> DataFrame:
     e = scorers.steps(reshape.exchanges(conversations(spark, d)).where(F.contains("response", F.lit("\n"))))
     return e.select("data_id", "exchange_idx", F.size("steps").alias("n_steps"), F.get("steps", 0).alias("first_step"))
@@ -575,7 +581,7 @@ def select_clustered(spark: SparkSession, d: str) -> DataFrame:
 
 CORE = (
     "exchanges exchange_counts ingest_chat joined_prompts selection_chat normal_roles renamed default_columns ids_without_language assigned_ids first_answers empty_system_dropped "
-    "preference_pairs preference_unpacked chosen_prompts prompt_completion chatml_rendered instruct_rendered response_steps cleaned_code truncated_responses "
+    "preference_pairs preference_unpacked chosen_prompts prompt_completion chatml_rendered instruct_rendered response_steps all_response_steps cleaned_code truncated_responses "
     "token_lengths corpus_tokens dataset_stats majority_labels composition_by_origin composition_by_label composition_by_language score_histogram preference_stats sampled_totals "
     "mean_complexity mean_quality mean_difficulty mean_process_reward routed_scores softmax_marks step_probabilities constraint_outcomes instruction_scores rule_checks cleaned_constraints code_reviews "
     "filtered_sources first_by_id in_languages of_subset within_length relevant_metrics metrics_attached metric_tables_attached labels_attached semi_joined back_filled united "
