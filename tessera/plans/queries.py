@@ -303,6 +303,18 @@ def cleaned_constraints(spark: SparkSession, d: str) -> DataFrame:
     return i.select("data_id", F.size(c).alias("n"), F.array_join(F.transform(c, lambda x: F.concat(x["type"], F.lit("="), x["expr"])), " | ").alias("constraints"), F.array_join(rules.questions(c), " | ").alias("questions"))
 
 
+def whole_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """As cleaned_constraints, of answers that hold the whole instruction, escaped as JSON."""
+    i = instructions(spark, d).where("instruction is not null")
+    fixed = {"no": "length", "in two parts": "style", "say 'kind ' and \"warm\" words": "keyword_avoided", "A": "choose_output", "B or C": "choose_output"}
+    of = F.map_from_arrays(F.array(F.concat(F.lit("use "), "instruction"), F.concat(F.lit("not "), "instruction"), *[F.lit(k) for k in fixed]), F.array(F.lit("keyword_included"), F.lit("length"), *[F.lit(v) for v in fixed.values()]))
+    i = i.withColumn("json", code.first_json(F.concat(F.lit("Sure: "), F.to_json(F.struct(of.alias("answer"))), F.lit(" done"))))
+    parsed = F.from_json("json", "answer map<string,string>")["answer"]
+    c = rules.postprocess_constraints(rules.clean_constraints(parsed))
+    given = F.element_at(F.map_keys(parsed), 1)
+    return i.select("data_id", given.alias("first_key"), F.size(c).alias("n"), F.array_join(F.transform(c, lambda x: F.concat(x["type"], F.lit("="), x["expr"])), " | ").alias("constraints"), F.array_join(rules.questions(c), " | ").alias("questions"))
+
+
 def code_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in reviews: the code of a response, revised by dropping its last line; every third verdict is wrong."""
     e = reshape.exchanges(conversations(spark, d)).where(F.contains("response", F.lit("```")))
@@ -583,7 +595,7 @@ CORE = (
     "exchanges exchange_counts ingest_chat joined_prompts selection_chat normal_roles renamed default_columns ids_without_language assigned_ids first_answers empty_system_dropped "
     "preference_pairs preference_unpacked chosen_prompts prompt_completion chatml_rendered instruct_rendered response_steps all_response_steps cleaned_code truncated_responses "
     "token_lengths corpus_tokens dataset_stats majority_labels composition_by_origin composition_by_label composition_by_language score_histogram preference_stats sampled_totals "
-    "mean_complexity mean_quality mean_difficulty mean_process_reward routed_scores softmax_marks step_probabilities constraint_outcomes instruction_scores rule_checks cleaned_constraints code_reviews "
+    "mean_complexity mean_quality mean_difficulty mean_process_reward routed_scores softmax_marks step_probabilities constraint_outcomes instruction_scores rule_checks cleaned_constraints whole_constraints code_reviews "
     "filtered_sources first_by_id in_languages of_subset within_length relevant_metrics metrics_attached metric_tables_attached labels_attached semi_joined back_filled united "
     "robust_fit min_max_by_origin percentile_thresholds top_longest stratified_top label_limited token_budget token_budget_by_origin oversampled cross_lingual_first curriculum by_category "
     "random_sample preference_order train_test random_members nearest_neighbours nearest_of_queries nearest_indexed text_distances normalised_vectors near_vector_pairs greedy_diverse greedy_budget greedy_scanned "

@@ -30,3 +30,15 @@ def test_steps_of_every_response(spark, sf_dir):
         if t:
             want = steps(t)
             assert got[k] == (len(want), want[0] if want else None), t
+
+
+def test_constraints_of_whole_instructions(spark, tmp_path):
+    texts = ['Write {a: {"b": [1]}} with } braces { and \\ and\ttabs\nand lines, all beyond the twentieth character', "short", "é ß 漢字 \U0001f600 " * 30, "{{{", '"}', "x" * 5_000]
+    rows = [(f"i{k}", t, None, "out", "o", "en", None) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "data_id string, instruction string, input string, output string, origin string, language string, ingested_at timestamp").write.parquet(f"{tmp_path}/instructions.parquet")
+    got = {r["data_id"]: r for r in core.queries()["whole_constraints"](spark, str(tmp_path)).collect()}
+    # braces are counted, also in strings: an answer in which they don't match can't be read (M9)
+    unread = {"{{{", '"}'}
+    assert {k: r["first_key"] for k, r in got.items()} == {f"i{k}": None if t in unread else f"use {t}" for k, t in enumerate(texts)}
+    for k, t in enumerate(texts):
+        assert got[f"i{k}"]["n"] == 0 if t in unread else f"length=not {t}" in got[f"i{k}"]["constraints"], t
