@@ -459,6 +459,12 @@ def curriculum(spark: SparkSession, d: str) -> DataFrame:
     return filters.prefix_sum(p.select("data_id", "difficulty_v2"), sampling.ordering("difficulty"), F.lit(1), "place").select("data_id", F.col("place").cast("bigint").alias("place"))
 
 
+def whole_curriculum(spark: SparkSession, d: str) -> DataFrame:
+    """All samples, easy ones first, those without a difficulty (null or NaN) last."""
+    p = analysis(spark, d).withColumn("difficulty_v2", F.when(~F.isnan("difficulty_v2"), F.col("difficulty_v2")))
+    return filters.prefix_sum(p.select("data_id", "difficulty_v2"), sampling.ordering("difficulty"), F.lit(1), "place").select("data_id", F.col("place").cast("bigint").alias("place"))
+
+
 def by_category(spark: SparkSession, d: str) -> DataFrame:
     p = pool(spark, d).where(F.col("setfit_label").isin(*CATEGORIES)).select("data_id", "setfit_label", "inst_length", "resp_length")
     return filters.prefix_sum(p, sampling.ordering("length_category"), F.lit(1), "place").select("data_id", "setfit_label", F.col("place").cast("bigint").alias("place"))
@@ -597,7 +603,7 @@ CORE = (
     "token_lengths corpus_tokens dataset_stats majority_labels composition_by_origin composition_by_label composition_by_language score_histogram preference_stats sampled_totals "
     "mean_complexity mean_quality mean_difficulty mean_process_reward routed_scores softmax_marks step_probabilities constraint_outcomes instruction_scores rule_checks cleaned_constraints whole_constraints code_reviews "
     "filtered_sources first_by_id in_languages of_subset within_length relevant_metrics metrics_attached metric_tables_attached labels_attached semi_joined back_filled united "
-    "robust_fit min_max_by_origin percentile_thresholds top_longest stratified_top label_limited token_budget token_budget_by_origin oversampled cross_lingual_first curriculum by_category "
+    "robust_fit min_max_by_origin percentile_thresholds top_longest stratified_top label_limited token_budget token_budget_by_origin oversampled cross_lingual_first curriculum whole_curriculum by_category "
     "random_sample preference_order train_test random_members nearest_neighbours nearest_of_queries nearest_indexed text_distances normalised_vectors near_vector_pairs greedy_diverse greedy_budget greedy_scanned "
     "cluster_representatives kmeans_select pca_dimensions cluster_quality select_spec select_budgeted select_clustered"
 ).split()

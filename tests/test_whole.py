@@ -42,3 +42,13 @@ def test_constraints_of_whole_instructions(spark, tmp_path):
     assert {k: r["first_key"] for k, r in got.items()} == {f"i{k}": None if t in unread else f"use {t}" for k, t in enumerate(texts)}
     for k, t in enumerate(texts):
         assert got[f"i{k}"]["n"] == 0 if t in unread else f"length=not {t}" in got[f"i{k}"]["constraints"], t
+
+
+def test_curriculum_keeps_samples_without_difficulty(spark, sf_dir):
+    rows = [(r["data_id"], r["difficulty_v2"]) for r in core.analysis(spark, sf_dir).collect()]
+    unknown = {i for i, v in rows if v is None or v != v}
+    assert unknown
+    want = [i for i, v in sorted(rows, key=lambda r: (r[0] in unknown, 0 if r[0] in unknown else r[1], r[0]))]
+    got = core.queries()["whole_curriculum"](spark, sf_dir).collect()
+    assert [r["data_id"] for r in sorted(got, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in got) == list(range(len(want)))
