@@ -139,7 +139,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     named = {r["subject"]: r["description"] for r in table(spark, d, "subjects").where("subject is not null").collect()}  # the fixed list of subjects
-    return subjects.assign_subjects(table(spark, d, "documents"), named)
+    return subjects.assign_subjects(table(spark, d, "documents"), named, table(spark, d, "subject_labels"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

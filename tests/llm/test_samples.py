@@ -205,40 +205,64 @@ def test_pairs_of(spark):
     assert got == {("a", 0): ("do", "new"), ("c", 1): ("q", "r"), ("c", 4): (None, "z")}
 
 
-def subject_docs(seed, n=260):
+SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+
+
+def invented(r, n):
+    return ["".join(r.choice(SYLLABLES) for _ in range(3)) for _ in range(n)]
+
+
+def subject_docs(seed, n=600):
+    """Documents in two made-up languages about three subjects, whose words are drawn here and stand nowhere else."""
     r = random.Random(seed)
-    nouns = {s: [w for w in t.split()] for s, t in subjects.INSPECTED.items()}
+    plain = {k: invented(r, 30) for k in "xy"}
+    nouns = {(k, s): invented(r, 80) for k in "xy" for s in ("alpha", "beta", "gamma", "everyday")}
     out = []
     for i in range(n):
-        own = r.choice([s for s in nouns if s != "everyday"])
+        k = "x" if i % 3 else "y"
+        own, other = r.sample(("alpha", "beta", "gamma"), 2)
         lines = []
-        for k in range(12):
-            s = own if k < 9 else "everyday"
-            lines.append(f"Some people took the {r.choice(nouns[s])} and {r.choice(nouns[s])} from number {r.randrange(99)}.")
+        for j in range(12):
+            s = own if j < 8 else other if j < 10 else "everyday"  # the other one is passing: under a quarter
+            lines.append(" ".join([*r.sample(plain[k], 4), *r.sample(nouns[k, s], 2), "".join(r.choice(SYLLABLES) for _ in range(5))]).capitalize() + ".")
         out.append((i, " ".join(lines), own))
     return out
 
 
-def test_topics_are_fitted_on_every_document(spark):
+def test_vocabulary_and_topics_count_every_document(spark):
     # each rare term is in just as many documents as a term must be in, so none may be left out of the count
     rare = [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
-    rows = [(i, f"plain words stand here {rare[i // 150] if i % 150 < subjects.LEAST_DOCS else 'only'} {chr(97 + i % 26) * 3} and end.") for i in range(9_000)]
-    topics = subjects.fit_topics(spark.createDataFrame(rows, "doc_id bigint, text string"), {"law": None})
-    assert set(rare) <= set(topics.vocabulary)
+    need = max(subjects.LEAST_DOCS, int(subjects.LEAST_SHARE * 9_000))
+    rows = [(i, f"plain words stand here {rare[i // 150] if i % 150 < need else 'only'} {chr(97 + i % 26) * 3} and end.") for i in range(9_000)]
+    corpus = subjects.Corpus(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert set(rare) <= set(corpus.vocabulary) and all(corpus.frequency[w] == need for w in rare) and "plain" not in corpus.vocabulary
+    topics = corpus.fit(8)
+    assert topics.mass.sum() == pytest.approx(sum(corpus.frequency.values()), rel=1e-3)
+
+
+def test_pairs_of_different_sentences():
+    doc = np.array([0, 0, 0, 0, 1, 1])
+    pairs = np.bincount(subjects._outer(np.array([0, 1, 0, 2, 2, 2]), doc, 3), minlength=9) - np.bincount(subjects._outer(np.array([0, 1, 0, 2, 2, 2]), np.array([0, 0, 1, 1, 2, 3]), 3), minlength=9)
+    assert pairs.reshape(3, 3).tolist() == [[2, 1, 1], [1, 0, 1], [1, 1, 2]]
 
 
 def test_subjects(spark):
     docs = subject_docs(4)
-    edge = [(900, None, ""), (901, "", ""), (902, "Hm.", ""), (903, "```\nviolin melody orchestra\n```", ""), (904, docs[0][1], docs[0][2])]
+    edge = [(9000, None, ""), (9001, "", ""), (9002, "Hm.", ""), (9003, "```\nviolin melody orchestra\n```", ""), (9004, docs[0][1], docs[0][2])]
     df = spark.createDataFrame(docs + edge, "doc_id bigint, text string, subject string")
-    named = dict.fromkeys([s for s in subjects.INSPECTED if s != "everyday"], "words")
+    r = random.Random(5)
+    # a third is labelled, some of it wrongly, in capitals, twice or with a subject that isn't asked for
+    said = [(i, r.choice(("alpha", "beta", "gamma", "none", "odd")) if i % 15 == 0 else s.upper() if i % 6 == 0 else s) for i, _, s in docs if i % 3 == 0 or r.random() < 0.2]
+    labels = spark.createDataFrame([*said, *said[:5], (None, "alpha")], "doc_id bigint, subject string")
+    named = dict.fromkeys(("alpha", "beta", "gamma"), None)
     got = {}
-    for x in subjects.assign_subjects(df, named, fit_docs=200).collect():
+    for x in subjects.assign_subjects(df, named, labels, topics=24).collect():
         got.setdefault(x["doc_id"], set()).add(x["subject"])
     right = sum(got.get(i) == {s} for i, _, s in docs)
     assert right >= 0.9 * len(docs)
-    assert not {900, 901, 902, 903} & set(got) and got[904] == got[0]
-    assert subjects.assign_subjects(df.limit(0), named).count() == 0
-    assert subjects.assign_subjects(df.limit(3).repartition(8), named).count() >= 0
+    assert not {9000, 9001, 9002, 9003} & set(got) and got[9004] == got[0]
+    assert subjects.assign_subjects(df, named, topics=24).count() == 0  # nothing says what a topic is about
+    assert subjects.assign_subjects(df.limit(0), named, labels).count() == 0
+    assert subjects.assign_subjects(df.limit(3).repartition(8), named, labels.limit(0)).count() == 0
     c = {x["subject"]: x["documents"] for x in subjects.composition(spark.createDataFrame([(0, "law"), (0, "music")], "doc_id bigint, subject string"), df).collect()}
     assert c == {"law": 1, "music": 1, "none": len(docs) + 4}
