@@ -154,15 +154,40 @@ def test_copies():
     assert not defects.is_copy(p, "The harp.") and not defects.is_copy(None, "x") and not defects.is_copy("", "")
 
 
-@pytest.mark.parametrize(
-    ("answer", "refusal"),
-    [
-        ("I'm sorry, but I can't help with that.", True), ("Lo siento, pero no puedo ayudar con eso. ¿Puedo hacer otra cosa?", True), ("Dabei kann ich nicht helfen.", True), ("Je préfère ne rien dire de cela.", True),
-        ("Sorry for the long wait; the plan is described below. First oil it.", False), ('"Sorry, I cannot come," said Xyl. The harp was sold.', False), ("The harp cannot be tuned. It has nine strings.", False), ("No.", False),
-    ],
-)
-def test_refusals(answer, refusal):
-    assert defects.is_refusal(answer) is refusal
+def test_copies_have_no_length():
+    p = "Name three tunes for the harp of Xyl, please."
+    assert defects.is_copy(p, " ".join([p] * 5)) and defects.is_copy(p, (p + "\n\n") * 400)
+    assert not defects.is_copy(p, p + " The first is slow. " * 40)
+
+
+# None of these stands in the source; each is made of an opening, a way to decline, and something said along with it.
+OPEN = ["", "Sorry, ", "Well, my friend, ", "To be frank, "]
+DECLINE = ["I can't get into that", "I won't draw up anything of the kind", "I do not hand out such things", "my makers keep me from that", "this must stay untouched by me", "ich kann dazu nichts beisteuern", "das lasse ich lieber bleiben, ich bin nicht befugt"]
+ALONG = ["", " Perhaps another matter?", " Try somebody trained for it.", " Vielleicht etwas anderes?"]
+
+
+def test_refusals_are_learned(spark):
+    r = random.Random(8)
+    noun = ["harp", "bell", "river", "violin", "bread", "tractor", "comet", "loan", "judge", "goal"]
+    say = lambda: f"The {r.choice(noun)} of the {r.choice(noun)} {r.choice(['was', 'is', 'stays'])} {r.choice(['old', 'late', 'red', 'dear'])} and the {r.choice(noun)} {r.choice(['was not', 'is', 'came'])} {r.choice(['near', 'sold', 'made'])}."
+    rows = [(f"n{i}", 0, say(), " ".join(say() for _ in range(r.randrange(1, 6))), None, "en") for i in range(1500)]
+    rows += [(f"q{i}", 0, say(), f'"Sorry, I can\'t come," said the {r.choice(noun)}. ' + say() + " " + say(), None, "en") for i in range(60)]
+    rows += [(f"r{i}", 0, f"Tell me of the {r.choice(noun)}.", r.choice(OPEN) + r.choice(DECLINE) + "." + r.choice(ALONG), None, "en") for i in range(150)]
+    longest = ("long", 0, say(), ("I can't get into that. " + "Perhaps another matter? ") * 60, None, "en")
+    df = spark.createDataFrame([*rows, longest], "data_id string, turn_idx int, prompt string, answer string, context string, language string")
+    m = defects.fit(df)
+    found = {x[0] for x in [*rows, longest] if m.refusals.judge(x[2], x[3])[0]}
+    assert sum(x.startswith("r") for x in found) >= 0.9 * 150 and not {x for x in found if x[0] in "nq"} and "long" in found
+    assert m.refusals.judge("What is this?", "Sorry, I can't hand out that.")[0]
+    assert not m.refusals.judge("Why?", "You cannot divide by zero. I understand the confusion.")[0]
+    assert not m.refusals.judge(None, "The harp cannot be tuned. It has nine strings.")[0] and not m.refusals.judge(None, "No.")[0]
+
+
+def test_stand_ins_are_seen_under_all_languages(spark):
+    answers = {"en": "Both.", "de": "Beides.", "fr": "Les deux."}
+    rows = [(f"a{i}", 0, "Which?", answers[k] if i % 3 else "zilch", None, k) for i in range(240) for k in [("en", "de", "fr")[i % 5 % 3]]]
+    m = defects.fit(spark.createDataFrame(rows, "data_id string, turn_idx int, prompt string, answer string, context string, language string"))
+    assert defects.is_empty("(zilch)", m.nothing) and not any(defects.is_empty(x, m.nothing) for x in answers.values())
 
 
 LANG = {
@@ -186,12 +211,12 @@ def test_defects_end_to_end(spark):
     rows += [
         ("language", 0, en, de + " " + de, None, "en"), ("asked", 0, "Translate this into German. " + en, de, None, "en"), ("followup", 1, "Go on.", de + " " + de, de + de, "de"),
         ("empty", 0, en, None, None, None), ("copy", 0, en, en, None, "en"), ("askedcopy", 0, "Repeat these words without any change. " + en, en, None, "en"),
-        ("refusal", 0, en, "I am afraid I can't help with that.", None, "en"), ("truncated", 0, "Wer hat die alte Harfe im Dorf gestimmt und wo hat die Frau gewohnt?", de[:60], None, "de"), ("code", 0, en, "A woman tuned it.\n```python\nx = 1", None, "en"), ("json", 0, en, '{"a": [1, 2', None, "en"), ("goodjson", 0, en, '{"a": [1, 2]}', None, "en"),
+        ("refusal", 0, en, "I can't help with that.", None, "en"), ("refusal2", 0, en, "Sorry, I can't help with this.", None, "en"), ("refusal3", 0, de, "I can't do that.", None, "en"), ("truncated", 0, "Wer hat die alte Harfe im Dorf gestimmt und wo hat die Frau gewohnt?", de[:60], None, "de"), ("code", 0, en, "A woman tuned it.\n```python\nx = 1", None, "en"), ("json", 0, en, '{"a": [1, 2', None, "en"), ("goodjson", 0, en, '{"a": [1, 2]}', None, "en"),
         ("longone", 0, en, (en + " ") * 3000, None, "en"),
     ]
     df = spark.createDataFrame(rows, "data_id string, turn_idx int, prompt string, answer string, context string, language string")
     got = {x["data_id"]: x["defect"] for x in defects.find_defects(df).collect()}
-    assert {k: v for k, v in got.items() if not k.startswith("g")} | {k: v for k, v in got.items() if k == "goodjson"} == {"language": "language", "empty": "empty", "copy": "copy", "refusal": "refusal", "truncated": "truncated", "code": "truncated", "json": "truncated"}
+    assert {k: v for k, v in got.items() if not k.startswith("g")} | {k: v for k, v in got.items() if k == "goodjson"} == {"language": "language", "empty": "empty", "copy": "copy", "refusal": "refusal", "refusal2": "refusal", "refusal3": "refusal", "truncated": "truncated", "code": "truncated", "json": "truncated", "longone": "copy"}
     assert sum(k.startswith("g") for k in got) <= 0.02 * good
     assert defects.find_defects(df.limit(0)).count() == 0
     few = defects.find_defects(df.where("data_id in ('empty', 'copy')").repartition(8)).collect()  # most partitions are empty
