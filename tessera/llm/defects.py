@@ -515,6 +515,10 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     if not a or 2 * len(a) < len(p):
         return False
     times = max(1, round(len(a) / len(p)))
+    if times > 1:  # written several times over, a prompt keeps its order
+        pairs = set(zip(p, p[1:]))
+        if 2 * sum(x in pairs for x in zip(a, a[1:])) < len(a):
+            return False
     wide = -(-len(a) // times)  # words of one time over
     longest = run = common = 0
     for at in range(0, len(a), wide):
