@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scores import min_max_scale, robust_scale
 from tessera.functions.text import word_count
 from tessera.operators.filters import relevant
+from tessera.operators.joins import join_small
 
 
 def mean_of_all(df: DataFrame, score: str, out: str) -> DataFrame:
@@ -96,9 +97,9 @@ def robust_scaled(df: DataFrame, fit: DataFrame, metrics: list[str]) -> DataFram
 
 
 def min_max_scaled(df: DataFrame, metrics: list[str], group: str = "origin") -> DataFrame:
-    """Metrics between 0 and 1 within each group; the ends are aggregated and joined, the rows not gathered."""
+    """Metrics between 0 and 1 within each group; the ends are aggregated and sent to the rows, which are not moved."""
     ends = df.groupBy(group).agg(*[f(F.nanvl(F.col(m), F.lit(None))).alias(f"{m}_{n}") for m in metrics for f, n in ((F.min, "low"), (F.max, "high"))])
-    out = df.join(ends.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    out = join_small(df, ends.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     for m in metrics:
         out = out.withColumn(m, min_max_scale(F.col(m), F.col(f"{m}_low"), F.col(f"{m}_high")))
     return out.drop(*[f"{m}_{x}" for m in metrics for x in ("low", "high")])

@@ -19,6 +19,8 @@ ROUTES = {
 }
 GENERAL_METRICS = ("quality", "complexity", "difficulty_v2", "reward", "edu_score")
 MAX_SEQUENCE = 4096
+#: Parts of a group that are ranked apart first.
+SPLITS = 64
 
 
 def without_augmented(df: DataFrame, source: str = "problem_source") -> DataFrame:
@@ -113,19 +115,16 @@ def prefix_sum(df: DataFrame, order: list[Column], n: Column, out: str, group: l
 def first_in_groups(df: DataFrame, group: str, quotas: dict[str, int], order: list[Column]) -> DataFrame:
     """Of each group the first rows of an order, as many as its quota, with their place ``_r``; other groups go.
 
-    The largest quota is written as a constant, so that each task keeps no more than that of a group before
-    the shuffle; the session's limit for that is raised where it is lower.
+    Rows are ranked twice: within a group and one of ``SPLITS`` parts of it, of which no more than the quota go on,
+    then within the group, so that a group with a third of all rows is sorted by many tasks.
     """
     if not quotas or max(quotas.values()) <= 0:
         return df.withColumn("_r", F.lit(0)).limit(0)
-    most = max(quotas.values())
-    conf, name = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(conf.get(name, "1000")) < most:
-        conf.set(name, str(most))
-    quota = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)])
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    rows = df.where(F.col(group).isin(*quotas)).withColumn("_r", rank).where(F.col("_r") <= most)
-    return rows.where(F.col("_r") <= F.element_at(quota, F.col(group)))
+    quota = F.element_at(F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)]), F.col(group))
+    parts = Window.partitionBy(group, "_part").orderBy(*order)
+    rows = df.where(F.col(group).isin(*quotas)).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SPLITS)))
+    rows = rows.withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= quota).drop("_part")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= quota)
 
 
 def within_label_limits(df: DataFrame, limits: dict[str, float], sample_size: int, order: list[Column], label: str = "setfit_label") -> DataFrame:

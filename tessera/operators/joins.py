@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,14 +16,26 @@ def attach_metrics(samples: DataFrame, metrics: DataFrame, *names: str) -> DataF
 
 def attach_metric_tables(samples: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """One narrow table a metric (``data_id`` and the metric): the tables are brought together by one aggregate
-    and joined once."""
-    parts = [t.select("data_id", *[(F.col(m).cast("double") if m == name else F.lit(None).cast("double")).alias(m) for m in tables]) for name, t in tables.items()]
+    and joined once. NaN is a missing value, as null is."""
+    parts = [t.select("data_id", *[(F.nanvl(F.col(m).cast("double"), F.lit(None)) if m == name else F.lit(None).cast("double")).alias(m) for m in tables]) for name, t in tables.items()]
     if not parts:
         return samples
     wide = reduce(DataFrame.unionByName, parts).groupBy("data_id").agg(*[F.max(m).alias(m) for m in tables])
     return samples.join(wide, "data_id", "left")
 
 
+#: Rows of a table of groups that is sent to all executors at most.
+SENT_ROWS = 50_000
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner", most: int = SENT_ROWS) -> DataFrame:
+    """``rows`` with a table that is expected to be small (one row a group): sent to all executors if it has at
+    most ``most`` rows, which is counted first, so a key with a third of the rows meets no single task; a plain
+    join beyond that."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)
+
+
 def scatter_scores(rows: DataFrame, scores: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Scores of routed rows back on all rows; null for the others."""
     return rows.join(scores.select(*keys, score), keys, "left")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.operators.aggregates import min_max_scaled, robust_fit, robust_scaled
 
 ROBUST_METRICS = ("quality", "complexity", "if_quality", "process_reward", "code_quality")
+#: Digits of a preference after the point: equal scores tie however their terms were added up.
+DIGITS = 12
 SCALED_METRICS = ("quality", "complexity", "difficulty_v2")
 
 
@@ -85,4 +87,4 @@ def with_preference(df: DataFrame, strategy: str | None, scored: bool = True, fi
     if is_dedicated(strategy):
         df = df.withColumn("quality", dedicated_quality(F.col(label)))
     df = min_max_scaled(df, list(SCALED_METRICS), group)
-    return df.withColumn("overall_preference", preference(strategy, scored))
+    return df.withColumn("overall_preference", F.round(preference(strategy, scored), DIGITS))

@@ -6,9 +6,9 @@ here passes on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.text import join_at_ingest, strip
 
@@ -70,6 +70,21 @@ def latest(df: DataFrame, ts: str = "ingested_at", key: str = "data_id") -> Data
     return got.select(key, *[F.col(f"_row.`{c}`").alias(c) for c in cols]).select(*df.columns)
 
 
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """``out``: the place of each row from 0, in the order that the rows have (of files, or of a sort): its place
+    in its partition, and the rows of the partitions before. No row leaves the engine; one row a partition is
+    collected."""
+    rows = df.withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_m", 33)
+    sizes = {r["_q"]: r["count"] for r in rows.groupBy(part.alias("_q")).count().collect()}
+    before, at = 0, []
+    for q in range(max(sizes, default=-1) + 1):
+        at.append(before)
+        before += sizes.get(q, 0)
+    offset = F.element_at(F.lit(at or [0]).cast("array<bigint>"), (part + 1).cast("int"))
+    return rows.withColumn(out, offset + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
+
+
 def assign_ids(df: DataFrame, dataset: str, order: list[str] | None = None, version: str = "1", language: str = "en") -> DataFrame:
     """``{dataset}_v{version}_{language}_{i}``; an id that is there already stays.
 
@@ -78,11 +93,10 @@ def assign_ids(df: DataFrame, dataset: str, order: list[str] | None = None, vers
     task.
     """
     src = df.orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])) if order else df
-    schema = T.StructType([*src.schema.fields, T.StructField("_i", T.LongType())])
-    numbered = src.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+    rows = numbered(src.persist(StorageLevel.MEMORY_AND_DISK) if order else src, "_i")
     made = F.concat(F.lit(f"{dataset.replace('_', '-')}_v{version}_{language}_"), F.col("_i").cast("string"))
     have = F.col("data_id") if "data_id" in df.columns else F.lit(None)
-    return numbered.withColumn("data_id", F.coalesce(have, made)).drop("_i")
+    return rows.withColumn("data_id", F.coalesce(have, made)).drop("_i")
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -160,8 +174,10 @@ def pack_pairs(df: DataFrame, position: str = "position") -> DataFrame:
 
 
 def unpack_pairs(df: DataFrame, position: str = "position") -> DataFrame:
+    """Rows 2i and 2i + 1 again; columns that a pair got since it was packed are those of both."""
     cols = [c for c in df.columns if c not in (position, "negative_example")]
-    both = F.array(F.struct(F.lit(0).alias("_o"), F.struct(*cols).alias("_r")), F.struct(F.lit(1).alias("_o"), F.struct(*[F.col(f"negative_example.{c}").alias(c) for c in cols]).alias("_r")))
+    own = set(df.schema["negative_example"].dataType.names)
+    both = F.array(F.struct(F.lit(0).alias("_o"), F.struct(*cols).alias("_r")), F.struct(F.lit(1).alias("_o"), F.struct(*[(F.col(f"negative_example.{c}") if c in own else F.col(c)).alias(c) for c in cols]).alias("_r")))
     got = df.select(position, F.inline(both))
     return got.select((F.col(position) + F.col("_o")).alias(position), *[F.col(f"_r.{c}").alias(c) for c in cols])
 
@@ -199,9 +215,3 @@ def alternates(messages: Column) -> Column:
     system = F.get(messages, 0)["role"] == "system"
     rest = F.when(system, F.slice(messages, F.lit(2), F.greatest(F.size(messages), F.lit(1)))).otherwise(messages)
     return F.forall(F.transform(rest, lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
-
-
-def first_of(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -12,8 +12,8 @@ from tessera.operators.reshape import drop_empty_system, id_without_language
 
 
 def shuffled(seed: int, key: str = "data_id") -> list[Column]:
-    """A pseudo-random order that depends on the seed and the ids only."""
-    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    """A pseudo-random order that depends on the seed and the ids only, and that other engines can repeat."""
+    return [F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key)]
 
 
 def by_preference(seed: int | None = 42, key: str = "data_id", column: str = "overall_preference") -> list[Column]:
@@ -53,10 +53,17 @@ def oversampled(df: DataFrame, times: float, order: list[Column]) -> DataFrame:
     return out.unionByName(df.orderBy(*order).limit(extra).withColumn("copy", F.lit(whole + 1)))
 
 
-def cross_lingual_first(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Of samples that differ in the language of their id only, the first; all null ids count as one."""
-    key = F.coalesce(id_without_language(F.col("data_id")), F.lit(""))
-    rows = df.withColumn("_k", key)
+def plain_key() -> Column:
+    """What samples that differ in the language of their id only have in common; all null ids have one."""
+    return F.coalesce(id_without_language(F.col("data_id")), F.lit(""))
+
+
+def cross_lingual_first(df: DataFrame, order: list[Column], taken: DataFrame | None = None) -> DataFrame:
+    """Of samples that differ in the language of their id only, the first; none of those whose key was ``taken``
+    (column ``_k``) by earlier sources. All null ids count as one."""
+    rows = df.withColumn("_k", plain_key())
+    if taken is not None:
+        rows = rows.join(taken.select("_k"), "_k", "left_anti")
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(*order))).where("_r = 1").drop("_r", "_k")
 
 
@@ -92,5 +99,5 @@ def finished(df: DataFrame, kind: str | None = "shuffle", seed: int = 1234, labe
 
 def train_test_split(df: DataFrame, test_share: float = 0.03, seed: int = 42, key: str = "data_id") -> DataFrame:
     """``split``: ``test`` where a seeded hash of the id falls under the share; the same for any partitioning."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    u = F.conv(F.substring(shuffled(seed, key)[0], 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     return df.withColumn("split", F.when(u < test_share, "test").otherwise("train"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -11,14 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
-from tessera.functions.code import code_score
+from tessera.functions.code import code_score, first_json
 from tessera.functions.scores import softmax_expectation, step_reward
-from tessera.functions.text import split_steps, word_count
+from tessera.functions.text import fill, split_steps, truncated, word_count
 from tessera.operators.aggregates import majority_label, mean_of_all, mean_of_answered, token_lengths
-from tessera.operators.filters import ROUTES, routed
+from tessera.operators.filters import ROUTES
 from tessera.operators.joins import scatter_scores
 
+log = logging.getLogger(__name__)
+
 KEYS = ["data_id", "exchange_idx"]
+#: Fixed value: the mark that ends a step in what a reward model reads.
+STEP_MARK = "<extra_0>"
 
 
 class Scorer(ABC):
@@ -80,7 +85,7 @@ class ModelScorer(Scorer):
         self.name, self.load, self.routes, self.batch, self.on_failure = name, load, routes, batch, on_failure
 
     def score_rows(self, rows: DataFrame) -> DataFrame:
-        load, size, failed = self.load, self.batch, self.on_failure
+        load, size, failed, name = self.load, self.batch, self.on_failure, self.name
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = None
@@ -91,6 +96,7 @@ class ModelScorer(Scorer):
                     try:
                         out = pd.Series(model(part[["instruction", "response"]])).to_numpy(dtype=float)
                     except Exception:  # noqa: BLE001 a failed batch must not end the job
+                        log.exception("%s failed for a batch of %d rows", name, len(part))
                         out = [failed] * len(part)
                     yield pd.DataFrame({"data_id": part["data_id"].to_numpy(), "exchange_idx": part["exchange_idx"].to_numpy(), "score": out})
 
@@ -111,6 +117,7 @@ def generate(rows: DataFrame, prompt: Column, load: Callable[[], Callable[[list[
                 try:
                     got += list(model(part))
                 except Exception:  # noqa: BLE001
+                    log.exception("no answers for a batch of %d prompts", len(part))
                     got += [None] * len(part)
             yield pd.Series(got, dtype=object)
 
@@ -174,30 +181,94 @@ def classify(exchanges: DataFrame, predict: Callable[[Column], Column]) -> DataF
     return majority_label(exchanges.select("data_id", "exchange_idx", predict(F.col("instruction")).alias("label")))
 
 
+def classify_by_prompt(rows: DataFrame, template: str, load: Callable[[], Callable[[list[str]], list[Any]]], examples: dict[str, str] | None = None, text: str = "instruction", out: str = "category") -> DataFrame:
+    """``rows`` with the category that a model answers to a zero-shot or (with ``examples``, by category) few-shot
+    prompt: the ``answer`` of the first JSON object of its completion (``{answer, explanation}``), ``""`` where there is
+    none. ``template`` has a place ``{input}``, and ``{examples}`` for a line with each category and its example."""
+    shown = "\n".join(f'{i}. {c}\n   e.g., "{e}"' for i, (c, e) in enumerate((examples or {}).items(), 1))
+    got = generate(rows, fill(template, input=F.col(text), examples=F.lit(shown)), load, "_completion")
+    answer = F.from_json(first_json(F.col("_completion")), "answer string, explanation string")
+    return got.withColumn(out, F.coalesce(answer["answer"], F.lit(""))).withColumn("explanation", answer["explanation"]).drop("_completion")
+
+
+def difficulty_prompt(template: str, category: Column, instruction: Column, render: Callable[[Column], Column], budget: int = 1024) -> Column:
+    """What a difficulty model reads: a system turn that names the category, then the instruction, rendered by a chat
+    template; of its words (the stand-in for tokens) the last ``budget``."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    text = render(F.array(turn("system", fill(template, category=category)), turn("user", instruction)))
+    return F.array_join(truncated(F.split(text, " "), budget, "left"), " ")
+
+
+def joined_steps(rows: DataFrame, sep: str = "\n\n", out: str = "marked_response") -> DataFrame:
+    """``rows`` with what a reward model reads as the answer: the steps of the response, the mark after each."""
+    return steps(rows, sep).withColumn(out, F.concat(F.array_join("steps", STEP_MARK), F.lit(STEP_MARK)))
+
+
+class InstructionScorer(Scorer):
+    """Instruction following as a scorer: ``constraints`` and, if they are known, ``answers`` and ``fallback`` of a model."""
+
+    name, routes = "if_quality", ROUTES["if_quality"]
+
+    def __init__(self, constraints: str = "constraints", answers: str | None = None, fallback: str | None = None, compat: bool = False) -> None:
+        self.options = (constraints, answers, fallback, compat)
+
+    def score_rows(self, rows: DataFrame) -> DataFrame:
+        return instruction_following(rows, *self.options).select(*KEYS, "score")
+
+
+class Analysis:
+    """An analysis that isn't one score an exchange: ``per_sample`` is a function of the exchanges."""
+
+    def __init__(self, name: str, run: Callable[[DataFrame], DataFrame]) -> None:
+        self.name, self.per_sample = name, run
+
+
+def embedding_distances(id_col: str = "data_id", vector: str = "embedding", text: str = "instruction") -> Analysis:
+    """Distance of each row to the nearest vector that isn't its own text's."""
+    from tessera.operators.vectors import text_nearest_distance
+
+    return Analysis("embedding_distance", lambda df: text_nearest_distance(df, id_col, vector, text))
+
+
+def stats_of(group: str = "origin") -> Analysis:
+    """Samples, user messages and mean turns of each source, from exchanges with their source."""
+
+    def run(df: DataFrame) -> DataFrame:
+        n = df.groupBy("data_id", group).agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy(group).agg(F.count(F.lit(1)).alias("samples"), F.sum("n").alias("user_messages"), F.avg("n").alias("avg_turns"))
+
+    return Analysis("dataset_stats", run)
+
+
 class Scorers:
     """Scorers by the name of their analysis."""
 
     def __init__(self) -> None:
-        self._made: dict[str, Callable[..., Scorer]] = {}
+        self._made: dict[str, Callable[..., Scorer | Analysis]] = {}
 
-    def register(self, name: str, make: Callable[..., Scorer]) -> None:
+    def register(self, name: str, make: Callable[..., Scorer | Analysis]) -> None:
         self._made[name] = make
 
-    def get(self, name: str, **options: Any) -> Scorer:
+    def names(self) -> list[str]:
+        return sorted(self._made)
+
+    def get(self, name: str, **options: Any) -> Scorer | Analysis:
         if name not in self._made:
             raise ValueError(f"unknown analysis {name!r}; known are {', '.join(sorted(self._made))}")
         return self._made[name](**options)
 
 
 def default_scorers() -> Scorers:
+    """Every analysis by its name."""
     s = Scorers()
     s.register("quality", quality_from_logprobs)
     s.register("complexity", complexity_from_logprobs)
     s.register("difficulty_v2", difficulty_from_logit)
     s.register("process_reward_modelling", process_reward_from_steps)
     s.register("code_quality", code_quality_from_review)
+    s.register("if_quality", InstructionScorer)
+    s.register("tokens", lambda count=word_count: Analysis("tokens", lambda df: token_counter(df, count)))
+    s.register("categories_v2", lambda predict: Analysis("categories_v2", lambda df: classify(df, predict)))
+    s.register("embedding_distance", embedding_distances)
+    s.register("dataset_stats", stats_of)
     return s
-
-
-def is_routed(label: Column, scorer: str) -> Column:
-    return routed(label, scorer)

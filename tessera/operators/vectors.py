@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.aggregates import quantiles
@@ -34,6 +33,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that ``spark.checkpoint.dir`` names; in local mode without that setting one of
+    this machine."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tessera-shared-")
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def _unit(v: pd.Series) -> np.ndarray:
     m = np.stack(v.to_list()).astype(np.float64)
     n = np.sqrt((m * m).sum(1, keepdims=True))
@@ -117,7 +131,39 @@ class CellIndex:
         label = lloyd(m, cells, seed)
         self.centres = np.stack([m[label == j].mean(0) for j in np.unique(label)])
         self.held = df.sparkSession.sparkContext.broadcast(self.centres)
-        self.rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec")).withColumn("cell", F.element_at(self._cells("vec", 1), 1))
+        self.rows = self._placed(df)
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.select(F.col(self.id_col).alias("id"), F.col(self.vector).alias("vec")).withColumn("cell", F.element_at(self._cells("vec", 1), 1))
+
+    def add(self, df: DataFrame) -> CellIndex:
+        """Further rows, in the cells there are."""
+        self.rows = self.rows.unionByName(self._placed(df))
+        return self
+
+    def empty(self) -> CellIndex:
+        """No rows, the same cells."""
+        self.rows = self.rows.limit(0)
+        return self
+
+    def count(self) -> int:
+        return self.rows.count()
+
+    def save(self, path: str) -> None:
+        """Rows by cell and the centres as tables, so that a search reads the folders of its cells."""
+        spark = self.rows.sparkSession
+        self.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(self.centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, id_col: str, vector: str) -> CellIndex:
+        self = cls.__new__(cls)
+        self.id_col, self.vector = id_col, vector
+        self.rows = spark.read.parquet(f"{path}/rows").select("id", "vec", F.col("cell").cast("int").alias("cell"))
+        self.kind = dict(self.rows.dtypes)["id"]
+        self.centres = np.stack([np.array(r["centre"]) for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # one row a cell
+        self.held = spark.sparkContext.broadcast(self.centres)
+        return self
 
     def _cells(self, vector: str, probes: int) -> Column:
         held = self.held
@@ -279,7 +325,7 @@ def lloyd(m: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
 
 
 def cluster_select(df: DataFrame, n: int | dict[str, int], cluster: str = "cluster", order: list[Column] | None = None, id_col: str = "data_id", percentile: float = 0.0, strategy: str | None = None, preference: str = "overall_preference", group: str | None = None, seed: int = 42, accuracy: int | None = None) -> DataFrame:
-    """The best row of each cluster if it is above the percentile of all preferences, then the best of the rest
+    """The best row of each cluster if it is above the percentile of all preferences (by more than rounding), then the best of the rest
     until there are ``n``; all rows if there are fewer than ``n``.
 
     ``n`` may be a number for each value of ``group``; groups are then selected from separately, in one plan,
@@ -297,7 +343,7 @@ def cluster_select(df: DataFrame, n: int | dict[str, int], cluster: str = "clust
     stats = rows.groupBy("_g").agg(quantiles(preference, F.lit(int(percentile * 100) / 100), accuracy).alias("_t"))
     ids = F.struct(*shuffled(seed, id_col))
     best = rows.groupBy("_g", cluster).agg(*([F.min_by(id_col, ids).alias("_i"), F.lit(None).alias("_p")] if strategy == "random" else [F.max_by(id_col, F.struct(F.col(preference).isNotNull(), F.col(preference), *_descending(df, id_col))).alias("_i"), F.max(preference).alias("_p")]))
-    reps = best.join(stats, "_g").where(F.lit(strategy == "random") | (F.col("_p") > F.col("_t"))).select(F.col("_i").alias(id_col), F.lit(1).alias("_rep"))
+    reps = best.join(stats, "_g").where(F.lit(strategy == "random") | (F.round("_p", 12) > F.round("_t", 12))).select(F.col("_i").alias(id_col), F.lit(1).alias("_rep"))
     rows = rows.join(reps, id_col, "left").withColumn("_rep", F.coalesce("_rep", F.lit(0)))
     return first_in_groups(rows, "_g", quotas, [F.col("_rep").desc(), *order]).select(*df.columns)
 
@@ -324,17 +370,30 @@ def cluster_quality(df: DataFrame, column: str, cluster: str = "cluster") -> Dat
     sq = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     near = df.join(cents, cluster).groupBy(cluster).agg(F.avg(F.sqrt(sq(F.col(column), F.col("c")))).alias("s"), F.sum(sq(F.col(column), F.col("c"))).alias("w"), F.count(F.lit(1)).alias("n"))
     stat = near.join(cents, cluster).crossJoin(F.broadcast(whole)).withColumn("b", F.col("n") * sq(F.col("c"), F.col("g"))).persist(StorageLevel.MEMORY_AND_DISK)
-    k, rows = stat.count(), None
-    a, b = stat.select(F.col(cluster).alias("i"), F.col("s").alias("si"), F.col("c").alias("ci")), stat.select(F.col(cluster).alias("j"), F.col("s").alias("sj"), F.col("c").alias("cj"))
-    ratio = (F.col("si") + F.col("sj")) / F.sqrt(sq(F.col("ci"), F.col("cj")))
-    db = a.join(b, F.col("i") != F.col("j")).groupBy("i").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    k = stat.count()
+    db = _worst_ratios(stat.select(F.col(cluster).alias("id"), "s", "c"), k).agg(F.avg("r").alias("davies_bouldin"))
     ch = stat.agg((F.sum("b") / (k - 1) / (F.sum("w") / (F.sum("n") - k))).alias("calinski_harabasz"))
-    del rows
-    return db.crossJoin(ch)
-
-
-def iter_batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Frames of at most ``size`` rows."""
-    for f in frames:
-        for s in range(0, len(f), size):
-            yield f.iloc[s : s + size]
+    return db.crossJoin(ch)  # one row each
+
+
+def _worst_ratios(stat: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """Of each cluster the largest (scatter + scatter) over distance to another: clusters meet by pairs of blocks."""
+    n = max(1, math.ceil(k / block))
+    rows = stat.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = rows.select(F.col("b").alias("i"), every.alias("j"), "id", "s", "c", F.lit(0).alias("side")).unionByName(rows.select(every.alias("i"), F.col("b").alias("j"), "id", "s", "c", F.lit(1).alias("side")))
+
+    def worst(f: pd.DataFrame) -> pd.DataFrame:
+        a, o = f[f["side"] == 0], f[f["side"] == 1]
+        if not len(a) or not len(o):
+            return pd.DataFrame({"id": f["id"][:0], "r": np.zeros(0)})
+        x, y = np.stack(a["c"].to_list()), np.stack(o["c"].to_list())
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (a["s"].to_numpy()[:, None] + o["s"].to_numpy()[None]) / d
+        r[a["id"].to_numpy()[:, None] == o["id"].to_numpy()[None]] = -np.inf
+        best = r.max(1)
+        keep = best > -np.inf
+        return pd.DataFrame({"id": a["id"].to_numpy()[keep], "r": best[keep]})
+
+    return sides.groupBy("i", "j").applyInPandas(worst, f"id {dict(stat.dtypes)['id']}, r double").groupBy("id").agg(F.max("r").alias("r"))

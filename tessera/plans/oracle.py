@@ -36,7 +36,8 @@ ex AS (SELECT data_id, origin, CAST(row_number() OVER (PARTITION BY data_id ORDE
   CASE WHEN messages[i + 1].role = 'assistant' THEN coalesce(messages[i + 1].content, '') ELSE '' END AS response FROM hits WHERE messages[i].role = 'user')"""
 LAB = f"([{CATS}])[length(instruction) % 7 + 1]"
 STEPS = rf"""CASE WHEN contains(response, E'\n\n') THEN string_split(regexp_replace(response, ':{WS}+', E':\n', 'g'), E'\n\n') WHEN contains(response, E'\n') THEN
-  list_filter(regexp_split_to_array(response, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]'), lambda x, i: x <> '' OR i < len(regexp_split_to_array(response, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]'))) END"""
+  list_filter(regexp_split_to_array(response, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]'), lambda x, i: x <> '' OR i < len(regexp_split_to_array(response, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]')))
+  ELSE list_filter(string_split(regexp_replace(response, '([.!?])["'')\]]*[ \t]+(["''(\[]*[\p{{Lu}}\p{{N}}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {strip('x')} <> '') END"""
 QUOTE = "coalesce(quantile_cont({x}, {q}), NULL)"
 
 
@@ -63,7 +64,7 @@ def preference(strategy: str) -> str:
     quality = DEDICATED if "dedicated" in strategy or "combination" in strategy else "quality"
     scaled = ", ".join(f"({clean(m)} - {m}_center) / CASE WHEN {m}_scale = 0 THEN 1 ELSE {m}_scale END AS {m}" for m in ROBUST)
     mm = lambda m: f"CASE WHEN max({m}) OVER w = min({m}) OVER w THEN CASE WHEN {m} IS NULL THEN NULL ELSE 0.0 END ELSE ({m} - min({m}) OVER w) / (max({m}) OVER w - min({m}) OVER w) END AS {m}"
-    how = {"default": "quality * difficulty_v2", "random": "1.0", "longest": "CAST(last_resp_length AS DOUBLE)", "deita": "quality * complexity", "difficulty_v2": "difficulty_v2", "quality": "quality", "dedicated_quality": "quality", "combination_v5": "quality * difficulty_v2", "complexity": "complexity"}[strategy]
+    how = {"default": "quality * difficulty_v2", "random": "1.0", "random_x": "0.0", "difficulty": "difficulty_v2", "longest": "CAST(last_resp_length AS DOUBLE)", "deita": "quality * complexity", "difficulty_v2": "difficulty_v2", "quality": "quality", "dedicated_quality": "quality", "combination_v5": "quality * difficulty_v2", "complexity": "complexity"}[strategy]
     return f"""{POOL}, {FIT}, r AS (SELECT data_id, origin, setfit_label, inst_length, resp_length, last_resp_length, {clean('difficulty_v2')} AS difficulty_v2, {scaled} FROM pool, fit),
 q AS (SELECT * REPLACE ({quality} AS quality) FROM r),
 mm AS (SELECT data_id, origin, setfit_label, inst_length, resp_length, last_resp_length, {mm('quality')}, {mm('complexity')}, {mm('difficulty_v2')} FROM q WINDOW w AS (PARTITION BY origin)),
@@ -182,7 +183,7 @@ SELECT data_id, exchange_idx, CAST(u AS INTEGER) AS unchecked, CAST(n AS INTEGER
     o["within_length"] = f"WITH {POOL} SELECT data_id, inst_length + resp_length AS tokens FROM pool WHERE inst_length + resp_length <= 120"
     o["relevant_metrics"] = f"WITH {POOL} SELECT setfit_label, " + ", ".join(f"CAST(sum(CAST({relevant(m)} AS INT)) AS BIGINT) AS n_{m}" for m in ("quality", "complexity", "difficulty_v2", "if_quality", "process_reward", "code_quality")) + " FROM pool GROUP BY 1"
     o["metrics_attached"] = f"WITH {CONV}, {ANALYSIS} SELECT conv.data_id, {clean('quality')} AS quality, inst_length FROM conv LEFT JOIN ana USING (data_id)"
-    o["metric_tables_attached"] = f"WITH {INST}, {ANALYSIS} SELECT inst.data_id, complexity, CAST(inst_length AS DOUBLE) AS inst_length, CAST(resp_length AS DOUBLE) AS resp_length FROM inst LEFT JOIN ana USING (data_id)"
+    o["metric_tables_attached"] = f"WITH {INST}, {ANALYSIS} SELECT inst.data_id, CASE WHEN isnan(complexity) THEN NULL ELSE complexity END AS complexity, CAST(inst_length AS DOUBLE) AS inst_length, CAST(resp_length AS DOUBLE) AS resp_length FROM inst LEFT JOIN ana USING (data_id)"
     o["labels_attached"] = f"WITH {EXCH}, {LABELS} SELECT data_id, exchange_idx, {LAB} AS message_label, setfit_label AS sample_label FROM ex LEFT JOIN labels USING (data_id)"
     o["semi_joined"] = f"WITH {CONV}, {ANALYSIS} SELECT data_id, ana.origin FROM ana WHERE data_id IN (SELECT data_id FROM conv)"
     o["back_filled"] = f"WITH {INST}, {ANALYSIS} SELECT data_id, origin FROM ana WHERE data_id NOT IN (SELECT data_id FROM inst)"
@@ -192,7 +193,7 @@ SELECT data_id, exchange_idx, CAST(u AS INTEGER) AS unchecked, CAST(n AS INTEGER
     o["robust_fit"] = f"WITH {POOL}, {FIT} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in cols)} FROM fit"
     x = clean("complexity")
     o["min_max_by_origin"] = f"WITH {POOL}, c AS (SELECT data_id, origin, complexity AS raw, {x} AS x FROM pool) SELECT data_id, round(CASE WHEN raw IS NULL THEN NULL WHEN max(x) OVER w = min(x) OVER w THEN 0.0 ELSE (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) END, 6) AS complexity FROM c WINDOW w AS (PARTITION BY origin)"
-    for s in ("default", "random", "longest", "deita", "difficulty_v2", "quality", "dedicated_quality", "combination_v5", "complexity"):
+    for s in ("default", "random", "random_x", "longest", "deita", "difficulty", "difficulty_v2", "quality", "dedicated_quality", "combination_v5", "complexity"):
         o[f"preference_{s}"] = f"WITH {preference(s)} SELECT data_id, round(overall_preference, 6) AS overall_preference FROM pref"
     o["percentile_thresholds"] = f"WITH {POOL} SELECT setfit_label, round(quantile_cont(complexity, 0.28), 6) AS threshold FROM pool WHERE setfit_label IS NOT NULL GROUP BY 1"
 
@@ -209,7 +210,7 @@ SELECT data_id, exchange_idx, CAST(u AS INTEGER) AS unchecked, CAST(n AS INTEGER
     before = f"coalesce(sum(inst_length + resp_length) OVER ({{part}} {BY_LENGTH} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     o["token_budget"] = f"WITH {POOL} SELECT data_id, resp_length FROM pool QUALIFY {before.format(part='')} < 20000"
     o["token_budget_by_origin"] = f"WITH {POOL} SELECT origin, data_id FROM pool QUALIFY {before.format(part='PARTITION BY origin')} < 1500"
-    o["oversampled"] = f"WITH {POOL}, t AS (SELECT data_id, row_number() OVER ({BY_LENGTH}) AS r, count(*) OVER () AS n FROM pool WHERE origin = 'tidal_reasoning') SELECT data_id, 1 AS copy FROM t UNION ALL SELECT data_id, 2 FROM t WHERE r <= floor(n * 0.5)"
+    o["oversampled"] = f"WITH {POOL}, t AS (SELECT data_id, row_number() OVER ({BY_LENGTH}) AS r, count(*) OVER () AS n FROM pool) SELECT data_id, 1 AS copy FROM t UNION ALL SELECT data_id, 2 FROM t WHERE r <= floor(n * 0.5)"
     o["cross_lingual_first"] = f"WITH {POOL} SELECT data_id FROM pool QUALIFY row_number() OVER (PARTITION BY array_to_string(list_concat(string_split(data_id, '_')[1:2], string_split(data_id, '_')[4:]), '_') {BY_LENGTH}) = 1"
     o["curriculum"] = f"WITH {ANALYSIS} SELECT data_id, row_number() OVER (ORDER BY difficulty_v2, data_id) - 1 AS place FROM ana WHERE difficulty_v2 IS NOT NULL AND NOT isnan(difficulty_v2)"
     o["by_category"] = f"WITH {POOL} SELECT data_id, setfit_label, row_number() OVER (ORDER BY list_position([{CATS}], setfit_label), inst_length + resp_length, data_id) - 1 AS place FROM pool WHERE setfit_label IS NOT NULL"
@@ -232,4 +233,92 @@ f AS (SELECT vec_id, label FROM e WHERE vec_id NOT IN (SELECT vec_id FROM r) ORD
     has = "texts AS (SELECT data_id, len(messages) AS turns, CASE WHEN messages[1].role = 'system' AND messages[1].content = '' THEN 1 ELSE 0 END AS e FROM conv0 UNION ALL SELECT data_id, 2, 0 FROM inst WHERE instruction IS NOT NULL)"
     base = f"{inst_turns}, {has}, {preference('longest')}, mine AS (SELECT pref.*, turns - e AS turns FROM pref JOIN texts USING (data_id) WHERE origin IN {two} AND inst_length + resp_length <= 4096)"
     o["select_spec"] = f"{base}, s AS ({strat(120, PROPORTIONS, 'mine', 'ORDER BY overall_preference DESC NULLS LAST, data_id')}) SELECT data_id, origin, setfit_label, overall_preference, CAST(turns AS INTEGER) AS turns FROM s"
+
+    # ---- orders by md5
+    by = lambda seed, c="data_id": f"md5('{seed}|' || {c}), {c}"
+    o["random_sample"] = f"WITH {POOL} SELECT data_id, origin FROM pool ORDER BY {by(0)} LIMIT 250"
+    o["preference_order"] = f"WITH {preference('deita')} SELECT data_id, round(overall_preference, 6) AS overall_preference FROM pref ORDER BY round(overall_preference, 12) DESC NULLS LAST, {by(42)} LIMIT 300"
+    o["train_test"] = f"WITH {POOL} SELECT data_id, CASE WHEN ('0x' || substr(md5('42|' || data_id), 1, 8))::BIGINT / 4294967296.0 < 0.03 THEN 'test' ELSE 'train' END AS split FROM pool"
+    o["random_members"] = f"WITH {POOL} SELECT data_id, origin FROM pool QUALIFY row_number() OVER (PARTITION BY origin ORDER BY {by(7)}) = 1"
+    o["shuffled_order"] = f"WITH {ANALYSIS} SELECT data_id, row_number() OVER (ORDER BY {by(1234)}) - 1 AS place FROM ana"
+    o["whole_curriculum"] = f"WITH {ANALYSIS} SELECT data_id, row_number() OVER (ORDER BY {clean('difficulty_v2')} NULLS LAST, data_id) - 1 AS place FROM ana"
+    o["all_response_steps"] = f"WITH {EXCH}, s AS (SELECT data_id, exchange_idx, {STEPS} AS steps FROM ex) SELECT data_id, exchange_idx, CAST(len(steps) AS INTEGER) AS n_steps, steps[1] AS first_step FROM s"
+    o["mean_process_reward"] = f"WITH {EXCH}, s AS (SELECT data_id, CASE WHEN {LAB} = 'Math' THEN list_min(list_transform({STEPS}, lambda x: CAST(length(x) AS DOUBLE))) END AS r FROM ex) SELECT data_id, coalesce(avg(r), 0.0) AS process_reward FROM s GROUP BY 1"
+    o["cluster_quality"] = f"""WITH l AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS d, unnest({UNIT}) AS x FROM embeddings), m AS (SELECT label, d, avg(x) AS m FROM l GROUP BY 1, 2), g AS (SELECT d, avg(x) AS g FROM l GROUP BY 1),
+w AS (SELECT vec_id, label, sum((x - m) * (x - m)) AS q FROM l JOIN m USING (label, d) GROUP BY 1, 2), s AS (SELECT label, avg(sqrt(q)) AS s, sum(q) AS w, count(*) AS n FROM w GROUP BY 1),
+b AS (SELECT label, sum((m - g) * (m - g)) AS b FROM m JOIN g USING (d) GROUP BY 1), r AS (SELECT i.label, max((si.s + sj.s) / dist) AS r FROM (SELECT a.label, c.label AS other, sqrt(sum((a.m - c.m) * (a.m - c.m))) AS dist FROM m a JOIN m c ON a.d = c.d AND a.label <> c.label GROUP BY 1, 2) i JOIN s si ON si.label = i.label JOIN s sj ON sj.label = i.other GROUP BY 1)
+SELECT (SELECT round(avg(r), 4) FROM r) AS davies_bouldin, round(sum(n * b) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz FROM s JOIN b USING (label)"""
+    fence = "regexp_extract(response, '(?s)(```.*?)(?:```|\\z)', 1)"
+    cut = strip(code.replace("response", "src"))
+    o["code_reviews"] = f"""WITH {EXCH}, f AS (SELECT data_id, exchange_idx, length(response) % 3 <> 0 AS ok, {fence} AS src FROM ex WHERE contains(response, '```')),
+n AS (SELECT data_id, exchange_idx, ok, {cut} AS a, {cut.replace('src', "regexp_replace(src, E'\\n[^\\n]*\\n?$', '')")} AS b FROM f),
+c AS (SELECT data_id, exchange_idx, ok, CASE WHEN a = '' THEN 0 ELSE len(string_split(a, E'\n')) END AS na, CASE WHEN b = '' THEN 0 ELSE len(string_split(b, E'\n')) END AS nb FROM n)
+SELECT data_id, exchange_idx, round(CASE WHEN na = 0 THEN 1.0 WHEN ok AND na > 3 AND nb = 0 THEN 1.0 WHEN ok THEN nb / na ELSE nb / na * 0.5 END, 6) AS score, CAST(CASE WHEN na = 0 OR (ok AND na > 3 AND nb = 0) THEN 0 ELSE na - nb END AS DOUBLE) AS distance, na = 0 OR (ok AND na > 3 AND nb = 0) OR ok AS correct FROM c"""
+    # ---- sources and sinks
+    o["jsonl_written_and_read"] = f"WITH {CONV} SELECT data_id, CAST(len(messages) AS INTEGER) AS turns, origin, messages[1].content AS first FROM conv"
+    o["metric_columns_read"] = f"WITH {INST}, {ANALYSIS}, {LABELS} SELECT inst.data_id, {clean('quality')} AS quality, CAST(resp_length AS DOUBLE) AS resp_length, setfit_label FROM inst LEFT JOIN ana USING (data_id) LEFT JOIN labels USING (data_id)"
+    o["metric_tables_written"] = f"WITH {INST}, {ANALYSIS} SELECT inst.data_id, {clean('complexity')} AS complexity, CAST(inst_length AS DOUBLE) AS inst_length FROM inst LEFT JOIN ana USING (data_id)"
+    o["sidecar_written"] = f"WITH {EXCH}, {OUT} SELECT data_id, CAST(unnest(range(0, {len(OUTCOMES)})) AS INTEGER) AS nth, unnest(o) AS followed FROM out WHERE exchange_idx = 0"
+    o["sources_by_ending"] = "SELECT item_id, benchmark, regexp_replace(question, '[\\r\\n]+', ' ', 'g') AS question, ending FROM eval_items, (SELECT unnest(['jsonl', 'csv', 'orc', 'parquet']) AS ending)"
+    o["subsets_united"] = f"WITH {INST} SELECT lower(language) AS subset, count(*) AS n FROM inst WHERE lower(language) IN ('en', 'de', 'fr') GROUP BY 1"
+    o["registered"] = f"WITH {CONV} SELECT 'conversations' AS name, count(*) AS n FROM conv UNION ALL SELECT 'raw_eval_items', count(*) FROM eval_items"
+    o["results_cached"] = f"WITH {ANALYSIS} SELECT w AS \"when\", w = 'after' AS found, (SELECT count(*) FROM ana) AS rows FROM (SELECT unnest(['before', 'after', 'repeat']) AS w)"
+    o["templates_filled"] = f"WITH {INST} SELECT data_id, 'Task: ' || coalesce(instruction, '') || E'\\n{{as JSON}} for ' || coalesce(origin, '') AS prompt FROM inst"
+    o["training_read"] = f"WITH {CONV} SELECT f AS file, (SELECT CAST(sum(len(messages)) AS BIGINT) FROM conv) AS turns FROM (SELECT unnest(['messages', 'pairs']) AS f)"
+    o["canonical_columns"] = f"WITH {CONV} SELECT data_id, CAST(len(messages) AS INTEGER) AS turns FROM conv"
+    o["strict_numbers"] = f"WITH {ANALYSIS} SELECT data_id, CASE WHEN resp_length % 11 = 0 OR isnan(complexity) THEN NULL ELSE complexity END AS complexity FROM ana"
+    o["subset_specs"] = "SELECT name, s AS subset, CASE s WHEN 'a' THEN 'en' ELSE 'de' END AS language, CAST(CASE s WHEN 'a' THEN 5 ELSE length(name) END AS INTEGER) AS sample_size FROM (SELECT DISTINCT name FROM dataset_config WHERE name IS NOT NULL), (SELECT unnest(['a', 'b']) AS s)"
+    # ---- scorers by name, prompts of models
+    o["generated"] = f"WITH {INST} SELECT data_id, length(instruction) || '|' || instruction AS completion FROM inst WHERE instruction IS NOT NULL"
+    e2 = "exp(length(instruction) % 5)"
+    o["generated_logprobs"] = f"WITH {INST} SELECT data_id, round(CASE WHEN length(instruction) % 3 = 0 THEN 3.0 ELSE (1 + 2 * {e2} + 18 * exp(-20.0)) / (1 + {e2} + 4 * exp(-20.0)) END, 6) AS mark FROM inst WHERE instruction IS NOT NULL"
+    o["chat_answers"] = f"WITH {CONV} SELECT data_id, CAST(length(array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || E'\\n' || coalesce(m.content, '') || E'<|im_end|>\\n'), '') || E'<|im_start|>assistant\\n') AS VARCHAR) AS answer FROM conv WHERE len(messages) > 0"
+    o["classified_messages"] = o["majority_labels"]
+    from tessera.plans.queries import TEMPLATE
+
+    said = TEMPLATE.replace("{examples}", '1. Math\n   e.g., "2 + 2"\n2. Coding\n   e.g., "def f"').replace("{{", "{").replace("}}", "}").replace("{input}", "")
+    n = f"(length(instruction) + {len(said)})"
+    o["classified_by_prompt"] = f"WITH {INST} SELECT data_id, CASE WHEN {n} % 7 = 6 THEN '' ELSE ([{CATS}])[{n} % 7 + 1] END AS category, CASE WHEN {n} % 7 = 6 THEN NULL ELSE CAST({n} AS VARCHAR) END AS explanation FROM inst WHERE instruction IS NOT NULL"
+    o["difficulty_prompts"] = f"WITH {INST} SELECT data_id, array_to_string(string_split(E'<|im_start|>system\\nRate tasks of all.<|im_end|>\\n<|im_start|>user\\n' || instruction || E'<|im_end|>\\n', ' ')[-12:], ' ') AS prompt FROM inst WHERE instruction IS NOT NULL"
+    o["marked_steps"] = f"WITH {EXCH} SELECT data_id, exchange_idx, array_to_string({STEPS}, '<extra_0>') || '<extra_0>' AS marked_response FROM ex"
+    mark = "(1.0 * exp(length(response) % 5) + 20 * exp(-20.0)) / (exp(length(response) % 5) + 5 * exp(-20.0))"
+    per = lambda v: f"SELECT data_id, {v} AS v FROM z GROUP BY 1"
+    heard = f"SELECT count(*) AS samples, round(avg(v), 4) AS mean"
+    o["analyses_by_name"] = f"""WITH {EXCH}, {OUT}, z AS (SELECT ex.*, {LAB} AS lab, {STANDIN} AS st, {mark} AS mk, {words('response')} AS wc, o FROM ex JOIN out USING (data_id, exchange_idx)),
+q AS ({per(f"coalesce(avg(mk) FILTER (WHERE response <> '' AND lab IN ({route('quality')})), 0.0)")}), c AS ({per('avg(mk)')}), df AS ({per("coalesce(avg(st) FILTER (WHERE response <> ''), 0.0)")}), p AS ({per("coalesce(avg(st) FILTER (WHERE lab = 'Math'), 0.0)")}),
+i0 AS (SELECT data_id, response, lab, len(list_filter(o, lambda x: x IS NOT NULL)) AS n, len(list_filter(o, lambda x: coalesce(x, FALSE))) AS y FROM z), i AS (SELECT data_id, coalesce(avg(CASE WHEN n = 0 THEN 0.5 WHEN y > 0 AND y < 10 THEN y / n * y ELSE y / n END) FILTER (WHERE response <> '' AND lab IN ({route('if_quality')})), 0.0) AS v FROM i0 GROUP BY 1),
+t AS ({per('sum(wc)')}), d0 AS (SELECT data_id, origin, count(*) AS n FROM z WHERE origin IS NOT NULL GROUP BY 1, 2), d AS (SELECT origin, count(*) AS s, avg(n) AS a FROM d0 GROUP BY 1)
+{heard}, 'quality' AS analysis FROM q UNION ALL {heard}, 'complexity' FROM c UNION ALL {heard}, 'difficulty_v2' FROM df UNION ALL {heard}, 'process_reward_modelling' FROM p UNION ALL {heard}, 'if_quality' FROM i UNION ALL {heard}, 'tokens' FROM t UNION ALL SELECT CAST(sum(s) AS BIGINT), round(avg(a), 4), 'dataset_stats' FROM d"""
+    # ---- constraints
+    from tessera.functions.rules import TYPES
+
+    kind = "([" + ", ".join(f"'{t}'" for t in (*TYPES, "style")) + "])[length(instruction) % 14 + 1]"
+    see = "'see word ' || regexp_extract(instruction, '[A-Za-z]+', 0)"
+    o["constraints_kept"] = f"""WITH {INST}, k AS (SELECT data_id, list_filter([CASE WHEN {kind} <> 'style' AND NOT contains({see}, 'word ' || instruction) THEN {kind} || '=word ' || instruction END, CASE WHEN {kind} = 'style' OR NOT contains('word ' || instruction, {see}) THEN 'length=' || {see} END], lambda x: x IS NOT NULL) AS l FROM inst WHERE instruction IS NOT NULL)
+SELECT data_id, CAST(len(l) AS INTEGER) AS n, coalesce(array_to_string(l, ' | '), '') AS kept FROM k"""
+    o["first_objects"] = f"""WITH {INST} SELECT data_id, '{{"a": {{"b": "' || regexp_replace(instruction, '[{{}}]', '', 'g') || '"}}, "c": {{}}}}' AS object, CAST(NULL AS VARCHAR) AS open FROM inst WHERE instruction IS NOT NULL"""
+    parts = "string_split(regexp_replace(instruction, '[\"''`]', '', 'g'), ' ')"
+    ask = "Does the following text (after ''ASSISTANT:'') "
+    o["constraints_processed"] = f"""WITH {INST}, w AS (SELECT data_id, {parts} AS w FROM inst WHERE instruction IS NOT NULL),
+c AS (SELECT data_id, list_filter([CASE WHEN w[1] <> '' THEN struct_pack(t := 'keyword_included', e := w[1]) END, CASE WHEN len(w) >= 3 THEN struct_pack(t := 'start_and_ending', e := 'start; ' || array_to_string(w[1:3], ' ')) END, struct_pack(t := 'length', e := 'in two parts'), struct_pack(t := 'choose_output', e := 'A; B or C')], lambda x: x IS NOT NULL) AS c FROM w)
+SELECT data_id, array_to_string(list_transform(c, lambda x: x.t || '=' || x.e), ' | ') AS constraints,
+  array_to_string(list_transform(c, lambda x, i: i || '. ' || x.t || ': {ask}' || CASE WHEN x.t = 'choose_output' THEN 'contain one of the following phrase: ' || x.e || '?' ELSE 'follow the ' || replace(x.t, '_', ' ') || ' constraint of ' || chr(39) || x.e || chr(39) || '?' END), ' | ') AS questions FROM c"""
+    # ---- index and whole specs
+    o["index_of_all_cells"] = o["nearest_of_queries"]
+    mine = f"{inst_turns}, {has}, {preference('longest')}, mine AS (SELECT pref.*, row_number() OVER (PARTITION BY origin ORDER BY overall_preference DESC NULLS LAST, data_id) AS rk, array_to_string(list_concat(string_split(data_id, '_')[1:2], string_split(data_id, '_')[4:]), '_') AS k FROM pref JOIN texts USING (data_id))"
+    first = "ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    o["select_budgeted"] = f"""{mine}, h AS (SELECT * FROM mine WHERE origin = 'harbor_chat_mix' AND setfit_label IN ('Math', 'Coding') QUALIFY row_number() OVER (PARTITION BY setfit_label ORDER BY rk) <= CASE setfit_label WHEN 'Math' THEN 12 ELSE 30 END),
+t AS (SELECT data_id, origin FROM mine WHERE origin = 'tidal_reasoning' QUALIFY coalesce(sum(inst_length + resp_length) OVER ({first}), 0) < 1000), m AS (SELECT data_id, origin, rk, count(*) OVER () AS n FROM mine WHERE origin = 'moss_summaries')
+(SELECT data_id, origin FROM h ORDER BY rk LIMIT 60) UNION ALL SELECT data_id, origin FROM t UNION ALL SELECT data_id, origin FROM m UNION ALL SELECT data_id, origin FROM m WHERE rk <= floor(n * 0.5)"""
+    o["select_languages_once"] = f"""{mine}, a AS (SELECT data_id, origin, k FROM (SELECT * FROM mine WHERE origin = 'harbor_chat_mix' QUALIFY row_number() OVER (PARTITION BY k ORDER BY rk) = 1) ORDER BY rk LIMIT 80),
+b AS (SELECT * FROM mine WHERE origin = 'cinder_instruct' AND k NOT IN (SELECT k FROM a) QUALIFY row_number() OVER (PARTITION BY k ORDER BY rk) = 1),
+l AS (SELECT * FROM b WHERE setfit_label IN ('Math', 'Coding', 'Generation') QUALIFY row_number() OVER (PARTITION BY setfit_label ORDER BY rk) <= CASE setfit_label WHEN 'Math' THEN 8 WHEN 'Coding' THEN 16 ELSE 24 END)
+SELECT data_id, origin FROM a UNION ALL (SELECT data_id, origin FROM l ORDER BY rk LIMIT 80)"""
+    quota = "CASE setfit_label " + " ".join(f"WHEN '{c}' THEN {int(p * 100)}" for c, p in PROPORTIONS.items()) + " END"
+    with_text = preference("combination_v5").replace("WHERE ana.origin IS NOT NULL", "WHERE ana.origin IS NOT NULL AND data_id IN (SELECT data_id FROM texts)")
+    o["select_clustered"] = f"""{inst_turns}, {has}, {with_text}, p AS (SELECT data_id, setfit_label, round(overall_preference, 12) AS x, inst_length % 17 AS cl FROM pref JOIN texts USING (data_id) WHERE inst_length + resp_length <= 4096 AND setfit_label IS NOT NULL),
+t AS (SELECT setfit_label, quantile_cont(x, 0.2) AS t FROM p GROUP BY 1), b AS (SELECT data_id, setfit_label, x FROM p QUALIFY row_number() OVER (PARTITION BY setfit_label, cl ORDER BY x DESC NULLS LAST, data_id) = 1), reps AS (SELECT data_id FROM b JOIN t USING (setfit_label) WHERE x > round(t, 12))
+SELECT data_id, setfit_label FROM p QUALIFY row_number() OVER (PARTITION BY setfit_label ORDER BY CASE WHEN data_id IN (SELECT data_id FROM reps) THEN 0 ELSE 1 END, x DESC NULLS LAST, {by(42)}) <= {quota}"""
+    o["select_from_files"] = f"WITH {INST}, {ANALYSIS} SELECT inst.data_id, 'all' AS origin, output AS answer, last_resp_length FROM inst LEFT JOIN ana USING (data_id) WHERE inst_length + resp_length <= 4096 ORDER BY last_resp_length DESC NULLS LAST, data_id LIMIT 50"
+    o["pairs_from_files"] = f"{kto} SELECT data_id, TRUE AS label FROM k UNION ALL SELECT data_id, FALSE FROM k"
     return o

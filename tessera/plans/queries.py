@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tessera.functions import code, rules, scores, text
 from tessera.operators import aggregates, filters, joins, preference, reshape, sampling, scorers, vectors
 from tessera.operators.filters import CATEGORIES
-from tessera.plans.spec import Selection, SelectionSpec, SourceSpec
+from tessera.plans.runner import Run
+from tessera.plans.spec import Selection, SelectionSpec, SourceSpec, parse_spec
+from tessera.sources import readers, writers
 
 METRICS = ("quality", "complexity", "difficulty_v2", "if_quality", "process_reward", "code_quality")
 
@@ -446,7 +448,7 @@ def token_budget_by_origin(spark: SparkSession, d: str) -> DataFrame:
 
 def oversampled(spark: SparkSession, d: str) -> DataFrame:
     p, o = _ranked(spark, d)
-    return sampling.oversampled(p.where("origin = 'tidal_reasoning'"), 1.5, o).select("data_id", "copy")
+    return sampling.oversampled(p, 1.5, o).select("data_id", "copy")
 
 
 def cross_lingual_first(spark: SparkSession, d: str) -> DataFrame:
@@ -476,7 +478,7 @@ def random_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def preference_order(spark: SparkSession, d: str) -> DataFrame:
     p = preference.with_preference(pool(spark, d), "deita")
-    return sampling.top_k(p, 300, sampling.by_preference(42)).select("data_id", "overall_preference")
+    return sampling.top_k(p, 300, sampling.by_preference(42)).select("data_id", F.round("overall_preference", 6).alias("overall_preference"))
 
 
 def train_test(spark: SparkSession, d: str) -> DataFrame:
@@ -597,6 +599,272 @@ def select_clustered(spark: SparkSession, d: str) -> DataFrame:
     return Selection(spec, p, cluster_column="cluster").result().select("data_id", "setfit_label")
 
 
+# ---- sources and sinks: files written from the tables and read again ------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return vectors.shared_folder(spark)
+
+
+def _written(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A folder with the instructions as JSON lines in the order of their ids, and metric columns by position."""
+    at = _folder(spark)
+    i = instructions(spark, d).select("data_id", "instruction", "input", "output", "origin", "language")
+    i.orderBy("data_id").write.json(f"{at}/all.jsonl")
+    a = i.select("data_id").join(analysis(spark, d), "data_id", "left").join(labels(spark, d).select("data_id", "setfit_label"), "data_id", "left")
+    writers.write_metric_lines(a, f"{at}/quality_scores/all.csv", "quality", ["data_id"])
+    writers.write_metric_lines(a, f"{at}/tokens_scores/responses/all.csv", "resp_length", ["data_id"])
+    writers.write_metric_lines(a, f"{at}/categories_v2/all_aggr.csv", "setfit_label", ["data_id"])
+    return at, i
+
+
+def jsonl_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    writers.write_jsonl(conversations(spark, d).select("data_id", "messages", "origin", "language"), f"{at}/c.jsonl")
+    path = readers.resolve_path("DATA_PATH/c.jsonl", at)
+    readers.check_presence(spark, [path])
+    c = readers.read_jsonl(spark, path, readers.CONVERSATIONS)
+    return c.select("data_id", F.size("messages").alias("turns"), "origin", F.get("messages", 0)["content"].alias("first"))
+
+
+def metric_columns_read(spark: SparkSession, d: str) -> DataFrame:
+    """Metric columns without ids, attached by position; the ones that aren't there are left out."""
+    at, _ = _written(spark, d)
+    i = readers.read_jsonl(spark, f"{at}/all.jsonl", readers.INSTRUCTIONS)
+    return readers.read_metrics(spark, at, "all", i).select("data_id", "quality", "resp_length", "setfit_label")
+
+
+def metric_tables_written(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    writers.write_metrics(analysis(spark, d), at, ["complexity", "inst_length"])
+    t = {m: readers.read_source(spark, f"{at}/{m}") for m in ("complexity", "inst_length")}
+    return joins.attach_metric_tables(instructions(spark, d).select("data_id"), t)
+
+
+def sidecar_written(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    e = scorers.evaluated(reshape.exchanges(conversations(spark, d)).where("exchange_idx = 0").withColumn("constraints", _constraints()))
+    writers.write_sidecar(e, at, ["outcomes"])
+    got = readers.read_jsonl(spark, at, "data_id string, outcomes array<struct<type:string,expr:string,followed:boolean>>")
+    return got.select("data_id", F.posexplode("outcomes").alias("nth", "o")).select("data_id", "nth", F.col("o.followed").alias("followed"))
+
+
+def sources_by_ending(spark: SparkSession, d: str) -> DataFrame:
+    """One table as JSON lines, CSV, ORC and Parquet."""
+    at, parts = _folder(spark), []
+    e = table(spark, d, "eval_items").select("item_id", "benchmark", F.regexp_replace("question", r"[\r\n]+", " ").alias("question"))
+    for ending in ("jsonl", "csv", "orc", "parquet"):
+        w, path = e.write, f"{at}/e.{ending}"
+        {"jsonl": w.json, "csv": w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv, "orc": w.orc, "parquet": w.parquet}[ending](path)
+        parts.append(readers.read_source(spark, path).select(F.col("item_id").cast("bigint").alias("item_id"), "benchmark", "question", F.lit(ending).alias("ending")))
+    return joins.union_all(*parts)
+
+
+def subsets_united(spark: SparkSession, d: str) -> DataFrame:
+    i = instructions(spark, d)
+    u = readers.union_subsets({x: i.where(F.lower("language") == x).select("data_id") for x in ("en", "de", "fr")})
+    return u.groupBy("subset").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _registry(d: str) -> readers.Registry:
+    r = readers.Registry()
+    r.register("conversations", "Conversations", lambda s: conversations(s, d))
+    r.register_pattern("raw_*", lambda name: lambda s: table(s, d, name[4:]))
+    return r
+
+
+def registered(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets by name: a registered one as a view for SQL, one by its wildcard."""
+    r = _registry(d)
+    r.create_views(spark)
+    a = spark.sql("select 'conversations' as name, count(*) as n from conversations")
+    return a.unionByName(r.load(spark, "raw_eval_items").agg(F.lit("raw_eval_items").alias("name"), F.count(F.lit(1)).alias("n")))
+
+
+def results_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a result is there before and after it is written, and when it is asked for again."""
+    at = _folder(spark)
+    before = readers.result_exists(spark, at, "origins")
+    writers.write_table(aggregates.composition(analysis(spark, d), "origin"), f"{at}/origins.parquet", by=None)
+    said = [("before", before), ("after", readers.result_exists(spark, at, "origins")), ("repeat", readers.result_exists(spark, at, "origins", repeat=True))]
+    n = readers.read_source(spark, f"{at}/origins.parquet").agg(F.sum("n").alias("rows"))
+    return spark.createDataFrame(said, "when string, found boolean").join(n)
+
+
+TEMPLATE = "Given the categories:\n{examples}\nAnswer in JSON, e.g. {{\"answer\": \"Math\", \"explanation\": \"...\"}}\n### Task ###\n{input}"
+
+
+def templates_filled(spark: SparkSession, d: str) -> DataFrame:
+    return instructions(spark, d).select("data_id", text.fill("Task: {input}\n{{as JSON}} for {who}", input=F.col("instruction"), who=F.col("origin")).alias("prompt"))
+
+
+def training_read(spark: SparkSession, d: str) -> DataFrame:
+    """A training file with messages, and one with prompt and completion."""
+    at = _folder(spark)
+    c = conversations(spark, d)
+    writers.write_jsonl(c.select("data_id", "messages"), f"{at}/m.jsonl")
+    writers.write_jsonl(reshape.prompt_completion(c).select("data_id", "prompt", "completion"), f"{at}/p.jsonl")
+    m, p = readers.read_training(spark, f"{at}/m.jsonl"), readers.read_training(spark, f"{at}/p.jsonl")
+    turns = m.agg(F.sum(F.size("messages")).alias("turns")), p.agg(F.sum(F.size("prompt") + F.size("completion")).alias("turns"))
+    return joins.union_all(*[t.withColumn("file", F.lit(n)) for n, t in zip(("messages", "pairs"), turns)])
+
+
+def canonical_columns(spark: SparkSession, d: str) -> DataFrame:
+    c = reshape.canonical(conversations(spark, d))
+    return c.select("data_id", F.size("messages").alias("turns"))
+
+
+def strict_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers written as text, missing ones as None and NaN as NaN, some that are no number."""
+    t = F.when(F.col("resp_length") % 11 == 0, "n/a").when(F.isnan("complexity"), "NaN").otherwise(F.coalesce(F.col("complexity").cast("string"), F.lit("None")))
+    return analysis(spark, d).select("data_id", scores.strict_number(t).alias("complexity"))
+
+
+def subset_specs(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of the config table as a spec with subsets, whose settings win."""
+    names = [r["name"] for r in table(spark, d, "dataset_config").where("name is not null").select("name").distinct().orderBy("name").collect()]  # a row a source
+    made = {"x": {"sample_size": 9, "data": [{"name": n, "language": "en", "sample_size": 5, "subsets": {"a": None, "b": {"language": "de", "sample_size": len(n)}}} for n in names]}}
+    return spark.createDataFrame([(s.name, s.subset_name, s.language, s.sample_size) for s in parse_spec(made).data], "name string, subset string, language string, sample_size int")
+
+
+# ---- scorers by name, prompts of models ------------------------------------------------------------------------
+
+
+def _stand_in_model():  # noqa: ANN202
+    """A fixed stand-in for a model: JSON with a category by the prompt's length; every seventh answer has none."""
+    return lambda prompts: ["no idea {" if len(p) % 7 == 6 else f'Sure. {{"answer": "{CATEGORIES[len(p) % 7]}", "explanation": "{len(p)}"}} done' for p in prompts]
+
+
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    i = instructions(spark, d).where("instruction is not null")
+    return scorers.generate(i, F.col("instruction"), lambda: lambda prompts: [f"{len(p)}|{p}" for p in prompts]).select("data_id", "completion")
+
+
+def generated_logprobs(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in model that gives mark 1 and mark 2 a log probability each, or nothing."""
+    load = lambda: lambda prompts: [{29896: 0.0, 29906: float(len(p) % 5)} if len(p) % 3 else None for p in prompts]
+    i = instructions(spark, d).where("instruction is not null")
+    g = scorers.generate(i, F.col("instruction"), load, "logprobs", "map<int,double>")
+    return g.select("data_id", F.round(scores.softmax_expectation(F.col("logprobs")), 6).alias("mark"))
+
+
+def chat_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A chat model reads the rendered conversation and says how long it is."""
+    c = conversations(spark, d).where("size(messages) > 0")
+    return scorers.generate(c, reshape.chatml(F.col("messages"), True), lambda: lambda prompts: [str(len(p)) for p in prompts], "answer").select("data_id", "answer")
+
+
+def classified_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The label of a stand-in classifier (by the prompt's length) for each message, and their majority."""
+    label = lambda c: F.element_at(F.array(*[F.lit(x) for x in CATEGORIES]), (F.length(c) % 7 + 1).cast("int"))
+    return scorers.default_scorers().get("categories_v2", predict=label).per_sample(reshape.exchanges(conversations(spark, d)))
+
+
+def classified_by_prompt(spark: SparkSession, d: str) -> DataFrame:
+    i = instructions(spark, d).where("instruction is not null")
+    got = scorers.classify_by_prompt(i, TEMPLATE, _stand_in_model, {"Math": "2 + 2", "Coding": "def f"})
+    return got.select("data_id", "category", "explanation")
+
+
+def difficulty_prompts(spark: SparkSession, d: str) -> DataFrame:
+    i = instructions(spark, d).where("instruction is not null")
+    p = scorers.difficulty_prompt("Rate tasks of {category}.", F.lit("all"), F.col("instruction"), reshape.chatml, 12)
+    return i.select("data_id", p.alias("prompt"))
+
+
+def marked_steps(spark: SparkSession, d: str) -> DataFrame:
+    e = scorers.joined_steps(reshape.exchanges(conversations(spark, d)))
+    return e.select("data_id", "exchange_idx", "marked_response")
+
+
+def analyses_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Every analysis that is asked for by name, over the same exchanges, as one table of means."""
+    e = scorers.steps(all_exchanges(spark, d)).withColumn("constraints", _constraints())
+    # stand-ins for what models say: the response's length in a log probability, a logit and rewards
+    e = e.withColumn("logprobs", F.map_from_arrays(F.array(F.lit(29896)), F.array((F.length("response") % 5).cast("double")))).withColumn("logit", _standin()).withColumn("rewards", F.array(_standin()))
+    known, parts = scorers.default_scorers(), []
+    for name, col in (("quality", "quality"), ("complexity", "complexity"), ("difficulty_v2", "difficulty_v2"), ("process_reward_modelling", "process_reward"), ("if_quality", "if_quality"), ("tokens", "resp_length")):
+        s = known.get(name).per_sample(e)
+        parts.append(s.agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(col), 4).alias("mean")).withColumn("analysis", F.lit(name)))
+    stats = known.get("dataset_stats").per_sample(e.where("origin is not null"))
+    return joins.union_all(*parts, stats.agg(F.sum("samples").alias("samples"), F.round(F.avg("avg_turns"), 4).alias("mean")).withColumn("analysis", F.lit("dataset_stats")))
+
+
+# ---- constraints and code in SQL's reach ------------------------------------------------------------------------
+
+
+def constraints_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The instruction with a type by its length, its first word, and expressions that go: which are kept."""
+    i = instructions(spark, d).where("instruction is not null")
+    kind = F.element_at(F.array(*[F.lit(t) for t in (*rules.TYPES, "style")]), (F.length("instruction") % 14 + 1).cast("int"))
+    first = F.concat(F.lit("word "), F.regexp_extract("instruction", r"[A-Za-z]+", 0))
+    said = F.map_from_arrays(F.array(F.concat(F.lit("word "), "instruction"), F.concat(F.lit("see "), first), F.lit("no"), F.lit("yes"), F.lit("")), F.array(kind, F.lit("length"), F.lit("length"), F.lit("language"), F.lit("length")))
+    c = rules.clean_constraints(said)
+    return i.select("data_id", F.size(c).alias("n"), F.array_join(F.transform(c, lambda x: F.concat(x["type"], F.lit("="), x["expr"])), " | ").alias("kept"))
+
+
+def first_objects(spark: SparkSession, d: str) -> DataFrame:
+    plain = F.regexp_replace("instruction", r"[{}]", "")
+    made = F.concat(F.lit("well } "), F.lit('{"a": {"b": "'), plain, F.lit('"}, "c": {}} and {more}'))
+    i = instructions(spark, d).where("instruction is not null")
+    return i.select("data_id", code.first_json(made).alias("object"), code.first_json(F.concat(F.lit("{"), plain)).alias("open"))
+
+
+def constraints_processed(spark: SparkSession, d: str) -> DataFrame:
+    w = F.split(F.regexp_replace("instruction", "[\"'`]", ""), " ")
+    first, head = F.get(w, 0), F.array_join(F.slice(w, 1, 3), " ")
+    one = lambda t, e: F.struct(F.lit(t).alias("type"), e.alias("expr"))
+    c = F.array(one("keyword_included", F.concat(F.lit('use "'), first, F.lit('" well'))), one("choose_output", F.lit("A")), one("start_and_ending", F.concat(F.lit('Start with "'), head, F.lit('"'))), one("choose_output", F.lit("B or C")), one("keyword_avoided", F.lit("none named")), one("length", F.lit("in two parts")))
+    p = rules.postprocess_constraints(c)
+    return instructions(spark, d).where("instruction is not null").select("data_id", F.array_join(F.transform(p, lambda x: F.concat(x["type"], F.lit("="), x["expr"])), " | ").alias("constraints"), F.array_join(rules.questions(p), " | ").alias("questions"))
+
+
+# ---- orders, selections, index ----------------------------------------------------------------------------------
+
+
+def shuffled_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each sample in the final shuffle."""
+    p = analysis(spark, d).select("data_id")
+    return filters.prefix_sum(p, sampling.ordering("shuffle"), F.lit(1), "place").select("data_id", F.col("place").cast("bigint").alias("place"))
+
+
+def index_of_all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """An index fitted on half of the rows, to which the rest is added, written, read and asked in all of its cells."""
+    e = table(spark, d, "embeddings")
+    made = vectors.CellIndex(e.where("vec_id % 2 = 0"), "vec_id", "embedding", 16).add(e.where("vec_id % 2 <> 0"))
+    at = _folder(spark)
+    made.save(at)
+    n = vectors.CellIndex.load(spark, at, "vec_id", "embedding").search(e.where("vec_id % 50 = 0"), 10, 16)
+    return n.select("vec_id", "rank", F.round("distance", 5).alias("distance"))
+
+
+def select_languages_once(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources of which no sample may come in two languages, neither within a source nor across."""
+    data = (SourceSpec("harbor_chat_mix", sample_size=80, allow_x_lang_duplicates=False), SourceSpec("cinder_instruct", sample_size=80, allow_x_lang_duplicates=False, setfit_limits={"Math": 0.1, "Coding": 0.2, "Generation": 0.3}))
+    return Selection(_spec(scoring_strategy="longest", data=data), _spec_pool(spark, d), seed=None).sampled().select("data_id", "origin")
+
+
+def select_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """A spec run from its files: the longest answers of the instructions, by metric columns without ids."""
+    at, _ = _written(spark, d)
+    a = instructions(spark, d).select("data_id").join(analysis(spark, d), "data_id", "left")
+    writers.write_metric_lines(a, f"{at}/tokens_scores/last_responses/all.csv", "last_resp_length", ["data_id"])
+    spec = parse_spec({"run": {"scoring_strategy": "longest", "sample_size": 50, "data": [{"name": "all", "data_path": "DATA_PATH/all.jsonl", "multi_turn": False, "language": "EN"}]}})
+    run = Run(spark, spec, at, schemas={"all": "data_id string, instruction string, input string, output string, language string"}, preprocess={"all": lambda df: df.where("instruction is not null or data_id is not null")}, seed=None)
+    got = run.result()
+    return got.select("data_id", "origin", F.get("messages", 1)["content"].alias("answer"), F.col("last_resp_length").cast("bigint").alias("last_resp_length"))
+
+
+def pairs_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """Preference pairs on neighbouring rows of a file, selected as pairs and written as rows again."""
+    at = _folder(spark)
+    k = _kto(spark, d).orderBy("position").drop("position")
+    writers.write_jsonl(k, f"{at}/k.jsonl")
+    spec = parse_spec({"run": {"type_dataset": "kto", "scoring_strategy": "random", "data": [{"name": "k", "data_path": "DATA_PATH/k.jsonl"}]}})
+    got = Run(spark, spec, at, schemas={"k": "data_id string, prompt array<struct<role:string,content:string>>, label boolean"}).result()
+    return got.select("data_id", "label")
+
+
 CORE = (
     "exchanges exchange_counts ingest_chat joined_prompts selection_chat normal_roles renamed default_columns ids_without_language assigned_ids first_answers empty_system_dropped "
     "preference_pairs preference_unpacked chosen_prompts prompt_completion chatml_rendered instruct_rendered response_steps all_response_steps cleaned_code truncated_responses "
@@ -605,9 +873,12 @@ CORE = (
     "filtered_sources first_by_id in_languages of_subset within_length relevant_metrics metrics_attached metric_tables_attached labels_attached semi_joined back_filled united "
     "robust_fit min_max_by_origin percentile_thresholds top_longest stratified_top label_limited token_budget token_budget_by_origin oversampled cross_lingual_first curriculum whole_curriculum by_category "
     "random_sample preference_order train_test random_members nearest_neighbours nearest_of_queries nearest_indexed text_distances normalised_vectors near_vector_pairs greedy_diverse greedy_budget greedy_scanned "
-    "cluster_representatives kmeans_select pca_dimensions cluster_quality select_spec select_budgeted select_clustered"
+    "cluster_representatives kmeans_select pca_dimensions cluster_quality select_spec select_budgeted select_clustered "
+    "jsonl_written_and_read metric_columns_read metric_tables_written sidecar_written sources_by_ending subsets_united registered results_cached templates_filled training_read canonical_columns strict_numbers subset_specs "
+    "generated generated_logprobs chat_answers classified_messages classified_by_prompt difficulty_prompts marked_steps analyses_by_name constraints_kept first_objects constraints_processed "
+    "shuffled_order index_of_all_cells select_languages_once select_from_files pairs_from_files"
 ).split()
-STRATEGIES = ("default", "random", "longest", "deita", "difficulty_v2", "quality", "dedicated_quality", "combination_v5", "complexity")
+STRATEGIES = ("default", "random", "random_x", "longest", "deita", "difficulty", "difficulty_v2", "quality", "dedicated_quality", "combination_v5", "complexity")
 
 
 def queries() -> dict:

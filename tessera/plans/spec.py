@@ -99,7 +99,7 @@ def specs_of_table(config: DataFrame, proportions: DataFrame | None = None) -> l
         by.setdefault(r["spec_name"], []).append(r)
     out = []
     for name, rs in by.items():
-        data = [SourceSpec(**_taken(SourceSpec, {k: v for k, v in r.asDict().items() if k not in ("spec_name", "scoring_strategy", "sample_size", "token_size")})) for r in rs]
+        data = [SourceSpec(**_taken(SourceSpec, {k: v for k, v in r.asDict().items() if k not in ("spec_name", "scoring_strategy", "sample_size")})) for r in rs]
         out.append(SelectionSpec(name=name, scoring_strategy=rs[0]["scoring_strategy"], sample_size=rs[0]["sample_size"], final_setfit_proportions=props.get(name, {}), data=tuple(data)))
     return out
 
@@ -113,17 +113,33 @@ class Selection:
     clustered.
     """
 
-    def __init__(self, spec: SelectionSpec, pool: DataFrame, vector: str | None = None, cluster_column: str | None = None, label: str = "setfit_label", seed: int | None = 42, accuracy: int | None = None) -> None:
+    def __init__(self, spec: SelectionSpec, pool: DataFrame, vector: str | dict[str | None, str] | None = None, cluster_column: str | None = None, label: str = "setfit_label", seed: int | None = 42, accuracy: int | None = None) -> None:
         preference.weights_of(spec.scoring_strategy)
         self.spec, self.pool, self.vector, self.cluster_column, self.label, self.seed, self.accuracy = spec, pool, vector, cluster_column, label, seed, accuracy
 
+    def vector_of(self, category: str | None = None) -> str:
+        """The column with the vectors of a category's embedding model (of the default model: of all others).
+
+        ``vector`` is that column for all, or a map from the names of models to columns.
+        """
+        if isinstance(self.vector, str):
+            return self.vector
+        model = self.spec.custom_embedder.get(category or "all", self.spec.default_embedding_model)
+        if model not in self.vector:
+            raise ValueError(f"no vectors of the embedding model {model!r}")
+        return self.vector[model]
+
     def order(self) -> list[Column]:
         if self.spec.scoring_strategy == "random":
             return sampling.shuffled((self.spec.sample_size or 0) // 1000)
         return sampling.by_preference(self.seed)
 
-    def source(self, s: SourceSpec, fit: DataFrame) -> DataFrame:
-        """One source: its rows scored, repeated, filtered and cut to its own budget."""
+    def source(self, s: SourceSpec, fit: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+        """One source: its rows scored, repeated, filtered and cut to its own budget.
+
+        Rows that are too near a better one, or whose counterpart in another language was taken, by this source
+        or an earlier one (``taken``), go first, so that they use up neither a label's limit nor the budget.
+        """
         df = self.pool.where(F.col("origin") == s.name)
         df = reshape.with_defaults(df, s.name, s.language)
         df = preference.with_preference(df, self.spec.scoring_strategy, s.sample_scored, fit, label=self.label)
@@ -135,13 +151,13 @@ class Selection:
             order = [*order, F.col("copy")]
         if s.language_filter:
             df = filters.in_languages(df, s.language_filter)
+        if self.spec.scoring_strategy == "deita" and s.min_distance is not None and self.vector:
+            ranked = filters.prefix_sum(df, order, F.lit(1), "_rank")
+            df = vectors.greedy_diverse(ranked, "data_id", self.vector_of(), "_rank", s.min_distance, strict=True).drop("_rank")
         if not s.allow_x_lang_duplicates:
-            df = sampling.cross_lingual_first(df, order)
+            df = sampling.cross_lingual_first(df, order, taken)
         if s.setfit_limits and s.sample_size:
             df = filters.within_label_limits(df, s.setfit_limits, s.sample_size, order, self.label)
-        if self.spec.scoring_strategy == "deita" and s.min_distance is not None and self.vector:
-            ranked = filters.prefix_sum(df, order, F.lit(1), "_rank")
-            df = vectors.greedy_diverse(ranked, "data_id", self.vector, "_rank", s.min_distance, strict=True).drop("_rank")
         if s.sample_size is not None or s.token_size is not None:
             df = filters.within_budget(df, order, s.sample_size, s.token_size, F.col("inst_length") + F.col("resp_length"))
         return df
@@ -153,7 +169,7 @@ class Selection:
         names = [s.name for s in self.spec.data]
         mine = self.pool.where(F.col("origin").isin(names)) if names else self.pool
         have = [m for m in preference.ROBUST_METRICS if m in self.pool.columns]
-        fit = robust_fit(mine, have, self.label, self.accuracy)
+        fit = robust_fit(mine, have, self.label, self.accuracy) if have else mine.sparkSession.range(1).drop("id")
         for m in preference.ROBUST_METRICS:
             if m not in have:
                 fit = fit.withColumn(f"{m}_center", F.lit(0.0)).withColumn(f"{m}_scale", F.lit(1.0))
@@ -162,7 +178,11 @@ class Selection:
         if all(replace(s, name="", data_path="", type=None, multi_turn=None, language=None) == SourceSpec(name="") for s in self.spec.data):
             # no source has settings of its own: one plan for all of them, scaled by source
             return preference.with_preference(mine, self.spec.scoring_strategy, True, fit, label=self.label)
-        return joins.union_all(*[self.source(s, fit) for s in self.spec.data])
+        parts: list[DataFrame] = []
+        for s in self.spec.data:
+            taken = joins.union_all(*parts).select(sampling.plain_key().alias("_k")).distinct() if parts and not s.allow_x_lang_duplicates else None
+            parts.append(self.source(s, fit, taken))
+        return joins.union_all(*parts)
 
     def sampled(self) -> DataFrame:
         """The selected rows, not yet in their final order."""
@@ -179,7 +199,7 @@ class Selection:
             return self.clustered(df, {c: int(spec.final_setfit_proportions.get(c, 0.0) * n) for c in filters.CATEGORIES})
         if spec.scoring_strategy and "embedding" in spec.scoring_strategy and self.vector:
             ranked = filters.prefix_sum(df, order, F.lit(1), "_rank")
-            return vectors.greedy_select(ranked, n, "data_id", self.vector, "_rank", spec.min_distance).drop("_rank")
+            return vectors.greedy_select(ranked, n, "data_id", self.vector_of(), "_rank", spec.min_distance).drop("_rank")
         if spec.final_setfit_proportions:
             return sampling.stratified_top_k(df, spec.final_setfit_proportions, n, order, self.label)
         return sampling.top_k(df, n, order)
@@ -191,7 +211,7 @@ class Selection:
                 raise ValueError("clustering needs embeddings or given clusters")
             column = "cluster"
             parts = [(None, n)] if isinstance(n, int) else [(c, k) for c, k in n.items() if k > 0]
-            of = [vectors.clustered(vectors.reduced(df if c is None else df.where(F.col(self.label) == c), self.vector), "reduced", k, id_col="data_id") for c, k in parts]
+            of = [vectors.clustered(vectors.reduced(df if c is None else df.where(F.col(self.label) == c), self.vector_of(c)), "reduced", k, id_col="data_id") for c, k in parts]
             df = joins.union_all(*of) if of else df.withColumn(column, F.lit(0)).limit(0)
         return vectors.cluster_select(df, n, column, self.order(), "data_id", self.spec.threshold_percentile_clustering, self.spec.scoring_strategy, group=group, accuracy=self.accuracy)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scores import strict_number
+from tessera.operators.reshape import numbered
 
 log = logging.getLogger(__name__)
 
@@ -48,7 +49,7 @@ def read_source(spark: SparkSession, path: str, schema: str | None = None) -> Da
     if ending in (".json", ".jsonl"):
         return read_jsonl(spark, path, schema) if schema else spark.read.json(path)
     if ending == ".csv":
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         return (reader.schema(schema) if schema else reader).csv(path)
     if ending == ".orc":
         return spark.read.orc(path)
@@ -64,8 +65,7 @@ def union_subsets(subsets: dict[str, DataFrame]) -> DataFrame:
 
 def positions(df: DataFrame, out: str = "position") -> DataFrame:
     """Rows numbered from 0 in the order of their files."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
-    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+    return numbered(df, out)
 
 
 def read_metric_column(spark: SparkSession, path: str, name: str, text: bool = False) -> DataFrame:
@@ -76,11 +76,16 @@ def read_metric_column(spark: SparkSession, path: str, name: str, text: bool = F
 
 
 def attach_positional(samples: DataFrame, columns: Iterable[DataFrame]) -> DataFrame:
-    """Metric columns by position, for files without ids. Lines beyond either end have no partner and drop out
-    or stay null."""
-    out = positions(samples)
-    for c in columns:
-        out = out.join(c, "position", "left")
+    """Metric columns by position, for files without ids: they are brought together by one aggregate and joined
+    once. Lines beyond either end have no partner and drop out or stay null. Samples that have a ``position``
+    keep it for that."""
+    out = samples if "position" in samples.columns else positions(samples)
+    parts = list(columns)
+    if parts:
+        names = [(c.columns[1], c.dtypes[1][1]) for c in parts]
+        wide = reduce(DataFrame.unionByName, [c.select("position", *[(F.col(n) if n in c.columns else F.lit(None).cast(k)).alias(n) for n, k in names]) for c in parts])
+        wide = wide.groupBy("position").agg(*[F.max(n).alias(n) for n, _ in names])
+        out = out.join(wide, "position", "left")
     return out.drop("position")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ def write_table(df: DataFrame, path: str, by: str | None = "origin", mode: str =
 
 
 def write_metrics(df: DataFrame, path: str, metrics: list[str], mode: str = "overwrite") -> None:
-    """One Parquet table a metric: ``data_id`` and the metric."""
+    """One Parquet table a metric: ``data_id`` and the metric. The metrics are computed once for all of them."""
+    df = df.select("data_id", *metrics).persist(StorageLevel.MEMORY_AND_DISK)
     for m in metrics:
         df.select("data_id", m).write.mode(mode).parquet(f"{path}/{m}")
+    df.unpersist()
 
 
 def write_metric_lines(df: DataFrame, path: str, metric: str, order: list[str], mode: str = "overwrite") -> None:

@@ -15,7 +15,7 @@ def plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.6g}") + 0.0
+        return "NaN" if math.isnan(v) else float(f"{v:.6g}") + 0.0
     if type(v).__name__ == "Decimal":
         return float(f"{float(v):.6g}")
     if isinstance(v, (list, tuple)):
