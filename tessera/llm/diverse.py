@@ -34,8 +34,10 @@ LEAVES, MERGERS, CELL, MOST_CELLS, PROBES = 256, 8, 1_000, 2_048, 5
 BLOCK = 8_000
 #: 64-bit words of the bitmap by which pairs of the exact step are held off, records in one block of a key.
 LONGS, KEY_BLOCK = 4, 4_000
-#: Words rarer than this in the whole corpus have no weight in a vector: names and numbers.
-RARE = 11
+#: Words that make up less than this share of all words have no weight in a vector: names and numbers.
+RARE_SHARE = 1.5e-5
+#: Trees of partitions that one task merges at once.
+FAN = 32
 
 
 def vectors(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -53,12 +55,12 @@ def vectors(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndar
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
-    """Weight of each bucket of tokens: 1, or 0 for fewer than RARE occurrences.
+    """Weight of each bucket of tokens: 1, or 0 for a smaller share of all than RARE_SHARE.
 
     All frequent words weigh alike: look-alikes share the plain words of their sentences as well as the rarer
     ones, and weights by rarity would rest on few words and scatter a group over more cells.
     """
-    return (counts >= RARE).astype(np.float32)
+    return (counts >= RARE_SHARE * counts.sum()).astype(np.float32)
 
 
 class _Node:
@@ -244,7 +246,7 @@ class Cells:
                         part = zlib.crc32(f["toks"].iloc[i].tobytes()) + 1
                     tree.add(1.0, x, float(x @ x))
             if tree.root.used:
-                yield _frame(part % MERGERS, tree)
+                yield _frame(part, tree)
 
         def merge(f: pd.DataFrame) -> pd.DataFrame:
             tree = CFTree(leaves)
@@ -253,7 +255,14 @@ class Cells:
                 tree.add(n, np.asarray(ls, np.float32), ss)
             return _frame(int(f["part"].iloc[0]), tree)
 
-        got = tokens.sortWithinPartitions("id").select("toks").mapInPandas(grow, ENTRY).groupBy("part").applyInPandas(merge, ENTRY).toPandas()
+        trees = tokens.sortWithinPartitions("id").select("toks").mapInPandas(grow, ENTRY)
+        left = tokens.rdd.getNumPartitions()
+        while True:  # merged in levels: no task gets more than about FAN trees
+            left = max(MERGERS, -(-left // FAN))
+            trees = trees.withColumn("part", F.pmod("part", F.lit(left))).groupBy("part").applyInPandas(merge, ENTRY)
+            if left == MERGERS:
+                break
+        got = trees.toPandas()  # MERGERS trees of ``leaves`` entries at most
         got = got.sort_values(["n", "ss"], kind="stable")
         self.rows = int(round(got["n"].sum())) if len(got) else 0
         if not len(got):
@@ -338,8 +347,8 @@ def look_alikes(df: DataFrame, id_col: str, text: str = "text", min_words: int =
     rest = first.where((F.col("found") < others) & (F.col("blocks") > 1)).select("id", F.col("found").alias("had"))
     asking = routed.where("home and blocks > 1").join(rest, "id")
     asking = asking.withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("id", "toks", "cell", "blocks", "block", "own", F.lit(True).alias("asks"))
-    # the askers themselves must not count as members of the blocks they visit, and are split by hash
-    hold = routed.where("blocks > 1").select("id", "toks", "cell", "blocks", "block", F.col("block").alias("own"), F.lit(False).alias("asks"))
+    # the askers of one block meet the members of another: no group holds more than two blocks
+    hold = routed.where("blocks > 1").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("id", "toks", "cell", "blocks", "block", "own", F.lit(False).alias("asks"))
 
     def visit(f: pd.DataFrame) -> pd.DataFrame:
         ask_rows, members = f[f["asks"]], f[~f["asks"]]
@@ -350,7 +359,7 @@ def look_alikes(df: DataFrame, id_col: str, text: str = "text", min_words: int =
             out.append(pd.DataFrame({"id": part["id"].to_numpy(), "found": got}))
         return pd.concat(out) if out else pd.DataFrame({"id": f["id"].to_numpy()[:0], "found": np.zeros(0, np.int64)})
 
-    more = asking.unionByName(hold).groupBy("cell", "block").applyInPandas(visit, f"id {kind}, found long")
+    more = asking.unionByName(hold).groupBy("cell", "block", "own").applyInPandas(visit, f"id {kind}, found long")
     total = rest.select("id", F.col("had").alias("found")).unionByName(more).groupBy("id").agg(F.sum("found").alias("found"))
     return whole(sure.unionByName(total.where(F.col("found") >= others).select("id")))
 

@@ -27,6 +27,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 #: Pairs of tokens and pieces a worker keeps; beyond that it starts anew, so that its memory is bounded.
 KEPT_PAIRS, KEPT_PIECES, LONGEST_KEPT_PIECE = 500_000, 300_000, 64
+#: Bytes of a piece from which it is encoded as a stream.
+LONG_PIECE = 2_048
 
 
 def default_vocabulary() -> str:
@@ -50,6 +52,7 @@ class Transducer:
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         self.up: list[tuple[int, int]] = [(0, 0)]
+        self.depth: list[int] = [0]
         for t, i in ranks.items():
             at = 0
             for c in t:
@@ -59,6 +62,7 @@ class Transducer:
                     self.child.append({})
                     self.token.append(-1)
                     self.up.append((at, c))
+                    self.depth.append(self.depth[at] + 1)
                 at = nxt
             self.token[at] = i
         self.shorter: list[int] = [-1] * len(self.child)
@@ -154,8 +158,48 @@ class Transducer:
         self.ends[state] = out = tuple(got)
         return out
 
+    def stream(self, data: Iterable[int], every: int = 1_024) -> Iterator[int]:
+        """Ids of one piece of any length, as soon as they are final: what is held is ``every`` bytes and the longest
+        token. No token under way begins before its state's depth, so whatever follows goes through one of the
+        places from there on; the ids before the last place that all their ways have in common are final."""
+        last, size, state = [-1], [0], 0
+        for c in data:
+            state = self._move(state, c)
+            last.append(-2)
+            size.append(0)
+            i = len(last) - 1
+            for t, n in self.ends[state] or self._ends(state):
+                if n <= i and last[i - n] != -2 and self.may_follow(last[i - n], t):
+                    last[i], size[i] = t, n
+                    break
+            if i >= every:
+                open_ = {j for j in range(max(0, i - self.depth[state]), i + 1) if last[j] != -2}
+                while len(open_) > 1:
+                    j = max(open_)
+                    open_.discard(j)
+                    open_.add(j - size[j])
+                at = open_.pop()
+                if at:
+                    yield from self._back(last, size, at)
+                    last, size = last[at:], size[at:]
+                    size[0] = 0
+        yield from self._back(last, size, len(last) - 1)
+
+    @staticmethod
+    def _back(last: list[int], size: list[int], i: int) -> list[int]:
+        out = []
+        while i:
+            if not size[i]:
+                raise ValueError("the vocabulary lacks a byte")
+            out.append(last[i])
+            i -= size[i]
+        out.reverse()
+        return out
+
     def encode(self, data: bytes) -> tuple[int, ...]:
         """Ids of one piece."""
+        if len(data) > LONG_PIECE:
+            return tuple(self.stream(data))
         last, size, state = [-1], [0], 0
         moves, ends, pairs = self.moves, self.ends, self.pairs
         for i, c in enumerate(data, 1):
@@ -174,14 +218,7 @@ class Transducer:
             else:  # no token ends within this character's bytes
                 last.append(-2)
                 size.append(0)
-        out, i = [], len(data)
-        while i:
-            if not size[i]:
-                raise ValueError("the vocabulary lacks a byte")
-            out.append(last[i])
-            i -= size[i]
-        out.reverse()
-        return tuple(out)
+        return tuple(self._back(last, size, len(data)))
 
 
 class Encoder:
@@ -242,6 +279,8 @@ class Utf8Stream:
         self.due, self.low, self.high, self.bits = 0, 0x80, 0xBF, 0
 
     def feed(self, data: bytes) -> str:
+        if not self.due and data.isascii():
+            return data.decode()
         out = []
         for c in data:
             if self.due:
@@ -275,10 +314,10 @@ class Utf8Stream:
 
 
 def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes]) -> Iterator[str]:
-    """Characters of ``ids`` as soon as they are complete; a token may end within a character."""
+    """Characters of ``ids`` as soon as they are complete; a token may end within a character, unknown ids are U+FFFD."""
     machine = Utf8Stream()
     for i in ids:
-        if s := machine.feed(bytes_of[i]):
+        if s := machine.feed(bytes_of.get(i, b"\xff")):
             yield s
     if s := machine.end():
         yield s
@@ -294,12 +333,7 @@ def decode_corpus(docs: DataFrame, ids: str = "ids", path: str | None = None, ou
         def one(x: list[int] | None) -> str | None:
             if x is None:
                 return None
-            data = b"".join(of.get(i, b"\xff") for i in x)
-            try:
-                return data.decode()
-            except UnicodeDecodeError:
-                m = Utf8Stream()
-                return m.feed(data) + m.end()
+            return "".join(decode_stream(x, of))
 
         return pa.array([one(x) for x in lists.to_pylist()], pa.string())
 

@@ -43,12 +43,13 @@ def rates(specs: DataFrame, sources: DataFrame) -> DataFrame:
 def mix(records: DataFrame, rated: DataFrame, id_col: str, source: str, size: Column, seed: int = 17) -> DataFrame:
     """``spec_name, name, id, size, copies`` of each record that is used at least once; no row is repeated.
 
-    The random part depends on seed, spec, source and id only: the same for any partitioning. Two rows of one
-    spec with the same source draw alike. :func:`repeated` writes the copies out.
+    The random part depends on seed, spec, name, size wanted and id only: the same for any partitioning and engine.
+    Two rows of one spec draw independently, also where they name the same source. :func:`repeated` writes the copies out.
     """
     r = records.where(F.col(source).isNotNull()).select(F.col(id_col).alias("id"), norm_source(F.col(source)).alias("source"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))
-    got = r.join(rated.where("rate > 0").select("spec_name", "name", "source", "rate"), "source")
-    u = F.pmod(F.xxhash64(F.lit(seed), "spec_name", "source", "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    got = r.join(rated.where("rate > 0").select("spec_name", "name", "source", "rate", "token_size"), "source")
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), "spec_name", "name", F.col("token_size").cast("string"), F.col("id").cast("string")))
+    u = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     whole = F.floor("rate")
     got = got.withColumn("copies", (whole + F.when(u < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
     return got.where("copies > 0").select("spec_name", "name", "id", "size", "copies")
@@ -59,9 +60,10 @@ def repeated(mixed: DataFrame) -> DataFrame:
     return mixed.select("spec_name", "name", "id", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
-def shares(mixed: DataFrame, rated: DataFrame) -> DataFrame:
-    """``spec_name, name, wanted, target_share, rate, used_records, used_tokens, actual_share`` of each source."""
-    used = mixed.groupBy("spec_name", "name").agg(F.count(F.lit(1)).alias("used_records"), F.sum(F.col("size") * F.col("copies")).alias("used_tokens"))
+def shares(copies: DataFrame, rated: DataFrame) -> DataFrame:
+    """``spec_name, name, wanted, target_share, rate, used_records, used_tokens, actual_share`` of each source, counted
+    from the copies that were written (:func:`repeated`)."""
+    used = copies.groupBy("spec_name", "name").agg(F.sum((F.col("copy") == 1).cast("bigint")).alias("used_records"), F.sum("size").alias("used_tokens"))
     total = used.groupBy("spec_name").agg(F.sum("used_tokens").alias("_t"))
     got = rated.select("spec_name", "name", "wanted", "target_share", "rate").join(used, ["spec_name", "name"], "left").join(total, "spec_name", "left")
     got = got.withColumn("used_records", F.coalesce("used_records", F.lit(0))).withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))

@@ -95,15 +95,16 @@ def quotas(size: int, shares: dict[str, float], minimums: dict[str, int], availa
 
 def sample_proportional(records: DataFrame, targets: DataFrame, sizes: DataFrame, id_col: str = "data_id", label: str = "setfit_label", margins: tuple[str, ...] = (), seed: int = 23) -> tuple[DataFrame, DataFrame]:
     """The sample ``spec_name, id, setfit_label`` and the report
-    ``spec_name, setfit_label, wanted, available, taken, gap``.
+    ``spec_name, margin, setfit_label, wanted, available, taken, gap`` (of other margins the value in place of the label).
 
     ``targets``: ``spec_name, setfit_label, proportion, min_rows``; ``sizes``: ``spec_name, sample_size``. Labels
     are equal if they are so without regard to case, blanks around and ``_``, ``-`` or blanks between words;
     rows of one spec with equal labels are added up. ``margins`` are further columns of few values, each of
     which keeps the shares it has in the pool. Null labels and labels no spec names are not sampled; null
     proportions and minimums count as 0, specs without a size give an empty sample. Ids are taken as unique.
-    The report has a row for each row of ``targets``, its label as written: ``wanted`` is the larger of
-    proportion times size and minimum, ``gap`` what the records taken of the label are short of it.
+    The report has a row for each row of ``targets`` (``margin`` is the label's column, the label as written): ``wanted``
+    is the larger of proportion times size and minimum; and a row for each value of the other margins, whose
+    ``wanted`` is its share in the pool. ``taken`` is counted from the sample itself, ``gap`` is what that is short of.
     """
     spark = records.sparkSession
     written = targets.select("spec_name", F.col(label).alias("written"), norm_label(F.col(label)).alias("label"), "proportion", "min_rows").where("written is not null").collect()  # the targets: a small table
@@ -136,8 +137,11 @@ def sample_proportional(records: DataFrame, targets: DataFrame, sizes: DataFrame
         for r in written:
             if r["spec_name"] == name:
                 wanted = float(max((r["proportion"] or 0.0) * size, r["min_rows"] or 0))
-                taken = take.get(r["label"], 0)
-                report.append((name, r["written"], wanted, available[r["label"]], taken, max(0.0, wanted - taken)))
+                report.append((name, label, r["written"], r["label"], wanted, available[r["label"]]))
+        if take:
+            for i, m in enumerate(margins):
+                have = counts.sum(tuple(x for x in range(counts.ndim) if x != i + 1))
+                report += [(name, m, v, v, float(sum(take.values()) * n / max(have.sum(), 1)), int(n)) for v, n in zip(axes[i + 1], have)]
     ms = [f"m{i}" for i in range(len(margins))]
     shape = ", ".join(["spec_name string", "label string", *[f"{m} string" for m in ms], "w double", "quota int"])
     rated = spark.createDataFrame(weights, shape)
@@ -149,13 +153,19 @@ def sample_proportional(records: DataFrame, targets: DataFrame, sizes: DataFrame
     so_far = F.sum("n").over(Window.partitionBy("spec_name", "label").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
     edge = hist.withColumn("before", F.coalesce(so_far, F.lit(0))).where("before < quota").withColumn("left", F.col("quota") - F.col("before")).select("spec_name", "label", "step", "n", "left")
     kept = drawn.join(edge, ["spec_name", "label", "step"])
-    sure = kept.where("n <= left").select("spec_name", "id", "label")
+    sure = kept.where("n <= left").select("spec_name", "id", "label", *ms)
     rank = F.row_number().over(Window.partitionBy("spec_name", "label", "step").orderBy("key", "id"))
-    part = kept.where("n > left").withColumn("_r", rank).where(F.col("_r") <= F.col("left")).select("spec_name", "id", "label")
-    sample = sure.unionByName(part).select("spec_name", F.col("id").alias(id_col), F.col("label").alias("setfit_label"))
-    return sample, spark.createDataFrame(report, "spec_name string, setfit_label string, wanted double, available long, taken long, gap double")
-
-
-def short_labels(report: DataFrame) -> DataFrame:
-    """``spec_name, setfit_label`` of the report's rows that too few records can meet."""
-    return report.where(F.col("available") < F.col("wanted") - F.lit(1e-9)).select("spec_name", "setfit_label").distinct()
+    part = kept.where("n > left").withColumn("_r", rank).where(F.col("_r") <= F.col("left")).select("spec_name", "id", "label", *ms)
+    chosen = sure.unionByName(part)
+    sample = chosen.select("spec_name", F.col("id").alias(id_col), F.col("label").alias("setfit_label"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("margin"), F.col(c).alias("value")) for n, c in ((label, "label"), *zip(margins, ms))]))
+    taken = chosen.select("spec_name", each.alias("e")).groupBy("spec_name", "e.margin", "e.value").agg(F.count(F.lit(1)).alias("taken"))
+    wanted = spark.createDataFrame(report, "spec_name string, margin string, setfit_label string, value string, wanted double, available long")
+    got = wanted.join(taken, ["spec_name", "margin", "value"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint"))
+    return sample, got.select("spec_name", "margin", "setfit_label", "wanted", "available", "taken", F.greatest(F.col("wanted") - F.col("taken"), F.lit(0.0)).alias("gap"))
+
+
+def short_labels(report: DataFrame, label: str = "setfit_label") -> DataFrame:
+    """``spec_name, setfit_label`` of the report's rows in which the sample is short of a label and too few records exist."""
+    short = (F.col("margin") == label) & (F.col("gap") > 1e-9) & (F.col("available") < F.col("wanted") - F.lit(1e-9))
+    return report.where(short).select("spec_name", "setfit_label").distinct()

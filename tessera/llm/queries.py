@@ -39,7 +39,15 @@ def p1_mix(spark: SparkSession, d: str) -> DataFrame:
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     a, s = _sources(spark, d)
     rated = mixing.rates(table(spark, d, "dataset_config"), s)
-    return mixing.shares(mixing.mix(a, rated, "data_id", "origin", _size()), rated)
+    got = mixing.shares(mixing.repeated(mixing.mix(a, rated, "data_id", "origin", _size())), rated)
+    return got.withColumn("rate", F.round("rate", 6)).withColumn("target_share", F.round("target_share", 6)).withColumn("actual_share", F.round("actual_share", 6))
+
+
+def p1_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture itself: a row for each copy."""
+    a, s = _sources(spark, d)
+    mixed = mixing.mix(a, mixing.rates(table(spark, d, "dataset_config"), s), "data_id", "origin", _size())
+    return mixing.repeated(mixed).withColumnRenamed("id", "data_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +158,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
 
 
-NAMES = ("p1_found", "p1_rates", "p1_mix", "p1_shares", "p2_found", "p2_copies", "p2_groups", "p3_found", "p3_select", "p4_found", "p5_found", "p5_sample", "p5_gaps", "p6_rank", "p7_ids", "p7_decoded", "p8_found", "p8_leaks", "p9_found", "p9_composition")
+NAMES = ("p1_found", "p1_rates", "p1_mix", "p1_copies", "p1_shares", "p2_found", "p2_copies", "p2_groups", "p3_found", "p3_select", "p4_found", "p5_found", "p5_sample", "p5_gaps", "p6_rank", "p7_ids", "p7_decoded", "p8_found", "p8_leaks", "p9_found", "p9_composition")
 
 
 def queries() -> dict:
@@ -164,6 +172,32 @@ _TOKENS = f"SELECT {_SOURCE.format(c='origin')} AS source, sum(coalesce(inst_len
 _RATED = f"""src AS ({_TOKENS}),
 r AS (SELECT c.spec_name, c.name, c.token_size, coalesce(s.tokens, 0) AS tokens, greatest(coalesce(c.oversampling, 1.0), 0.0) AS cap, CAST(coalesce(c.token_size, 0) AS DOUBLE) AS wanted
       FROM (SELECT DISTINCT spec_name, name, token_size, oversampling FROM dataset_config) c LEFT JOIN src s ON s.source = {_SOURCE.format(c='c.name')})"""
+_MIXED = f"""{_RATED}, q AS (SELECT *, CASE WHEN tokens > 0 THEN least(cap, wanted / tokens) ELSE 0.0 END AS rate FROM r),
+a AS (SELECT data_id, {_SOURCE.format(c='origin')} AS source, CAST(coalesce(coalesce(inst_length, 0) + coalesce(resp_length, 0), 0) AS BIGINT) AS size FROM {_LATEST.format(t='analysis', ts='scored_at')} WHERE origin IS NOT NULL),
+m AS (SELECT q.spec_name, q.name, a.data_id, a.size, CAST(floor(rate) + CASE WHEN ('0x' || substr(md5(concat_ws('|', '17', q.spec_name, q.name, q.token_size, a.data_id)), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies
+  FROM q JOIN a ON a.source = {_SOURCE.format(c='q.name')} WHERE rate > 0)"""
+
+
+def _fused() -> str:
+    """The ranking of whole tables; exact medians stand for the sketches, which are exact for groups of up to ``ACCURACY`` rows."""
+    w = ranking.WEIGHTS
+    bad = ", ".join(str(x) for x in ranking.SENTINELS)
+    clean = ", ".join(f"CASE WHEN isnan({s}) OR isinf({s}) OR {s} IN ({bad}) THEN NULL ELSE {s} END AS {s}" for s in w)
+    mid = ", ".join(f"quantile_disc({s}, 0.5) AS m_{s}" for s in w)
+    off = ", ".join(f"quantile_disc(abs({s} - m_{s}), 0.5) AS d_{s}, avg(abs({s} - m_{s})) AS a_{s}" for s in w)
+    logs, total = [], []
+    for s, x in w.items():
+        scale = f"CASE WHEN d_{s} > 0 THEN {ranking.NORMAL} * d_{s} WHEN a_{s} > 0 THEN 1.2533 * least(a_{s}, 1e6) END"
+        z = f"{'' if x > 0 else '-'}(({s} - m_{s}) / ({scale}))"
+        b = f"greatest(least(CASE WHEN ({scale}) IS NULL THEN 0.5 ELSE 1 / (1 + exp(-least(greatest({z}, -30.0), 30.0))) END, {1 - ranking.FLOOR}), {ranking.FLOOR})"
+        logs.append(f"CASE WHEN {s} IS NULL THEN 0.0 ELSE {abs(x)} * ln({b}) END")
+        total.append(f"CASE WHEN {s} IS NULL THEN 0.0 ELSE {abs(x)} END")
+    return f"""x AS (SELECT data_id, coalesce(origin, '') AS g, {clean} FROM {_LATEST.format(t='analysis', ts='scored_at')}), mid AS (SELECT g, {mid} FROM x GROUP BY 1),
+off AS (SELECT g, {off} FROM x JOIN mid USING (g) GROUP BY 1), l AS (SELECT data_id, {' + '.join(logs)} AS l, {' + '.join(total)} AS t FROM x JOIN mid USING (g) JOIN off USING (g)),
+fused AS (SELECT data_id, CASE WHEN t > 0 THEN round(exp(l / t), {ranking.DIGITS}) END AS p FROM l)"""
+
+
+_FUSED = _fused()
 _PROMPT_WORDS = """p AS (SELECT data_id, instruction AS text FROM (SELECT * FROM instructions WHERE data_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY ingested_at DESC) = 1)
   UNION ALL SELECT data_id, array_to_string(list_transform(list_filter(messages, lambda m: m.role IN ('user', 'human')), lambda m: coalesce(m.content, '')), ' ')
   FROM (SELECT * FROM conversations WHERE data_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY ingested_at DESC) = 1)),
@@ -184,6 +218,12 @@ def oracle_sql() -> dict[str, str]:
 SELECT spec_name, name, CAST(tokens AS BIGINT) AS tokens, round(rate, 6) AS rate,
   round(coalesce(wanted / nullif(sum(wanted) OVER (PARTITION BY spec_name), 0), 0), 6) AS target_share,
   round(coalesce(rate * tokens / nullif(sum(rate * tokens) OVER (PARTITION BY spec_name), 0), 0), 6) AS expected_share FROM q""",
+        "p1_mix": f"WITH {_MIXED} SELECT spec_name, name, data_id, size, copies FROM m WHERE copies > 0",
+        "p1_copies": f"WITH {_MIXED} SELECT spec_name, name, data_id, size, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM m WHERE copies > 0",
+        "p1_shares": f"""WITH {_MIXED}, u AS (SELECT spec_name, name, sum(CASE WHEN copies > 0 THEN 1 ELSE 0 END) AS n, sum(size * copies) AS t FROM m GROUP BY 1, 2), y AS (SELECT spec_name, sum(t) AS t FROM u GROUP BY 1)
+SELECT q.spec_name, q.name, wanted, round(coalesce(wanted / nullif(sum(wanted) OVER (PARTITION BY q.spec_name), 0), 0), 6) AS target_share, round(rate, 6) AS rate, CAST(coalesce(u.n, 0) AS BIGINT) AS used_records, CAST(coalesce(u.t, 0) AS BIGINT) AS used_tokens,
+  round(coalesce(coalesce(u.t, 0) / nullif(y.t, 0), 0), 6) AS actual_share FROM q LEFT JOIN u ON u.spec_name IS NOT DISTINCT FROM q.spec_name AND u.name IS NOT DISTINCT FROM q.name LEFT JOIN y ON y.spec_name = q.spec_name""",
+        "p6_rank": f"WITH {_FUSED} SELECT data_id, p AS overall_preference, row_number() OVER (ORDER BY p DESC NULLS LAST, data_id) AS rank FROM fused",
         "p2_found": f"WITH {_PROMPT_WORDS} SELECT id_a, id_b FROM o WHERE 5 * o >= 4 * (na + nb - o)",
         "p5_found": f"""WITH have AS (SELECT {_LABEL.format(c='setfit_label')} AS l, count(*) AS n FROM {_LATEST.format(t='categories', ts='classified_at')} WHERE setfit_label IS NOT NULL GROUP BY 1),
 size AS (SELECT spec_name, max(sample_size) AS s FROM dataset_config GROUP BY 1)

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import join_small
+from tessera.operators.reshape import numbered
+
 from .common import durable
 
 #: Weights of the scores; a score of which less is better has a negative weight.
@@ -21,6 +24,8 @@ ACCURACY = 10_000
 #: Bounded values lie in [FLOOR, 1 - FLOOR], so no single score makes the product 0.
 FLOOR = 0.01
 NORMAL = 1.4826
+#: Digits of the result after the point: rows with the same scores tie however their logarithms were added up.
+DIGITS = 9
 
 
 def cleaned(score: str, sentinels: tuple[float, ...] = SENTINELS) -> Column:
@@ -42,12 +47,12 @@ def fuse_scores(df: DataFrame, id_col: str = "data_id", group: str = "origin", w
     names = [s for s, w in weights.items() if w and s in df.columns]
     rows = df.select(F.col(id_col), F.coalesce(F.col(group), F.lit("")).alias("_g"), *[cleaned(s, sentinels).alias(s) for s in names])
     mid = rows.groupBy("_g").agg(*[F.percentile_approx(s, 0.5, accuracy).alias(f"m_{s}") for s in names])
-    rows = rows.join(mid, "_g")
+    rows = join_small(rows, mid, ["_g"])  # a row a group: the rows stay where they are
     off = rows.groupBy("_g").agg(
         *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{s}")), 0.5, accuracy).alias(f"d_{s}") for s in names],
         *[F.avg(F.abs(F.col(s) - F.col(f"m_{s}"))).alias(f"a_{s}") for s in names],
     )
-    rows = rows.join(off, "_g")
+    rows = join_small(rows, off, ["_g"])
     total, logs = F.lit(0.0), F.lit(0.0)
     for s in names:
         w = weights[s]
@@ -59,7 +64,7 @@ def fuse_scores(df: DataFrame, id_col: str = "data_id", group: str = "origin", w
         has = F.col(s).isNotNull()
         total = total + F.when(has, F.lit(abs(w))).otherwise(0.0)
         logs = logs + F.when(has, abs(w) * F.log(bounded)).otherwise(0.0)
-    return rows.select(id_col, F.when(total > 0, F.exp(logs / total)).alias("overall_preference"))
+    return rows.select(id_col, F.when(total > 0, F.round(F.exp(logs / total), DIGITS)).alias("overall_preference"))
 
 
 def ranked(df: DataFrame, by: str = "overall_preference", id_col: str = "data_id", out: str = "rank") -> DataFrame:
@@ -69,12 +74,5 @@ def ranked(df: DataFrame, by: str = "overall_preference", id_col: str = "data_id
     the partition sizes, so nothing is gathered in one task. The sorted rows are written to the checkpoint
     folder, that they are numbered once.
     """
-    rows = durable(df.orderBy(F.col(by).desc_nulls_last(), F.col(id_col)).withColumn("_i", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("_i", 33)
-    sizes = rows.groupBy(part.alias("_p")).count().collect()  # one row a partition
-    before, offset = 0, []
-    for r in sorted(sizes, key=lambda r: r["_p"]):
-        offset.append((r["_p"], before))
-        before += r["count"]
-    at = F.create_map(*[F.lit(x) for pair in offset for x in pair]) if offset else F.create_map(F.lit(0).cast("bigint"), F.lit(0))
-    return rows.withColumn(out, (F.element_at(at, part) + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_i")
+    rows = durable(df.orderBy(F.col(by).desc_nulls_last(), F.col(id_col)))
+    return numbered(rows, out).withColumn(out, F.col(out) + 1)

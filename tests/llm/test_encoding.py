@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -68,3 +70,24 @@ def test_corpus_round_trip(spark):
     assert [r["decoded"] for r in bad] == ["�", None]
     assert encoding.encode_corpus(spark.createDataFrame([], "text string")).count() == 0
     assert np.dtype("int32")
+
+
+def test_long_pieces_are_streamed():
+    machine = encoding.encoder(encoding.default_vocabulary()).machine
+    r = random.Random(4)
+    for data in (b"a" * 9_000, bytes(r.choice(b"abcdefgh") for _ in range(6_000)), b" " * 5_000, ("é漢字" * 900).encode(), bytes(r.choice(b"=-_*#") for _ in range(5_000))):
+        whole = machine.merged(data[:1_500])
+        assert list(machine.stream(data[:1_500], every=64)) == whole == list(machine.encode(data[:1_500]))
+        ids = list(machine.stream(data))
+        assert b"".join(machine.bytes_of[i] for i in ids) == data and ids == list(machine.stream(data, every=100))
+        # ids come before the piece has ended
+        seen = 0
+        ahead = machine.stream((seen := k) and c or c for k, c in enumerate(data))
+        next(ahead)
+        assert seen < 2_000
+
+
+def test_decoding_in_portions():
+    of = {0: "é".encode()[:1], 1: "é".encode()[1:], 2: b"ab", 3: b"\xff", 4: "漢".encode()[:2]}
+    assert list(encoding.decode_stream([2, 0, 1, 2], of)) == ["ab", "é", "ab"]
+    assert "".join(encoding.decode_stream([4, 2, 3, 9, 0], of)) == "�ab���"

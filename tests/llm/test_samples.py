@@ -34,7 +34,7 @@ def test_mix_reaches_shares_and_caps(spark):
     assert by["p", " HOT "]["rate"] == pytest.approx(6000 / have["hot"])
     m = mixing.mix(rec, rated, "data_id", "origin", F.expr(SIZE))
     assert m.where("copies > 3").count() == 0
-    used = {(r["spec_name"], r["name"]): r for r in mixing.shares(m, rated).collect()}
+    used = {(r["spec_name"], r["name"]): r for r in mixing.shares(mixing.repeated(m), rated).collect()}
     assert used["p", " HOT "]["used_tokens"] == pytest.approx(6000, rel=0.1)
     assert used["q", "s3"]["used_tokens"] == pytest.approx(2.5 * have["s3"], rel=0.06)
     assert sum(r["actual_share"] for k, r in used.items() if k[0] == "p") == pytest.approx(1)
