@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,27 +66,57 @@ def histogram(df: DataFrame, column: str, bins: int = 200, by: str | None = None
     return rows.crossJoin(F.broadcast(ends)).groupBy(b.alias("bin"), *([by] if by else [])).agg(F.count(F.lit(1)).alias("n"))  # one row of ends
 
 
-def quantiles(x: Column | str, shares: Column, accuracy: int | None = None) -> Column:
-    """Interpolated quantiles; with ``accuracy`` from a sketch of bounded size, off by one row in ``accuracy``.
+#: Accuracy of the sketch by which exact quantiles are looked for: what is sorted is four rows in so many.
+BRACKET = 10_000
 
-    The exact aggregate keeps every different value in one task: pass an accuracy for tables of billions of rows.
+
+def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], group: str | None = None, accuracy: int | None = None) -> DataFrame:
+    """Of each column the interpolated quantiles, as an array: one row, or one for each value of ``group`` with a
+    value; nulls are left out. With ``accuracy`` from a sketch of bounded size, off by one row in ``accuracy``.
+
+    Exact ones are found in two passes, and no task holds a column's values: a sketch gives a bracket for each quantile;
+    then rows under a bracket are counted, and only the values in it, counted by value, are put in order.
     """
-    return F.percentile(x, shares) if accuracy is None else F.percentile_approx(x, shares, accuracy)
+    g = F.col(group) if group else F.lit(0)
+    if accuracy is not None:
+        aggs = [F.percentile_approx(x, F.array(*[F.lit(q) for q in shares]), accuracy).alias(n) for n, x in columns.items()]
+        return df.groupBy(g.alias("_g")).agg(*aggs).withColumnRenamed("_g", group) if group else df.agg(*aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), x.cast("double").alias("x")) for n, x in columns.items()]))
+    long = df.select(g.alias("_g"), each.alias("e")).select("_g", "e.m", "e.x").where("x is not null").persist(StorageLevel.MEMORY_AND_DISK)  # numbers, read twice
+    # the same value on many rows is one row from here on
+    rows = long.groupBy("_g", "m", "x").agg(F.count(F.lit(1)).alias("c"))
+    ends = [F.lit(min(1.0, max(0.0, q + d * 2 / BRACKET))) for q in shares for d in (-1, 1)]
+    sketch = long.groupBy("_g", "m").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*ends), BRACKET).alias("b"))
+    at = join_small(rows, sketch.select(F.col("_g").alias("_h"), F.col("m").alias("_m"), "n", "b"), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("m") == F.col("_m")))
+    q = F.posexplode(F.array(*[F.struct(F.lit(float(x)).alias("q"), F.get("b", 2 * i).alias("lo"), F.get("b", 2 * i + 1).alias("hi")) for i, x in enumerate(shares)]))
+    at = at.select("_g", "m", "x", "c", "n", q.alias("i", "s")).select("_g", "m", "i", "x", "c", ((F.col("n") - 1) * F.col("s.q")).alias("at"), "s.lo", "s.hi")
+    # all rows under a bracket become one, with their largest value, and all above it one with their least
+    zone = F.when(F.col("x") < F.col("lo"), 0).when(F.col("x") <= F.col("hi"), 1).otherwise(2)
+    at = at.withColumn("zone", zone).groupBy("_g", "m", "i", "at", "zone", F.when(F.col("zone") == 1, F.col("x")).alias("k")).agg(F.sum("c").alias("c"), F.when(F.first("zone") == 0, F.max("x")).otherwise(F.min("x")).alias("x"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("_g", "m", "i").orderBy("zone", "x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = at.withColumn("before", before)
+    value = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("c")), F.col("x")))
+    got = at.groupBy("_g", "m", "i", "at").agg(value(F.floor("at")).alias("a"), value(F.ceil("at")).alias("b"))
+    whole = F.col("at") == F.floor("at")
+    got = got.withColumn("v", F.when(whole | (F.col("a") == F.col("b")), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")))
+    lists = got.groupBy("_g", "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
+    out = lists.groupBy("_g").agg(*[F.max_by("v", F.when(F.col("m") == n, 1)).alias(n) for n in columns])
+    if group:
+        return out.withColumnRenamed("_g", group)
+    return df.sparkSession.range(1).select(F.lit(0).alias("_z")).join(F.broadcast(out), F.col("_z") == F.col("_g"), "left").drop("_z", "_g")  # one row also of an empty table
 
 
 def mean_and_median(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
-    return df.agg(F.avg(column).alias("mean"), quantiles(column, F.lit(0.5), accuracy).alias("median"))
+    mid = quantiles(df, {"_q": F.col(column)}, [0.5], None, accuracy)
+    return df.agg(F.avg(column).alias("mean")).crossJoin(F.broadcast(mid)).select("mean", F.get("_q", 0).alias("median"))  # a row each
 
 
 def robust_fit(df: DataFrame, metrics: list[str], label: str = "setfit_label", accuracy: int | None = None) -> DataFrame:
     """One row: median and distance of the 1st and 99th percentile of each metric, over the samples it says
     something about; missing values count as 0."""
-    aggs = []
-    for m in metrics:
-        x = F.when(relevant(F.col(label), m), F.coalesce(F.nanvl(F.col(m), F.lit(None)), F.lit(0.0)))
-        p = quantiles(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)), accuracy)
-        aggs += [F.get(p, 1).alias(f"{m}_center"), (F.get(p, 2) - F.get(p, 0)).alias(f"{m}_scale")]
-    return df.agg(*aggs)
+    x = {m: F.when(relevant(F.col(label), m), F.coalesce(F.nanvl(F.col(m), F.lit(None)), F.lit(0.0))) for m in metrics}
+    q = quantiles(df, x, [0.01, 0.5, 0.99], None, accuracy)
+    return q.select(*[c for m in metrics for c in (F.get(m, 1).alias(f"{m}_center"), (F.get(m, 2) - F.get(m, 0)).alias(f"{m}_scale"))])
 
 
 def robust_scaled(df: DataFrame, fit: DataFrame, metrics: list[str]) -> DataFrame:
@@ -107,8 +138,8 @@ def min_max_scaled(df: DataFrame, metrics: list[str], group: str = "origin") ->
 
 def percentile_threshold(df: DataFrame, column: str, share: float, group: str | None = None, accuracy: int | None = None) -> DataFrame:
     """The percentile ``int(share * 100)`` of a column, interpolated."""
-    p = quantiles(column, F.lit(int(share * 100) / 100), accuracy).alias("threshold")
-    return df.groupBy(group).agg(p) if group else df.agg(p)
+    p = quantiles(df, {"_q": F.col(column)}, [int(share * 100) / 100], group, accuracy)
+    return p.select(*([group] if group else []), F.get("_q", 0).alias("threshold"))
 
 
 def sampled_totals(df: DataFrame, group: str = "origin") -> DataFrame:

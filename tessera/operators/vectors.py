@@ -340,7 +340,7 @@ def cluster_select(df: DataFrame, n: int | dict[str, int], cluster: str = "clust
         return df.limit(0)
     key = F.col(group) if group else F.lit("")
     rows = df.withColumn("_g", key).where(F.col("_g").isin(*quotas))
-    stats = rows.groupBy("_g").agg(quantiles(preference, F.lit(int(percentile * 100) / 100), accuracy).alias("_t"))
+    stats = quantiles(rows, {"_q": F.col(preference)}, [int(percentile * 100) / 100], "_g", accuracy).select("_g", F.get("_q", 0).alias("_t"))
     ids = F.struct(*shuffled(seed, id_col))
     best = rows.groupBy("_g", cluster).agg(*([F.min_by(id_col, ids).alias("_i"), F.lit(None).alias("_p")] if strategy == "random" else [F.max_by(id_col, F.struct(F.col(preference).isNotNull(), F.col(preference), *_descending(df, id_col))).alias("_i"), F.max(preference).alias("_p")]))
     reps = best.join(stats, "_g").where(F.lit(strategy == "random") | (F.round("_p", 12) > F.round("_t", 12))).select(F.col("_i").alias(id_col), F.lit(1).alias("_rep"))

@@ -287,3 +287,39 @@ def test_shuffle_depends_on_seed_only(spark):
     assert a == b and a != [r[0] for r in sampling.sample_random(df, 10, 4).collect()]
     share = sampling.train_test_split(df, 0.3).where("split = 'test'").count()
     assert 10 < share < 50 and math.isfinite(share)
+
+
+def test_exact_quantiles_equal_numpy(spark):
+
+    r = random.Random(12)
+    rows = [(r.choice("abc"), r.choice([0.0, 0.0, 1.0, r.gauss(0, 5)]), r.random() if r.random() < 0.9 else None) for _ in range(3000)] + [("one", 4.0, None), ("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    shares = [0.0, 0.01, 0.28, 0.5, 0.99, 1.0]
+    got = aggregates.quantiles(df, {"x": F.col("x"), "y": F.col("y")}, shares, "g").collect()
+    assert {q["g"] for q in got} == {"a", "b", "c", "one"}
+    for q in got:
+        for i, n in ((1, "x"), (2, "y")):
+            own = [v[i] for v in rows if v[0] == q["g"] and v[i] is not None]
+            assert q[n] is None if not own else q[n] == pytest.approx(np.quantile(own, shares))
+    every = aggregates.quantiles(df, {"x": F.col("x")}, shares).collect()
+    assert every[0]["x"] == pytest.approx(np.quantile([v[1] for v in rows if v[1] is not None], shares))
+    assert aggregates.quantiles(df.limit(0), {"x": F.col("x")}, [0.5]).collect()[0]["x"] is None
+    assert aggregates.quantiles(df.limit(0), {"x": F.col("x")}, [0.5], "g").count() == 0
+
+
+def test_statistics_of_groups_are_sent_to_the_rows(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("origin"), F.col("id").cast("double").alias("complexity"))
+    plan = aggregates.min_max_scaled(df, ["complexity"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_are_numbered_in_their_order(spark):
+    df = spark.range(0, 100, 1, 7).withColumnRenamed("id", "v")
+    assert [r["n"] for r in reshape.numbered(df, "n").orderBy("v").collect()] == list(range(100))
+    assert reshape.numbered(df.limit(0), "n").count() == 0
+
+
+def test_nan_in_a_metric_table_is_missing(spark):
+    t = {"m": spark.createDataFrame([("a", float("nan")), ("b", 1.0)], "data_id string, m double")}
+    got = {r["data_id"]: r["m"] for r in joins.attach_metric_tables(spark.createDataFrame([("a",), ("b",), ("c",)], "data_id string"), t).collect()}
+    assert got == {"a": None, "b": 1.0, "c": None}
