@@ -18,22 +18,28 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BITS, bucket_counts, durable, with_tokens
-from .neardup import _signer
+from .common import BUCKET_BITS, bucket_counts, with_tokens
 
 DIM = 256
 BRANCHING = 24
 #: Leaf entries of one partition's tree, tasks that merge the trees of partitions, records aimed at in a cell,
-#: cells at most, and cells in which a record is looked for.
-LEAVES, MERGERS, CELL, MOST_CELLS, PROBES = 256, 8, 1_000, 2_048, 5
+#: cells at most.
+LEAVES, MERGERS, CELL, MOST_CELLS = 256, 8, 1_000, 2_048
 #: Records of one block of a cell: a cell that holds more, such as a large group of look-alikes, is cut.
 BLOCK = 8_000
-#: 64-bit words of the bitmap by which pairs of the exact step are held off, records in one block of a key.
-LONGS, KEY_BLOCK = 4, 4_000
+#: 64-bit words of the bitmap by which pairs are held off (a power of two); records of up to so many words are first compared by half of the bits.
+LONGS, SHORT = 8, 110
+#: Records on either side of one comparison of bitmaps; records of a key that are paired off together with other keys.
+TALL, WIDE, FEW = 64, 1_024, 48
+#: Records of one bucket of keys that one task holds, and keys that a record is reckoned to have.
+HELD, KEYS = 300_000, 31
+#: Records a cell, and in all at least, on which the cells of look-alikes are fitted.
+FIT, FIT_LEAST = 50, 5_000
 #: Words that make up less than this share of all words have no weight in a vector: names and numbers.
 RARE_SHARE = 1.5e-5
 #: Trees of partitions that one task merges at once.
@@ -230,9 +236,10 @@ def _lists(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 class Cells:
     """Centres of the cells that the merged trees of all records are cut into."""
 
-    def __init__(self, tokens: DataFrame, cell: int = CELL, leaves: int = LEAVES) -> None:
-        """``tokens``: rows with ``id`` and ``toks``. Two passes: token frequencies, then the trees."""
-        counts = bucket_counts(tokens)
+    def __init__(self, tokens: DataFrame, cell: int = CELL, leaves: int = LEAVES, counts: np.ndarray | None = None, rows: int | None = None) -> None:
+        """``tokens``: rows with ``id`` and ``toks``. Two passes: token frequencies, then the trees. Where ``tokens``
+        are a sample, ``counts`` and ``rows`` are those of the whole."""
+        counts = bucket_counts(tokens) if counts is None else counts
         spark = tokens.sparkSession
         self.weight = spark.sparkContext.broadcast(weights(counts))
         weight = self.weight
@@ -264,7 +271,7 @@ class Cells:
                 break
         got = trees.toPandas()  # MERGERS trees of ``leaves`` entries at most
         got = got.sort_values(["n", "ss"], kind="stable")
-        self.rows = int(round(got["n"].sum())) if len(got) else 0
+        self.rows = rows or (int(round(got["n"].sum())) if len(got) else 0)
         if not len(got):
             self.centres = np.zeros((1, DIM), np.float32)
             return
@@ -290,131 +297,288 @@ class Cells:
         return tokens.withColumn("cells", F.pandas_udf(near, "array<int>")("toks"))
 
 
-def _neighbours(f: pd.DataFrame, asks: np.ndarray, similarity: float) -> np.ndarray:
-    """For the records at ``asks``, how many others of ``f`` have the similarity: exact, by posting lists."""
-    flat, starts = _lists(f["toks"])
+def _bitmaps(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``LONGS`` words a record in which each token flips one bit: two records differ in at least as many tokens as bits."""
+    bit = _mixed(flat) >> np.uint64(65 - (64 * LONGS).bit_length())
+    flips = np.left_shift(np.uint64(1), bit & np.uint64(63))
+    word = bit >> np.uint64(6)
+    out = np.zeros((LONGS, len(starts) - 1), np.uint64)
+    some = np.diff(starts) > 0
+    if some.any():
+        for i in range(LONGS):
+            out[i, some] = np.bitwise_xor.reduceat(np.where(word == i, flips, np.uint64(0)), starts[:-1][some])
+    return out
+
+
+def _mixed(flat: np.ndarray) -> np.ndarray:
+    return (flat ^ (flat >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _column(t: pa.Table, name: str) -> pa.Array:
+    c = t.column(name)
+    return c.combine_chunks() if c.num_chunks != 1 else c.chunk(0)
+
+
+def _tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[starts[0] : starts[-1]], starts - starts[0]
+
+
+class _Near:
+    """Which records of a group, sorted by their size, can have the similarity ``t``: all that have it, and few more."""
+
+    def __init__(self, n: np.ndarray, m: np.ndarray, t: Fraction) -> None:
+        self.n, self.m = n, m
+        self.half = m[: LONGS // 2] ^ m[LONGS // 2 :]  # bitmaps of half as many bits
+        both = np.arange(2 * int(n.max(initial=0)) + 1)
+        self.limit = both - 2 * -(-both * t.numerator // (t.numerator + t.denominator))
+        # for a whole range of sizes at once: the limit goes up and down by one as sizes grow
+        self.low = np.clip(np.maximum.accumulate(self.limit), 0, 255).astype(np.uint8)
+
+    def within(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of pairs of positions, those whose whole bitmaps allow the similarity."""
+        differ = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in self.m)
+        return differ <= self.limit[self.n[x] + self.n[y]]
+
+    def meet(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of each of ``x``, a few records of about the same size, with each of ``y``."""
+        top = self.n[x].max()
+        marks = self.half if top <= SHORT else self.m
+        xs, ys, own = [], [], marks[:, x][:, :, None]
+        for s in range(0, len(y), WIDE):
+            part = y[s : s + WIDE]
+            differ = np.zeros((len(x), len(part)), np.uint8)
+            for w, v in zip(own, marks[:, part]):
+                differ += np.bitwise_count(w ^ v)  # 256 differences become 0: one more to look at
+            hit = np.flatnonzero((differ <= self.low[top + self.n[part]][None]).ravel())  # in one dimension this is the faster
+            if len(hit):
+                i, j = x[hit // len(part)], part[hit % len(part)]
+                ok = self.within(i, j)
+                xs.append(i[ok])
+                ys.append(j[ok])
+        if not xs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(xs), np.concatenate(ys)
+
+
+def _settled(flat: np.ndarray, starts: np.ndarray, t: Fraction, others: int) -> np.ndarray:
+    """Which records of a group have at least ``others`` others in it of the similarity: exact, nearest first until there are enough."""
     size = np.diff(starts)
-    rec = np.repeat(np.arange(len(size), dtype=np.int64), size)
-    _, word = np.unique(flat, return_inverse=True)
-    order = np.argsort(word, kind="stable")
-    posted = rec[order]
-    begin = np.concatenate([[0], np.cumsum(np.bincount(word))])
-    out = np.zeros(len(asks), np.int64)
-    for k, i in enumerate(asks):
-        own = word[starts[i] : starts[i + 1]]
-        met = np.bincount(np.concatenate([posted[begin[w] : begin[w + 1]] for w in own]), minlength=len(size))
-        out[k] = np.count_nonzero(met >= similarity * (size[i] + size - met) - 1e-9) - 1
+    order = np.argsort(size, kind="stable")
+    n, m = size[order], _bitmaps(flat, starts)[:, order]
+    near, out = _Near(n, m, t), np.zeros(len(n), bool)
+    for s in range(0, len(n), TALL):
+        x = np.arange(s, min(s + TALL, len(n)))
+        lo, hi = np.searchsorted(n, -(-n[x[0]] * t.numerator // t.denominator)), np.searchsorted(n, n[x[-1]] * t.denominator // t.numerator, "right")
+        a, b = near.meet(x, np.arange(lo, hi))
+        a, b = a[a != b], b[a != b]
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        for i, from_, to in zip(x, np.searchsorted(a, x), np.searchsorted(a, x, "right")):
+            if to - from_ < others:
+                continue
+            c = b[from_:to]
+            c = c[np.argsort(sum(np.bitwise_count(w[i] ^ w[c]).astype(np.int64) for w in m), kind="stable")]
+            own, found, at, step = np.sort(flat[starts[order[i]] : starts[order[i] + 1]]), 0, 0, others + others // 2
+            while found < others and found + len(c) - at >= others:
+                part = c[at : at + step]
+                met = [flat[starts[j] : starts[j + 1]] for j in order[part]]
+                ends = np.cumsum([len(v) for v in met])
+                met = np.concatenate(met)
+                hit = own[np.minimum(np.searchsorted(own, met), len(own) - 1)] == met
+                o = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], ends[:-1]]))
+                found += int(np.count_nonzero(o * t.denominator >= (n[i] + n[part] - o) * t.numerator))
+                at, step = at + step, 2 * step
+            out[order[i]] = found >= others
     return out
 
 
 def look_alikes(df: DataFrame, id_col: str, text: str = "text", min_words: int = 40, similarity: float = 0.5, others: int = 10, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """Ids of records for which at least ``others`` other records have the similarity (multiset Jaccard).
 
-    Each record asks in its nearest cell, in which it meets every record that has this cell among its
-    ``PROBES`` nearest; the similarity is exact. A cell with more than ``block`` records is cut in blocks by
-    hash: members of a large group of look-alikes find enough others in their own block, and only records that
-    don't go on to ask in every other block of the cell, so no block outgrows a task. With more than ``PROBES``
-    cells, records that have not found enough by then are compared exactly (:func:`_exact`), so the cells only
-    settle the bulk of the look-alikes and leave none out. Records of fewer than
+    Each record first asks in its nearest cell, or in its block (by hash) of a cell of more than ``block`` records;
+    the similarity is exact, and members of a group of look-alikes are mostly settled there, however large it is.
+    Records that have not found enough by then are compared exactly with all others (:func:`_exact`), so the cells
+    leave none out, and their centres are fitted on a sample. Records of fewer than
     ``min_words`` words, null and empty texts are no one's neighbour; rows without an id are left out. An empty table gives none.
     """
-    tokens = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= min_words).select("id", "toks").persist(StorageLevel.MEMORY_AND_DISK)
-    cells = Cells(tokens, cell)
-    routed = cells.route(tokens, PROBES).select("id", "toks", F.posexplode("cells").alias("nth", "cell")).withColumn("home", F.col("nth") == 0).drop("nth").persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r["cell"]: -(-r["count"] // block) for r in routed.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
-    blocks = np.array([sizes.get(i, 1) for i in range(max(sizes, default=0) + 1)], dtype=np.int32)
-    n = F.element_at(F.lit(blocks.tolist()), F.col("cell") + 1)
-    routed = routed.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    def ask(f: pd.DataFrame) -> pd.DataFrame:
-        asks = np.flatnonzero(f["asks"].to_numpy())
-        got = _neighbours(f, asks, similarity) if len(asks) else np.zeros(0, np.int64)
-        return pd.DataFrame({"id": f["id"].to_numpy()[asks], "cell": f["cell"].to_numpy()[asks], "blocks": f["blocks"].to_numpy()[asks], "block": f["own"].to_numpy()[asks], "found": got})
+    t = Fraction(similarity).limit_denominator(1_000)
+    least = max(min_words, 1)
+    tokens = with_tokens(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text), text).where(F.col("n") >= least).select("id", "toks").persist(StorageLevel.MEMORY_AND_DISK)
+    counts, rows = bucket_counts(tokens), tokens.count()
+    share = min(1.0, max(FIT_LEAST, FIT * min(MOST_CELLS, rows / cell)) / max(rows, 1))
+    sample = tokens.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else tokens
+    cells = Cells(sample, cell, counts=counts, rows=rows)
+    nearest = lambda of: cells.route(of, 1).withColumn("cell", F.element_at("cells", 1))
+    sizes = {r["cell"]: r["count"] / share for r in nearest(sample).groupBy("cell").count().collect()} if rows > block else {}  # at most MOST_CELLS rows
+    blocks = [math.ceil(sizes.get(i, 1) / block) for i in range(max(sizes, default=0) + 1)]
+    routed = nearest(tokens).withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce(F.get(F.lit(blocks), F.col("cell")), F.lit(1))).cast("int"))
+
+    def ask(f: pa.Table) -> pa.Table:
+        lists = _column(f, "toks")
+        enough = _settled(*_tokens(lists), t, others)
+        return pa.table({"id": _column(f, "id"), "toks": lists, "asks": pa.array(~enough)})
 
     kind = dict(df.dtypes)[id_col]
-    shape = f"id {kind}, cell int, blocks int, block int, found long"
-    first = routed.select("id", "toks", "cell", "blocks", "block", F.col("block").alias("own"), F.col("home").alias("asks")).groupBy("cell", "block").applyInPandas(ask, shape).persist(StorageLevel.MEMORY_AND_DISK)
-    sure = first.where(F.col("found") >= others).select("id")
-
-    def whole(settled: DataFrame) -> DataFrame:
-        if len(cells.centres) > PROBES:
-            settled = durable(settled)  # a plan of its own, small enough for the driver
-            settled = settled.unionByName(_exact(tokens, settled, similarity, others))
-        return settled.withColumnRenamed("id", id_col)
-
-    if max(sizes.values(), default=1) == 1:
-        return whole(sure)
-    rest = first.where((F.col("found") < others) & (F.col("blocks") > 1)).select("id", F.col("found").alias("had"))
-    asking = routed.where("home and blocks > 1").join(rest, "id")
-    asking = asking.withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("id", "toks", "cell", "blocks", "block", "own", F.lit(True).alias("asks"))
-    # the askers of one block meet the members of another: no group holds more than two blocks
-    hold = routed.where("blocks > 1").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("id", "toks", "cell", "blocks", "block", "own", F.lit(False).alias("asks"))
-
-    def visit(f: pd.DataFrame) -> pd.DataFrame:
-        ask_rows, members = f[f["asks"]], f[~f["asks"]]
-        out = []
-        for s in range(0, len(ask_rows), 1000):
-            part = ask_rows.iloc[s : s + 1000]
-            got = _visiting(part["toks"], members["toks"], similarity)
-            out.append(pd.DataFrame({"id": part["id"].to_numpy(), "found": got}))
-        return pd.concat(out) if out else pd.DataFrame({"id": f["id"].to_numpy()[:0], "found": np.zeros(0, np.int64)})
-
-    more = asking.unionByName(hold).groupBy("cell", "block", "own").applyInPandas(visit, f"id {kind}, found long")
-    total = rest.select("id", F.col("had").alias("found")).unionByName(more).groupBy("id").agg(F.sum("found").alias("found"))
-    return whole(sure.unionByName(total.where(F.col("found") >= others).select("id")))
+    judged = routed.groupBy("cell", "block").applyInArrow(ask, f"id {kind}, toks array<bigint>, asks boolean").withColumn("rid", F.xxhash64("id")).persist(StorageLevel.MEMORY_AND_DISK)
+    return judged.where("not asks").select("id").unionByName(_exact(judged, counts, rows, t, least, others)).withColumnRenamed("id", id_col)
 
 
-def _exact(tokens: DataFrame, settled: DataFrame, similarity: float, others: int, block: int = KEY_BLOCK) -> DataFrame:
-    """``id`` of the records not ``settled`` that have at least ``others`` others, whatever their cells.
+def _exact(judged: DataFrame, counts: np.ndarray, rows: int, t: Fraction, least: int, others: int, held: int = HELD) -> DataFrame:
+    """``id`` of the records that ask and have at least ``others`` others, whatever their cells.
 
-    Two records of the similarity share one of their rarest tokens (prefix rule, see :mod:`.neardup`); those that
-    share one and whose sizes and bitmaps allow the similarity are candidates, and only records with enough of
-    them are verified. Keys of more than ``block`` records are cut in blocks.
+    ``judged``: ``id, rid, toks, asks``. Let a shared token be the first that two records share, rare ones first: from it on, the record with
+    ``r`` tokens left shares at most ``r``, so the other one has at most ``r (1 + t) / t`` less its own size. Each record
+    goes once to each bucket of keys that it has such tokens of, with these bounds and its bitmap, and meets there the
+    others with the key whose bounds and sizes fit; pairs that bitmaps allow are candidates, and only records with
+    enough of them are verified. Buckets of more than ``held`` records are cut in blocks, and pairs of blocks meet.
     """
-    t = Fraction(similarity).limit_denominator(1_000)
-    marks = [f"m{i + 1}" for i in range(LONGS)]
-    sign = _signer(bucket_counts(tokens), t, LONGS)
-    asks = tokens.select("id").join(settled, "id", "left_anti").withColumn("asks", F.lit(True))
-    rows = tokens.select("id", F.size("toks").alias("n"), sign("toks").alias("s")).select("id", "n", "s.*").join(asks, "id", "left").select("id", "n", *marks, F.coalesce("asks", F.lit(False)).alias("asks"), F.posexplode("prefix").alias("nth", "key"))
-    # the smaller record of a pair needs fewer keys than the larger one
-    few = F.col("nth") <= F.col("n") - F.ceil(2 * F.col("n") * t.numerator / F.lit(t.numerator + t.denominator) - 1e-9)
-    rows = rows.withColumn("few", few).drop("nth").persist(StorageLevel.MEMORY_AND_DISK)
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("asks").alias("some")).where("some and k > 1").select("key", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
-    cut_ = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = lambda df, p, a, b: df.select(*[F.col(c).alias(p + c) for c in ("key", "id", "n", "few", *marks)], F.col(a).alias(p + "a"), F.col(b).alias(p + "b"))
-    left, right = side(cut_.where("asks"), "x_", "own", "other"), side(cut_, "y_", "other", "own")
-    both, small, large = F.col("x_n") + F.col("y_n"), F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    need = F.ceil(both * F.lit(t.numerator) / F.lit(t.numerator + t.denominator) - 1e-9)
-    differ = sum((F.bit_count(F.col("x_" + m).bitwiseXOR(F.col("y_" + m))) for m in marks), F.lit(0))
-    fits = (small * F.lit(t.denominator) >= large * F.lit(t.numerator)) & F.when(F.col("x_n") < F.col("y_n"), F.col("x_few")).when(F.col("x_n") > F.col("y_n"), F.col("y_few")).otherwise(F.col("x_few") | F.col("y_few"))
-    met = left.join(right, (F.col("x_key") == F.col("y_key")) & (F.col("x_a") == F.col("y_a")) & (F.col("x_b") == F.col("y_b")) & fits & (differ <= both - 2 * need) & (F.col("x_id") != F.col("y_id")))
-    pairs = met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    spark = judged.sparkSession
+    # a record has about a half of its tokens as keys; with more buckets each record would be sent more often
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * KEYS // held))
+    sent = spark.sparkContext.broadcast(counts)
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Record, bucket, key and bound of all keys, by record and bucket."""
+        flat, starts = _tokens(b.column("toks"))
+        n = np.diff(starts)
+        rec = np.repeat(np.arange(len(n)), n)
+        mixed = _mixed(flat)
+        order = np.lexsort((mixed, sent.value[(flat & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)], rec))
+        left = np.repeat(starts[1:], n) - np.arange(len(flat))
+        size = np.repeat(n, n)
+        bound = left * (t.numerator + t.denominator) // t.numerator - size
+        chosen = bound >= np.maximum(least, -(-size * t.numerator // t.denominator))
+        key = (mixed[order][chosen] >> np.uint64(20)).astype(np.uint32)
+        rec, bound, bucket = rec[chosen], bound[chosen], (key % np.uint32(buckets)).astype(np.int64)
+        by = np.lexsort((bucket, rec))
+        return rec[by], bucket[by], key[by].view(np.int32), bound[by].astype(np.int32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            rec, bucket, _, _ = keys(b)
+            total += np.bincount(np.unique(rec * buckets + bucket) % buckets, minlength=buckets)
+        yield pa.record_batch({"bucket": pa.array(np.arange(buckets, dtype=np.int32)), "rows": pa.array(total)})
+
+    cuts = np.ones(buckets, np.int64)
+    if rows > held:
+        for r in judged.select("toks").mapInArrow(count, "bucket int, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows")).collect():
+            cuts[r["bucket"]] = max(1, -(-r["rows"] // held))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, starts = _tokens(b.column("toks"))
+            m, n = np.ascontiguousarray(_bitmaps(flat, starts).T), np.diff(starts).astype(np.int32)
+            rid, asks = b.column("rid").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            rec, bucket, key, bound = keys(b)
+            if not len(rec):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (rec[1:] != rec[:-1]) | (bucket[1:] != bucket[:-1])]))
+            ends = 2 * np.concatenate([first, [len(rec)]])
+            listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.stack([key, bound], 1).reshape(-1)))
+            r, k = rec[first], bucket[first]
+            own = (rid[r].view(np.uint64) >> np.uint64(7)).astype(np.int64) % cuts[k]
+            again = np.repeat(np.arange(len(r)), cuts[k])
+            other = np.arange(len(again)) - np.repeat(np.cumsum(cuts[k]) - cuts[k], cuts[k])
+            for s in range(0, len(again), 50_000):
+                at, o = again[s : s + 50_000], other[s : s + 50_000]
+                marks = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LONGS), len(at), [None, pa.py_buffer(m[r[at]].tobytes())]).cast(pa.binary())
+                ints = {"bucket": k[at], "lo": np.minimum(own[at], o), "hi": np.maximum(own[at], o), "own": own[at], "n": n[r[at]]}
+                yield pa.record_batch({**{c: pa.array(v.astype(np.int32)) for c, v in ints.items()}, "rid": pa.array(rid[r[at]]), "asks": pa.array(asks[r[at]]), "m": marks, "keys": listed.take(pa.array(at))})
+
+    packed = judged.select("rid", "toks", "asks").mapInArrow(pack, "bucket int, lo int, hi int, own int, n int, rid long, asks boolean, m binary, keys array<int>")
+    pairs = packed.groupBy("bucket", "lo", "hi").applyInArrow(lambda f: _candidates(f, t), "x long, y long").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     enough = pairs.groupBy("x").count().where(F.col("count") >= others).select("x")
-    of = tokens.select("id", "toks")
-    got = pairs.join(enough, "x").join(of.select(F.col("id").alias("x"), F.col("toks").alias("xt")), "x").join(of.select(F.col("id").alias("y"), F.col("toks").alias("yt")), "y")
+    x = judged.where("asks").select(F.col("rid").alias("x"), F.col("id").alias("x_id"), F.col("toks").alias("xt"))
+    y = judged.select(F.col("rid").alias("y"), F.col("id").alias("y_id"), F.col("toks").alias("yt"))
+    got = pairs.join(enough, "x").join(x, "x").join(y, "y").where("x_id <> y_id")
     o = F.size(F.array_intersect("xt", "yt"))
     similar = o * F.lit(t.denominator) >= (F.size("xt") + F.size("yt") - o) * F.lit(t.numerator)
-    return got.where(similar).groupBy("x").count().where(F.col("count") >= others).select(F.col("x").alias("id"))
-
-
-def _visiting(asks: pd.Series, members: pd.Series, similarity: float) -> np.ndarray:
-    """How many of ``members`` have the similarity with each of ``asks``."""
-    if not len(members) or not len(asks):
-        return np.zeros(len(asks), np.int64)
-    flat, starts = _lists(members)
-    size = np.diff(starts)
-    words, word = np.unique(flat, return_inverse=True)
-    posted = np.repeat(np.arange(len(size), dtype=np.int64), size)[np.argsort(word, kind="stable")]
-    begin = np.concatenate([[0], np.cumsum(np.bincount(word))])
-    out = np.zeros(len(asks), np.int64)
-    for k, t in enumerate(asks):
-        own = np.asarray(t, np.int64).view(np.uint64)
-        at = np.searchsorted(words, own)
-        at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]
-        if len(at):
-            met = np.bincount(np.concatenate([posted[begin[w] : begin[w + 1]] for w in at]), minlength=len(size))
-            out[k] = np.count_nonzero(met >= similarity * (len(own) + size - met) - 1e-9)
-    return out
+    return got.where(similar).groupBy("x_id").count().where(F.col("count") >= others).select(F.col("x_id").alias("id"))
+
+
+def _candidates(f: pa.Table, t: Fraction) -> pa.Table:
+    """Pairs of one bucket, from each record that asks, once each."""
+    n = _column(f, "n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    n, rid, own = n[order].astype(np.int64), _column(f, "rid").to_numpy()[order], _column(f, "own").to_numpy()[order]
+    asks = _column(f, "asks").to_numpy(zero_copy_only=False)[order]
+    marks, listed = _column(f, "m"), _column(f, "keys")
+    base = np.frombuffer(marks.buffers()[1], np.int32)[marks.offset]
+    m = np.frombuffer(marks.buffers()[2], np.uint64, LONGS * len(n), int(base)).reshape(-1, LONGS)[order].T.copy()
+    starts = listed.offsets.to_numpy().astype(np.int64)
+    both = listed.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]].reshape(-1, 2)
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.arange(len(n))
+    row = np.repeat(rank, np.diff(starts) // 2)
+    by = np.lexsort((row, both[:, 0]))
+    row, key, bound = row[by], both[by, 0], both[by, 1].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([first, [len(key)]]))
+    cross, near, seen = f.column("lo")[0].as_py() != f.column("hi")[0].as_py(), _Near(n, m, t), _Pairs(len(n))
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs of places in ``row``, those that may count here."""
+        x, y = row[i], row[j]
+        ok = (bound[i] >= n[y]) & (bound[j] >= n[x]) & (asks[x] | asks[y])
+        return ok & (own[x] != own[y]) if cross else ok
+
+    small = np.repeat((length <= FEW) & (length > 1), length)
+    later = np.where(small, np.repeat(first + length, length) - 1 - np.arange(len(key)), 0)
+    at = np.flatnonzero(later)
+    part = np.cumsum(later[at]) // 1_000_000
+    for s, e in zip(*(lambda p: (p, np.append(p[1:], len(at))))(np.flatnonzero(np.diff(part, prepend=-1)))):
+        many = later[at[s:e]]
+        i = np.repeat(at[s:e], many)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        ok = fits(i, j)
+        x, y = row[i[ok]], row[j[ok]]
+        ok = near.within(x, y)
+        seen.add(x[ok], y[ok])
+    for a, k in zip(first[length > FEW], length[length > FEW]):
+        rows, most = row[a : a + k], bound[a : a + k]
+        size, asking = n[rows], asks[rows]
+        last = np.searchsorted(size, most, "right")
+        reach = last > np.arange(k) + 1
+        for left, right in ((asking, None), (~asking, asking)):
+            lefts = np.flatnonzero(left & reach)
+            for s in range(0, len(lefts), TALL):
+                q = lefts[s : s + TALL]
+                to = int(last[q].max())
+                ok = most[q[0] + 1 : to] >= size[q[0]]
+                if right is not None:
+                    ok &= right[q[0] + 1 : to]
+                c = q[0] + 1 + np.flatnonzero(ok)
+                x, y = near.meet(rows[q], rows[c])
+                if len(x):
+                    i, j = a + np.searchsorted(rows, x), a + np.searchsorted(rows, y)
+                    ok = (i < j) & fits(i, j)
+                    seen.add(x[ok], y[ok])
+    x, y = seen.all()
+    one, two = asks[x], asks[y]
+    return pa.table({"x": pa.array(np.concatenate([rid[x[one]], rid[y[two]]])), "y": pa.array(np.concatenate([rid[y[one]], rid[x[two]]]))})
+
+
+class _Pairs:
+    """Distinct pairs of positions."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.parts, self.held = max(n, 1), [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        if len(x):
+            self.parts.append(x * self.n + y)
+            self.held += len(x)
+            if self.held > 4_000_000:
+                self.parts = [np.unique(np.concatenate(self.parts))]
+                self.held = 0
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        got = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+        return got // self.n, got % self.n
 
 
 def select_varied(df: DataFrame, sizes: dict[str, int], scores: dict[str, Column] | None = None, id_col: str = "data_id", text: str = "text", cell: int = CELL, slack: float = 0.1, block: int = BLOCK) -> DataFrame:

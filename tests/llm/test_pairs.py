@@ -5,11 +5,12 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import diverse, leakage, neardup
+from tessera.llm import common, diverse, leakage, neardup
 from tessera.llm.common import words
 
 VOCAB = [f"w{i}" for i in range(400)]
@@ -141,6 +142,43 @@ def test_look_alikes_in_many_cells(spark, seed):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("held", [7, 10**6])
+def test_exact_step_of_look_alikes(spark, held):
+    # nothing is settled, records of all sizes, copies; buckets cut in blocks of a few records and not at all
+    r = random.Random(17)
+    rows = [x for n, k in ((42, 13), (60, 12), (90, 14), (300, 13), (700, 12), (50, 8)) for x in family(r, n, k)]
+    rows += [" ".join(r.choice(VOCAB) for _ in range(r.choice((41, 60, 83, 400)))) for _ in range(60)] + [rows[0]] * 3
+    rows = list(enumerate(rows))
+    deg = Counter(i for p in all_pairs(rows, Fraction(1, 2), 40) for i in p)
+    want = {i for i, n in deg.items() if n >= 10}
+    assert len(want) > 40
+    judged = common.with_tokens(spark.createDataFrame(rows, "id bigint, text string")).where("n >= 40").selectExpr("id", "xxhash64(id) AS rid", "toks", "id % 5 <> 0 AS asks")
+    got = [x["id"] for x in diverse._exact(judged, common.bucket_counts(judged), len(rows), Fraction(1, 2), 40, 10, held).collect()]
+    assert set(got) == {i for i in want if i % 5} and len(got) == len(set(got))
+
+
+def test_settled_in_a_group_of_any_sizes():
+    r = random.Random(18)
+    rows = [x for n, k in ((45, 30), (120, 12), (400, 15), (44, 9)) for x in family(r, n, k)] + [" ".join(r.choice(VOCAB) for _ in range(50)) for _ in range(80)]
+    lists = common.token_struct(pa.array(rows)).field("toks")
+    deg = Counter(i for p in all_pairs(list(enumerate(rows)), Fraction(1, 2), 40) for i in p)
+    got = diverse._settled(*diverse._tokens(lists), Fraction(1, 2), 10)
+    assert set(np.flatnonzero(got)) == {i for i, n in deg.items() if n >= 10}
+
+
+def test_settled_records_are_compared_with_those_that_ask_only(monkeypatch):
+    # one word in all of 3,000 records: all pairs would be 4.5 millions
+    n, asks = 3_000, np.arange(3_000) % 100 == 0
+    g = np.random.default_rng(19)
+    m = g.integers(0, 2**63, (n, diverse.LONGS), dtype=np.int64)
+    zero = np.zeros(n, np.int32)
+    f = pa.table({"lo": zero, "hi": zero, "own": zero, "n": pa.array(np.full(n, 60, np.int32)), "rid": pa.array(np.arange(n)), "asks": pa.array(asks), "m": pa.array([x.tobytes() for x in m], pa.binary()), "keys": pa.array([[5, 60]] * n, pa.list_(pa.int32()))})
+    compared, meet = [], diverse._Near.meet
+    monkeypatch.setattr(diverse._Near, "meet", lambda self, x, y: compared.append(len(x) * len(y)) or meet(self, x, y))
+    diverse._candidates(f, Fraction(1, 2))
+    assert 0 < sum(compared) <= 2 * n * asks.sum()
+
+
 def test_select_varied(spark):
     r = random.Random(6)
     rows = [x for x in family(r, 55, 150)] + [" ".join(r.choice(VOCAB) for _ in range(50)) for _ in range(60)]
