@@ -6,7 +6,10 @@ here passes on.
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +73,52 @@ def latest(df: DataFrame, ts: str = "ingested_at", key: str = "data_id") -> Data
     return got.select(key, *[F.col(f"_row.`{c}`").alias(c) for c in cols]).select(*df.columns)
 
 
+#: Steps of a plan that leave the rows of a scan where they were read.
+BY_ROW = ("Project", "Filter", "Generate", "SubqueryAlias")
+
+
+def _of_files(df: DataFrame) -> DataFrame | None:
+    """``df`` with the file ``_f`` of each row and the start ``_s`` of its block, if it is one scan taken row by row."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in BY_ROW:
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation":
+        return None
+    try:
+        of = df.metadataColumn("_metadata")
+        return df.select("*", of["file_path"].alias("_f"), of["file_block_start"].alias("_s"))
+    except AnalysisException:  # a relation without files
+        return None
+
+
+def _natural(path: str) -> tuple[list, str]:
+    """Names in order, the numbers in them as numbers: files are written with growing ones."""
+    return [int(x) if i % 2 else x for i, x in enumerate(re.split("([0-9]+)", path))], path
+
+
 def numbered(df: DataFrame, out: str) -> DataFrame:
-    """``out``: the place of each row from 0, in the order that the rows have (of files, or of a sort): its place
-    in its partition, and the rows of the partitions before. No row leaves the engine; one row a partition is
-    collected."""
-    rows = df.withColumn("_m", F.monotonically_increasing_id())
+    """``out``: the place of each row from 0, in the order that the rows have. No row leaves the engine.
+
+    Rows of files are in the order of these by name and of the lines in them. A scan deals the blocks of files out
+    by their size, so that its partitions are in no order: one row a block is collected. A block that another cut of
+    the files makes later fails. Other rows are in the order of their partitions, of which one row each is collected;
+    rows that were sorted must be persisted, since a sort that runs again may cut them differently.
+    """
+    m = F.monotonically_increasing_id()
     part = F.shiftrightunsigned("_m", 33)
+    if (rows := _of_files(df)) is not None:
+        rows = rows.withColumn("_m", m).withColumn("_q", part)
+        blocks = rows.groupBy("_f", "_s", "_q").agg(F.min("_m").alias("first"), F.max("_m").alias("last"), F.count(F.lit(1)).alias("n")).collect()
+        before, at = 0, []
+        for r in sorted(blocks, key=lambda r: (_natural(r["_f"]), r["_s"])):
+            if r["last"] - r["first"] + 1 != r["n"]:
+                raise ValueError(f"{r['_f']} is read twice: its rows have no order")
+            at.append((r["_f"], r["_s"], r["_q"], before - r["first"]))
+            before += r["n"]
+        known = df.sparkSession.createDataFrame(at, "_f string, _s bigint, _q bigint, _b bigint")
+        offset = F.coalesce("_b", F.raise_error(F.lit("files are cut in other blocks than when they were counted; set spark.sql.files.minPartitionNum")).cast("bigint"))
+        return rows.join(F.broadcast(known), ["_f", "_s", "_q"], "left").withColumn(out, offset + F.col("_m")).drop("_f", "_s", "_q", "_b", "_m")
+    rows = df.withColumn("_m", m)
     sizes = {r["_q"]: r["count"] for r in rows.groupBy(part.alias("_q")).count().collect()}
     before, at = 0, []
     for q in range(max(sizes, default=-1) + 1):

@@ -858,8 +858,8 @@ def select_from_files(spark: SparkSession, d: str) -> DataFrame:
 def pairs_from_files(spark: SparkSession, d: str) -> DataFrame:
     """Preference pairs on neighbouring rows of a file, selected as pairs and written as rows again."""
     at = _folder(spark)
-    k = _kto(spark, d).orderBy("position").drop("position")
-    writers.write_jsonl(k, f"{at}/k.jsonl")
+    c = conversations(spark, d).select("data_id", F.slice("messages", 1, 1).alias("prompt")).orderBy("data_id")
+    writers.write_jsonl(c.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("label")), f"{at}/k.jsonl")
     spec = parse_spec({"run": {"type_dataset": "kto", "scoring_strategy": "random", "data": [{"name": "k", "data_path": "DATA_PATH/k.jsonl"}]}})
     got = Run(spark, spec, at, schemas={"k": "data_id string, prompt array<struct<role:string,content:string>>, label boolean"}).result()
     return got.select("data_id", "label")

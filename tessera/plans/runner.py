@@ -52,8 +52,7 @@ class PairHooks(ChosenHooks):
 
     def postprocess(self, df: DataFrame) -> DataFrame:
         """Both rows again, the good one first; an order of the pairs stays theirs."""
-        both = reshape.unpack_pairs(reshape.numbered(df, "_n").withColumn("position", F.col("_n") * 2).drop("_n"))
-        return both.orderBy("position").drop("position")
+        return reshape.unpack_pairs(df.withColumn("position", F.lit(0))).drop("position")
 
 
 HOOKS: dict[str | None, type[ChatHooks]] = {None: ChatHooks, "sft": ChatHooks, "kto": PairHooks, "dpo": ChosenHooks}

@@ -1,8 +1,10 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans.runner import Run
 from tessera.plans.spec import Selection, SelectionSpec, SourceSpec, parse_spec, specs_of_table
 from tessera.sources import readers, writers
 from tessera.streaming import scoring
@@ -97,6 +99,73 @@ def test_jsonl_and_metric_columns(spark, tmp_path):
     assert readers.read_source(spark, str(tmp_path / "t")).where("origin = 'o'").count() == 3
 
 
+def test_rows_of_files_are_numbered_by_name_and_line(spark, tmp_path):
+    n, block = 0, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k in range(12):  # a scan takes larger files first, and cuts the last ones
+        more = 1 + 10 * k * k
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"{i}\n" for i in range(n, n + more)))
+        n += more
+    (tmp_path / "part-12.txt").write_text("")
+    try:
+        for size in (block, "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = spark.read.text(str(tmp_path))
+            assert sorted((r["position"], int(r["value"])) for r in readers.positions(df).collect()) == [(i, i) for i in range(n)]
+            even = readers.positions(df.where("value % 2 = 0").select(F.col("value").alias("_metadata"))).collect()
+            assert sorted((r["position"], int(r["_metadata"])) for r in even) == [(i, 2 * i) for i in range((n + 1) // 2)]
+            twice = readers.positions(df.select(F.explode(F.array("value", "value")).alias("v"))).collect()
+            assert sorted((r["position"], int(r["v"])) for r in twice) == [(i, i // 2) for i in range(2 * n)]
+            last = readers.positions(df.orderBy(F.col("value").cast("int").desc()).persist()).collect()
+            assert {(r["position"], int(r["value"])) for r in last} == {(i, n - 1 - i) for i in range(n)}
+            assert readers.positions(df.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.catalog.clearCache()
+
+
+def pairs_in_files(at, sizes):
+    """Lines of good and bad examples in files of so many lines, odd ones too; the ids of the pairs."""
+    lines = [json.dumps({"data_id": f"i{i // 2}", "prompt": [{"role": "user", "content": " ".join(hashlib.md5(f"{i // 2} {j}".encode()).hexdigest() for j in range(9))}], "label": i % 2 == 0}) + "\n" for i in range(sum(sizes))]
+    at.mkdir()
+    for k, n in enumerate(sizes):
+        (at / f"part-{k:05}.json").write_text("".join(lines[sum(sizes[:k]) : sum(sizes[:k]) + n]))
+    return {f"i{i // 2}" for i in range(sum(sizes))}
+
+
+def pairs_selected(spark, root, **spec):
+    spec = parse_spec({"run": {"type_dataset": "kto", "scoring_strategy": "random", **spec, "data": [{"name": "k", "data_path": "DATA_PATH/k.jsonl"}]}})
+    return Run(spark, spec, str(root), schemas={"k": "data_id string, prompt array<struct<role:string,content:string>>, label boolean"}).result().collect()
+
+
+def test_pairs_that_are_cut_between_files(spark, tmp_path):
+    ids = pairs_in_files(tmp_path / "k.jsonl", [1, 31, 3, 65])
+    (tmp_path / "tokens_scores/responses").mkdir(parents=True)
+    (tmp_path / "tokens_scores/responses/k.csv").write_text("".join(f"{i}\n" for i in range(50)))
+    got = pairs_selected(spark, tmp_path)
+    assert sorted((r["data_id"], r["label"], r["resp_length"]) for r in got) == sorted((i, x, int(i[1:])) for i in ids for x in (True, False))
+    (tmp_path / "k.jsonl/part-00004.json").write_text(json.dumps({"data_id": "alone", "prompt": [], "label": True}) + "\n")
+    with pytest.raises(Exception, match="must alternate"):
+        pairs_selected(spark, tmp_path)
+
+
+def test_pairs_of_many_partitions_come_in_order(spark, tmp_path):
+    ids = pairs_in_files(tmp_path / "k.jsonl", [2000])
+    # plans that read fewer columns are joined to fewer partitions
+    conf = {f"spark.sql.adaptive.{k}": v for k, v in (("advisoryPartitionSizeInBytes", "100k"), ("coalescePartitions.parallelismFirst", "false"), ("coalescePartitions.minPartitionSize", "10k"))}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = pairs_selected(spark, tmp_path)
+        want = sorted(ids, key=lambda i: hashlib.md5(f"1234|{i}".encode()).hexdigest())
+        assert [(r["data_id"], r["label"]) for r in got] == [(i, x) for i in want for x in (True, False)]
+        few = pairs_selected(spark, tmp_path, sample_size=10)
+        assert len(few) == 20 and [r["label"] for r in few] == [True, False] * 10 and all(a["data_id"] == b["data_id"] for a, b in zip(few[::2], few[1::2]))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_registry(spark):
     r = readers.Registry()
     r.register("one", "The first", lambda s: s.range(3))
